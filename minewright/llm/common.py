@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as every contract of this subpackage counts it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,3 +43,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 256) -> DataFrame:
+    """rows left-joined with groups (unique in keys) on keys, safe for groups that hold most rows.
+
+    The `hot` largest groups by column size go to every task (that many rows, no more). Rows of any
+    other group are joined by shuffling, and such a group has at most 1/hot of all rows. The rows of
+    hot groups are dealt by column spread meanwhile. Key columns must not be null.
+    """
+    added = [c for c in groups.columns if c not in keys]
+    top = groups.orderBy(F.desc(size), *keys).limit(hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in added], F.lit(True).alias("_is_hot"))
+    rest = groups.join(F.broadcast(top.select(*keys)), keys, "left_anti")
+    rest = rest.select(*[F.col(c).alias(f"_key_{c}") for c in keys], *[F.col(c).alias(f"_rest_{c}") for c in added])
+    rows = rows.join(F.broadcast(top), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.hash(spread)))
+    rest = rest.withColumn("_rest_salt", F.lit(None).cast("int"))
+    match = F.col("_salt").eqNullSafe(F.col("_rest_salt"))
+    for c in keys:
+        match &= F.col(c) == F.col(f"_key_{c}")
+    named = rows.columns[: len(rows.columns) - len(added) - 2]
+    return rows.join(rest, match, "left").select(*named, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in added])

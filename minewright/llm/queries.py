@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.llm import chat_format, exact_dedup, mixing, sharding
+from minewright.llm import chat_format, exact_dedup, mixing, near_dedup, sharding
 from minewright.llm.common import table
 
 
@@ -39,11 +39,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
