@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, sharding, warc
+from minewright.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, warc
 from minewright.llm.common import table
 
 
@@ -24,6 +24,22 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest).drop("url")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 4, 2)
+    model = language_id.train(docs.filter(~out))
+    scored = language_id.identify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 5, 0)
+    net = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~out))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     said = "</s>[INST] ok [/INST]"
@@ -56,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
