@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textnum as tn
+from minewright.llm.common import materialize
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -218,4 +219,5 @@ def _block_leaks(docs: DataFrame, items: Items, n: int, least_seeds: float, leas
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents in which find_leaks() finds a test item; null ids stay."""
     id_col = options.get("id_col", "doc_id")
-    return docs.join(find_leaks(docs, benchmark, **options).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    leaked = materialize(find_leaks(docs, benchmark, **options).select(id_col).distinct(), "leaked")
+    return docs.join(leaked, id_col, "left_anti").select(*docs.columns)

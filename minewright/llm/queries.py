@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, warc
+from minewright.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, toxicity, warc
 from minewright.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", 5, 0)
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
