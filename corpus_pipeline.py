@@ -1,32 +1,57 @@
-"""A corpus pipeline over documents, made of operators of minewright.llm."""
+"""A corpus pipeline over documents, made of operators of minewright.llm.
+
+Every stage takes what its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from minewright.llm import mixing, sharding
+from minewright.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from minewright.llm.common import materialize, table
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: one row per draw, its text cut where the draw ends."""
-    mixed = mixing.mixed_texts(mixing.mix(docs)).select(*docs.columns)
-    return mixed.withColumn("n_chars", mixed["text"].isNotNull().cast("long") * 0 + _length(mixed["text"]))
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network, fitted on the labelled ones among them, scores below 0.5."""
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, names=("_score", "_toxic")).filter("_toxic = 0").select(*docs.columns)
+
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8); rows without an id stay."""
+    kept = materialize(near_dedup.near_dedup(docs, k=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
+    one = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(one)).filter("_copy = 1")
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
-def _length(text):
-    from pyspark.sql import functions as F
 
-    return F.length(text).cast("long")
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights: a row per draw, n_chars as drawn."""
+    mixed = mixing.mixed_texts(mixing.mix(docs)).select(*docs.columns)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in random order with their shard and slot, written as shards and read back."""
     return sharding.shard_files(docs)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaked),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
-#: The learned stages can't be put in SQL.
+#: The learned and the random stages can't be put in SQL.
 ORACLE_SQL: str | None = None
 
 
