@@ -23,15 +23,16 @@ def offsets(counts: DataFrame, group: int = 1024) -> DataFrame:
     return counts.join(totals, "_group").select("_bucket", "_n", (F.col("_base") + F.col("_before")).alias("_offset"))
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 2 << 20) -> DataFrame:
     """docs plus shard (int) and slot (long): all rows in uniformly random order, dealt to the shards.
 
     Pass 1 scatters records by a seeded hash of id and text over so many buckets that one holds
     `bucket_bytes` on average. Pass 2 draws a Fisher-Yates permutation of each bucket's records.
     The permutation is written to the shared folder before it is used, so a lost task can't draw it
-    anew. A record's place in the whole order is its bucket's offset plus its permuted index; place p
-    goes to shard p mod shards, slot p div shards. So row counts differ by one at most and the slots of
-    a shard run from 0 without gaps.
+    anew. A record's place in the whole order is its bucket's offset plus its permuted index. Shards are
+    consecutive ranges of places: with n rows, the first n mod shards of them hold n div shards + 1 rows,
+    the others one less; slots count from a shard's first place. So row counts differ by one at most,
+    slots have no gaps, and a bucket lies in one shard or at a border, where it can be written at once.
 
     Nulls: a null id or text is hashed as such; records that are alike in both are interchangeable
     and share a bucket. Columns named shard or slot in the input are replaced. Empty tables give no rows.
@@ -39,7 +40,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     docs = docs.select(*names)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    total, rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    each, more = divmod(rows, shards)
     buckets = max(shards, -(-total // bucket_bytes))
     tie = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary")))
     scattered = docs.withColumn("_tie", tie).withColumn("_bucket", F.pmod("_tie", F.lit(buckets)))
@@ -49,17 +51,16 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     placed = materialize(placed.select("_bucket", "_offset", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.lit(seed)).alias("_perm")), "permutations")
     order = W.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), "_tie"), "_tie", F.col(id_col))
     numbered = scattered.withColumn("_i", F.row_number().over(order))
-    place = F.col("_offset") + F.element_at("_perm", F.col("_i"))
-    return numbered.join(placed, "_bucket").select(
-        *[F.col(c) for c in names],
-        F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
-        F.floor(place / F.lit(shards)).cast("long").alias("slot"),
-    )
+    joined = numbered.join(placed, "_bucket").withColumn("_place", F.col("_offset") + F.element_at("_perm", F.col("_i")))
+    shard_of = f"CASE WHEN _place < {more * (each + 1)} THEN _place div {each + 1} ELSE {more} + (_place - {more * (each + 1)}) div {max(1, each)} END"
+    joined = joined.withColumn("_shard", F.expr(shard_of))
+    slot = F.col("_place") - F.col("_shard") * each - F.least(F.col("_shard"), F.lit(more))
+    return joined.select(*[F.col(c) for c in names], F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows of each file in slot order; files of a shard hold disjoint slot ranges."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; every task writes the buckets that it has shuffled, each in slot order."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_files(docs: DataFrame, **options) -> DataFrame:
