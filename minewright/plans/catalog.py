@@ -1,10 +1,447 @@
-"""Registered queries of the mining operators and their SQL."""
+"""Registered queries of the mining operators, each with the SQL that checks it.
+
+The tables stand in for the operators' usual inputs: line items for a ratings log (user: supplier, item:
+part) and for pixels (quantity, discount and tax as channels), embeddings for feature vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from minewright.functions.expressions import doubles
+from minewright.operators import clustering, images, metrics, neighbors, propagation, ratings, recommend, regression, sampling, similarity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TARGET, SEED, ITERATIONS = 1, 42, 4
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _ratings(spark: SparkSession, d: str) -> DataFrame:
+    cells = _table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
+    return cells.agg(F.ceil(F.max("l_quantity") / 10).cast("int").alias("rating"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("features"), "label")
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    whole = lambda c: F.round(F.col(c) * 100).cast("int")
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_quantity").cast("int").alias("r"), whole("l_discount").alias("g"), whole("l_tax").alias("b"))
+
+
+_RATINGS = """
+WITH r AS (SELECT l_suppkey AS user_id, l_partkey AS item_id, CAST(ceil(max(l_quantity) / 10) AS BIGINT) AS rating FROM lineitem GROUP BY 1, 2)"""
+_PAIRS = (
+    _RATINGS
+    + """,
+s AS (SELECT a.user_id AS u, b.user_id AS v, count(*) AS n, sum(a.rating) AS sx, sum(b.rating) AS sy, sum(a.rating * a.rating) AS sxx,
+             sum(b.rating * b.rating) AS syy, sum(a.rating * b.rating) AS sxy
+      FROM r a JOIN r b ON a.item_id = b.item_id AND a.user_id {test} b.user_id {only} GROUP BY 1, 2),
+sim AS (SELECT u, v, n AS n_common,
+               CAST(n * sxy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * sxx - sx * sx AS DOUBLE)) * sqrt(CAST(n * syy - sy * sy AS DOUBLE)), 0) AS similarity FROM s)"""
+)
+_OF_TARGET = _PAIRS.format(test="<>", only=f"AND a.user_id = {TARGET}")
+_ALL = _PAIRS.format(test="<>", only="")
+_NEAR = """,
+near AS (SELECT * FROM (SELECT u, v, similarity, row_number() OVER (PARTITION BY u ORDER BY round(similarity, 9) DESC, v) AS rank FROM sim WHERE similarity IS NOT NULL) WHERE rank <= 5)"""
+_BEST = """,
+scored AS (SELECT u, item_id, sum(similarity * rating) / sum(similarity) AS predicted FROM near JOIN r ON r.user_id = near.v
+           WHERE NOT EXISTS (SELECT 1 FROM r own WHERE own.user_id = near.u AND own.item_id = r.item_id) GROUP BY 1, 2 HAVING sum(similarity) > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(predicted, 9) DESC, item_id) AS rank FROM scored) WHERE rank <= 3)
+SELECT u AS user_id, CAST(rank AS INT) AS rank, item_id, p_name AS title, round(predicted, 6) AS predicted_rating FROM best LEFT JOIN part ON p_partkey = item_id"""
+
+
+@query(
+    _RATINGS
+    + """
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS filled,
+       round(100 - count(*) * 100.0::DOUBLE / (count(DISTINCT user_id) * count(DISTINCT item_id)), 6) AS sparsity_pct FROM r"""
+)
+def rating_profile(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.rating_profile(_ratings(spark, d)).withColumn("sparsity_pct", F.round("sparsity_pct", 6))
+
+
+@query(
+    _RATINGS
+    + """,
+us AS (SELECT DISTINCT user_id FROM r ORDER BY 1 LIMIT 5),
+it AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM (SELECT DISTINCT item_id FROM r ORDER BY 1 LIMIT 10))
+SELECT us.user_id, """
+    + ", ".join(f"CAST(max(rating) FILTER (k = {i}) AS INT) AS item_{i}" for i in range(1, 11))
+    + """
+FROM us LEFT JOIN (r JOIN it ON it.item_id = r.item_id) c ON c.user_id = us.user_id GROUP BY 1"""
+)
+def rating_slice_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.rating_slice(_ratings(spark, d), 5, 10)
+
+
+@query(_PAIRS.format(test="<", only="") + "\nSELECT u, v, n_common, round(similarity, 9) AS similarity FROM sim")
+def pearson_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.user_similarity(_ratings(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    _ALL
+    + """,
+us AS (SELECT DISTINCT user_id FROM r ORDER BY 1 LIMIT 5)
+SELECT u, v, n_common, round(similarity, 9) AS similarity FROM sim WHERE u IN (SELECT user_id FROM us) AND v IN (SELECT user_id FROM us)
+UNION ALL SELECT user_id, user_id, count(*), CASE WHEN min(rating) < max(rating) THEN 1.0::DOUBLE END FROM r WHERE user_id IN (SELECT user_id FROM us) GROUP BY user_id"""
+)
+def pearson_slice(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.similarity_slice(_ratings(spark, d), 5).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_OF_TARGET + _NEAR + "\nSELECT u, v, round(similarity, 9) AS similarity, CAST(rank AS INT) AS rank FROM near")
+def top_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.top_neighbors(similarity.user_similarity(_ratings(spark, d), TARGET), 5).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_RATINGS + f"\nSELECT DISTINCT item_id FROM r WHERE item_id NOT IN (SELECT item_id FROM r WHERE user_id = {TARGET})")
+def unseen_items(spark: SparkSession, d: str) -> DataFrame:
+    return recommend.unseen_items(_ratings(spark, d), TARGET)
+
+
+@query(_OF_TARGET + _NEAR + _BEST)
+def recommend_user(spark: SparkSession, d: str) -> DataFrame:
+    return recommend.recommend(_ratings(spark, d), _items(spark, d), TARGET).withColumn("predicted_rating", F.round("predicted_rating", 6))
+
+
+@query(_ALL + _NEAR + _BEST)
+def recommend_all_users(spark: SparkSession, d: str) -> DataFrame:
+    return recommend.recommend(_ratings(spark, d), _items(spark, d)).withColumn("predicted_rating", F.round("predicted_rating", 6))
+
+
+def _hash(key: str) -> str:
+    return f"('0x' || substr(md5('{SEED}:' || {key}), 1, 8))::BIGINT"
+
+
+@query(f"SELECT count(*) FILTER (m) AS n_labelled, count(*) FILTER (NOT m) AS n_unlabelled, CAST(sum(CASE WHEN m THEN c_custkey END) AS BIGINT) AS key_sum FROM (SELECT c_custkey, {_hash('c_custkey')} < 429496729 AS m FROM customer)")
+def bernoulli_mask_counts(spark: SparkSession, d: str) -> DataFrame:
+    masked = sampling.bernoulli_mask(_table(spark, d, "customer"), "c_custkey", 0.1, SEED)
+    return masked.agg(F.count_if("mask").alias("n_labelled"), F.count_if(~F.col("mask")).alias("n_unlabelled"), F.sum(F.when(F.col("mask"), F.col("c_custkey"))).alias("key_sum"))
+
+
+def _split(table: str, key: str, test: str) -> str:
+    return f"SELECT {key}, row_number() OVER (ORDER BY {_hash(key)}, {key}) <= {test} AS is_test FROM {table}"
+
+
+@query(_split("orders", "o_orderkey", "(SELECT ceil(0.2 * count(*)) FROM orders)"))
+def split_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.train_test(_table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.2, SEED)
+
+
+@query(_split("embeddings", "vec_id", "50"))
+def split_absolute(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.train_test(_table(spark, d, "embeddings").select("vec_id"), "vec_id", 50, SEED)
+
+
+_LINE = "round(regr_slope({y}, {x}), 6) AS slope, round(regr_intercept({y}, {x}), 4) AS intercept, round(regr_r2({y}, {x}), 6) AS r2, CAST(regr_count({y}, {x}) AS BIGINT) AS n"
+
+
+def _rounded_line(df: DataFrame) -> DataFrame:
+    return df.withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4), "r2": F.round("r2", 6)})
+
+
+@query("SELECT " + _LINE.format(x="l_quantity", y="l_extendedprice") + " FROM lineitem")
+def ols_simple(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_line(regression.ols(_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@query("SELECT l_returnflag, " + _LINE.format(x="l_quantity", y="l_extendedprice") + " FROM lineitem GROUP BY 1")
+def ols_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_line(regression.ols(_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]))
+
+
+_XS = ["l_quantity", "l_discount", "l_tax"]
+_TERMS = ["1.0", *_XS]
+
+
+@query(
+    "\nUNION ALL ".join(
+        [f"SELECT {i} AS i, {j} AS j, round(sum({a} * {b})::DOUBLE, 2) AS value FROM lineitem" for i, a in enumerate(_TERMS) for j, b in enumerate(_TERMS) if j >= i]
+        + [f"SELECT {i}, -1, round(sum({a} * l_extendedprice)::DOUBLE, 2) FROM lineitem" for i, a in enumerate(_TERMS)]
+    )
+)
+def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return regression.gram_matrix(_table(spark, d, "lineitem"), _XS, "l_extendedprice").withColumn("value", F.round("value", 2))
+
+
+@query(None)
+def ols_multi(spark: SparkSession, d: str) -> DataFrame:
+    return regression.ols_multi(_table(spark, d, "lineitem"), _XS, "l_extendedprice")
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey, o_totalprice, o_custkey, row_number() OVER (ORDER BY {_hash("o_orderkey")}, o_orderkey) <= (SELECT ceil(0.2 * count(*)) FROM orders) AS is_test FROM orders),
+f AS (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS b FROM s WHERE NOT is_test)
+SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS actual, round(b + a * o_custkey, 4) AS predicted FROM s, f WHERE is_test"""
+)
+def ols_predict_holdout(spark: SparkSession, d: str) -> DataFrame:
+    rows = sampling.train_test(_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), "o_orderkey", 0.2, SEED)
+    line = regression.ols(rows.filter(~F.col("is_test")), "o_custkey", "o_totalprice")
+    found = regression.predict_line(rows.filter("is_test"), line, "o_custkey")
+    return found.select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("actual"), F.round("predicted", 4).alias("predicted"))
+
+
+@query(
+    "WITH f AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem GROUP BY 1) "
+    "SELECT l_returnflag, x, round(b + a * x, 4) AS y FROM f, (SELECT unnest([0.0, 12.5, 25.0, 37.5, 50.0])::DOUBLE AS x)"
+)
+def line_grid(spark: SparkSession, d: str) -> DataFrame:
+    lines = regression.ols(_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return regression.line_grid(lines, 0, 50, 5).withColumn("y", F.round("y", 4))
+
+
+_KNN = f"""
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label, row_number() OVER (ORDER BY {_hash("vec_id")}, vec_id) <= 50 AS is_test FROM embeddings),
+d AS (SELECT q.id AS q_id, q.label AS q_label, b.id AS b_id, b.label, list_distance(q.f, b.f) AS dist FROM e q JOIN e b ON q.is_test AND NOT b.is_test),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(dist, 9), b_id) AS rank FROM d)"""
+
+
+def _vote(k: int, weight: str) -> str:
+    return (
+        _KNN
+        + f""",
+v AS (SELECT q_id, any_value(q_label) AS q_label, label, sum({weight}) AS vote FROM k WHERE rank <= {k} GROUP BY q_id, label),
+p AS (SELECT q_id AS id, q_label AS label, label AS prediction, row_number() OVER (PARTITION BY q_id ORDER BY round(vote, 9) DESC, label) AS r FROM v)"""
+    )
+
+
+def _voted(k: int, weight: str) -> str:
+    return _vote(k, weight) + "\nSELECT id, label, prediction FROM p WHERE r = 1"
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = sampling.train_test(_points(spark, d), "id", 50, SEED)
+    return points.filter(~F.col("is_test")).drop("is_test"), points.filter("is_test").drop("is_test")
+
+
+@query(_KNN + "\nSELECT q_id, b_id, round(dist, 6) AS dist, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
+def knn_join(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _sides(spark, d)
+    return neighbors.knn_join(test, train, 10).withColumn("dist", F.round("dist", 6))
+
+
+@query(_voted(1, "1.0"))
+def knn_1(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.knn_classify(*_sides(spark, d), k=1)
+
+
+@query(_voted(10, "1.0"))
+def knn_10_vote(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.knn_classify(*_sides(spark, d), k=10)
+
+
+@query(_voted(10, "1.0 / dist"))
+def knn_10_distance(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.knn_classify(*_sides(spark, d), k=10, weights="distance")
+
+
+@query(_vote(10, "1.0") + "\nSELECT count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy FROM p WHERE r = 1")
+def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.accuracy(neighbors.knn_classify(*_sides(spark, d), k=10)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(None)
+def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _sides(spark, d)
+    return neighbors.knn_join(test, train, 10, method="lsh")
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, count(*) FILTER (doc_id % 2 = 0) AS n_subset, round(avg(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS subset_accuracy FROM labels WHERE toxic IS NOT NULL")
+def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "labels").withColumn("even", F.col("doc_id") % 2 == 0)
+    return metrics.accuracy(rows, "quality", "toxic", "even").withColumns({c: F.round(c, 6) for c in ("accuracy", "subset_accuracy")})
+
+
+@query("SELECT label, count(*) AS n, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes, (SELECT count(*) FROM embeddings) AS n_total FROM embeddings GROUP BY 1")
+def class_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.class_report(_points(spark, d))
+
+
+@query("SELECT id, label, CAST(rank AS INT) AS rank FROM (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings) WHERE rank <= 5")
+def class_head5(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.class_head(_points(spark, d), "id", 5).select("id", "label", "rank")
+
+
+def _lloyd_sql(points: str, k: int, iterations: int, tag: str = "") -> str:
+    """CTEs x{tag} (id, w, i, x), c0{tag} .. (cluster, i, v) and a{tag} (id, cluster, d): Lloyd unrolled."""
+    out = [f"f{tag} AS ({points})", f"x{tag} AS (SELECT id, w, unnest(range(len(f))) AS i, unnest(f) AS x FROM f{tag})"]
+    out.append(f"s{tag} AS (SELECT f, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM f{tag} GROUP BY f QUALIFY cluster < {k})")
+    out.append(f"c0{tag} AS (SELECT cluster, unnest(range(len(f))) AS i, unnest(f) AS v FROM s{tag})")
+    for n in range(iterations + 1):
+        out.append(f"d{n}{tag} AS (SELECT id, any_value(w) AS w, cluster, sum((x - v) * (x - v)) AS d FROM x{tag} JOIN c{n}{tag} USING (i) GROUP BY id, cluster)")
+        out.append(f"a{n}{tag} AS (SELECT id, w, cluster, d FROM d{n}{tag} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 9), cluster) = 1)")
+        if n < iterations:
+            out.append(f"m{n}{tag} AS (SELECT cluster, i, sum(a.w * x) / sum(a.w) AS v FROM a{n}{tag} a JOIN x{tag} USING (id) GROUP BY 1, 2)")
+            out.append(f"c{n + 1}{tag} AS (SELECT c.cluster, c.i, coalesce(m.v, c.v) AS v FROM c{n}{tag} c LEFT JOIN m{n}{tag} m ON m.cluster = c.cluster AND m.i = c.i)")
+    return "\nWITH " + ",\n".join(out)
+
+
+_VECTORS = "SELECT vec_id AS id, 1.0::DOUBLE AS w, embedding::DOUBLE[] AS f FROM embeddings"
+_FITTED = _lloyd_sql(_VECTORS, 5, ITERATIONS)
+_CENTERS = "SELECT CAST(cluster AS INT) AS cluster, CAST(i AS INT) AS i, round(v, 6) AS value FROM {}"
+
+
+def _long(centroids: DataFrame) -> DataFrame:
+    return centroids.select(*[c for c in centroids.columns if c != "center"], F.posexplode("center").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = _points(spark, d)
+    return points, clustering.lloyd(points, clustering.initial_centroids(points, 5), ITERATIONS)
+
+
+@query(_lloyd_sql(_VECTORS, 5, 0) + "\nSELECT id, CAST(cluster AS INT) AS cluster, round(sqrt(d), 6) AS distance FROM a0")
+def assign_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    found = clustering.assign(points, clustering.initial_centroids(points, 5))
+    return found.select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query(_FITTED + "\n" + _CENTERS.format(f"c{ITERATIONS}"))
+def lloyd_fixed_init(spark: SparkSession, d: str) -> DataFrame:
+    return _long(_fitted(spark, d)[1])
+
+
+@query(_lloyd_sql(_VECTORS, 5, 1) + "\n" + _CENTERS.format("m0"))
+def centroid_means(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    return _long(clustering.centroid_means(clustering.assign(points, clustering.initial_centroids(points, 5))))
+
+
+_NEAREST = """
+SELECT CAST(cluster AS INT) AS cluster, CAST(rank AS INT) AS rank, id, round(sqrt(d), 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {} id) AS rank FROM a{}) WHERE rank <= 20"""
+
+
+@query(_FITTED + _NEAREST.format("round(sqrt(d), 9),", ITERATIONS))
+def nearest_n_per_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.exemplars(*_fitted(spark, d), 20, "nearest").withColumn("distance", F.round("distance", 6))
+
+
+@query(_FITTED + _NEAREST.format("", ITERATIONS))
+def first_n_per_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.exemplars(*_fitted(spark, d), 20, "first").withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    ",".join(_lloyd_sql(_VECTORS, k, 2, f"_{k}").replace("\nWITH", "" if n else "\nWITH") for n, k in enumerate((2, 5, 10)))
+    + "\n"
+    + "\nUNION ALL ".join(f"SELECT {k} AS k, * FROM ({_CENTERS.format(f'c2_{k}')})" for k in (2, 5, 10))
+)
+def k_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _long(clustering.kmeans_sweep(_points(spark, d), (2, 5, 10), iterations=2))
+
+
+@query(None)
+def kmeans_ml(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    return clustering.cost(points, clustering.kmeans(points, 10, restarts=3))
+
+
+_TILE = "SELECT (t // 20) * 8 + j // 8 AS gy, (t % 20) * 8 + j % 8 AS gx, round(value, 6) AS value FROM "
+_TILES = "(SELECT vec_id AS t, unnest(range(64)) AS j, unnest(embedding::DOUBLE[]) AS value FROM embeddings)"
+
+
+@query(_TILE + _TILES)
+def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
+    return images.tile_mosaic(_points(spark, d), 20, 64, order="id").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH m AS ({_TILE}{_TILES}) SELECT gy, gx, round((value - (SELECT min(value) FROM m)) / ((SELECT max(value) FROM m) - (SELECT min(value) FROM m)), 6) AS scaled FROM m")
+def minmax_normalise(spark: SparkSession, d: str) -> DataFrame:
+    mosaic = images.tile_mosaic(_points(spark, d), 20, 64, order="id").withColumn("value", F.round("value", 6))
+    return images.minmax(mosaic, "value").select("gy", "gx", F.round("scaled", 6).alias("scaled"))
+
+
+_COLOURS = """SELECT CAST(r * 65536 + g * 256 + b AS BIGINT) AS id, CAST(count(*) AS DOUBLE) AS w, [r::DOUBLE, g::DOUBLE, b::DOUBLE] AS f
+FROM (SELECT CAST(round(l_quantity) AS BIGINT) AS r, CAST(round(l_discount * 100) AS BIGINT) AS g, CAST(round(l_tax * 100) AS BIGINT) AS b FROM lineitem) GROUP BY r, g, b"""
+_PALETTE = _lloyd_sql(_COLOURS, 5, ITERATIONS) + ",\nw AS (SELECT cluster, " + ", ".join(f"CAST(trunc(round(max(v) FILTER (i = {i}), 9)) AS INT) AS {c}" for i, c in enumerate("rgb")) + f" FROM c{ITERATIONS} GROUP BY 1)"
+
+
+@query(_PALETTE + f"\nSELECT CAST(w.cluster AS INT) AS cluster, r, g, b, CAST(coalesce(sum(a.w), 0) AS BIGINT) AS n_pixels, count(a.id) AS n_colours FROM w LEFT JOIN a{ITERATIONS} a ON a.cluster = w.cluster GROUP BY ALL")
+def quantise_palette(spark: SparkSession, d: str) -> DataFrame:
+    return images.quantise(_pixels(spark, d), 5, ITERATIONS)[1]
+
+
+@query(
+    _PALETTE
+    + f"\nSELECT l_orderkey, l_linenumber, CAST(w.cluster AS INT) AS cluster, w.r, w.g, w.b FROM lineitem "
+    f"JOIN a{ITERATIONS} a ON a.id = CAST(round(l_quantity) AS BIGINT) * 65536 + CAST(round(l_discount * 100) AS BIGINT) * 256 + CAST(round(l_tax * 100) AS BIGINT) JOIN w ON w.cluster = a.cluster"
+)
+def quantise_recolour(spark: SparkSession, d: str) -> DataFrame:
+    return images.quantise(_pixels(spark, d), 5, ITERATIONS)[0]
+
+
+_GRAPH = """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings),
+n AS (SELECT a.id AS src, b.id AS dst, list_distance(a.f, b.f) AS dist FROM e a JOIN e b ON a.id <> b.id
+      QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.f, b.f), 9), b.id) <= 10),
+g AS (SELECT src, dst, max(exp(-1.5 * dist * dist)) AS w FROM (SELECT * FROM n UNION ALL SELECT dst, src, dist FROM n) GROUP BY 1, 2
+      UNION ALL SELECT id, id, 1.0 FROM e)"""
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.affinity_graph(_points(spark, d), 1.5, 10)
+
+
+@query(_GRAPH + "\nSELECT src, dst, round(w, 6) AS w FROM g")
+def affinity_knn_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d).withColumn("w", F.round("w", 6))
+
+
+def _propagated(steps: int) -> str:
+    out = [_GRAPH, f"p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM e WHERE {_hash('id')} < 429496729)"]
+    for n in range(steps):
+        out.append(f"t{n} AS (SELECT src AS id, label, sum(w * p) AS p FROM g JOIN p{n} ON p{n}.id = g.dst WHERE src NOT IN (SELECT id FROM p0) GROUP BY 1, 2)")
+        out.append(f"p{n + 1} AS (SELECT id, label, p / sum(p) OVER (PARTITION BY id) AS p FROM t{n} WHERE p > 0 UNION ALL SELECT * FROM p0)")
+    out.append(f"best AS (SELECT id, label AS found, p AS score FROM p{steps} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, label) = 1)")
+    return ",\n".join(out)
+
+
+def _labels_found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = sampling.hide_labels(sampling.bernoulli_mask(_points(spark, d), "id", 0.1, SEED), "label")
+    return points, propagation.propagate_labels(points, gamma=1.5, k=10, max_iter=5, tol=0.0)
+
+
+@query(_propagated(5) + "\nSELECT e.id, found AS label, round(score, 6) AS score FROM e LEFT JOIN best ON best.id = e.id")
+def propagate_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
+    return _labels_found(spark, d)[1].withColumn("score", F.round("score", 6))
+
+
+@query(
+    _propagated(5)
+    + f"""
+SELECT count(*) AS n, round(avg(coalesce(CAST(label = found AS INT), 0))::DOUBLE, 6) AS accuracy, count(*) FILTER ({_hash("e.id")} < 429496729) AS n_subset,
+       round(avg(CASE WHEN {_hash("e.id")} < 429496729 THEN coalesce(CAST(label = found AS INT), 0) END)::DOUBLE, 6) AS subset_accuracy
+FROM e LEFT JOIN best ON best.id = e.id WHERE label IS NOT NULL"""
+)
+def propagation_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    points, found = _labels_found(spark, d)
+    rows = points.select("id", "label", "mask").join(found.select("id", F.col("label").alias("prediction")), "id", "left")
+    return metrics.accuracy(rows, subset="mask").withColumns({c: F.round(c, 6) for c in ("accuracy", "subset_accuracy")})
