@@ -93,29 +93,115 @@ def _sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def work(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), k))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = list(shingle_sets(part.column(1), k))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "shingles"])
 
     return docs.mapInArrow(work, "id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, per_task: int = 256) -> DataFrame:
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent / 100 at least.
 
-    A document in very many pairs is copied once per `per_task` of them, so its pairs are spread.
+    A leader in very many pairs is copied once per `per_task` of them, so its pairs are spread.
     """
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(docs.join(ids, "id", "left_semi"), k).dropDuplicates(["id"]), "sets")
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("copies"))
     pairs = pairs.join(copies, "a").select("a", "b", F.pmod(F.hash("b"), "copies").alias("copy"))
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     left = sets.withColumnRenamed("id", "a").join(copies, "a").select("a", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = right.join(left, ["a", "copy"]).select("a", "b", both.cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
-    return materialize(joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"), "links")
+    return joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
+
+
+def block_links(ids: list[int], parts: np.ndarray, components: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the components of a block of documents, found from all its pairs; enough to join those that links join.
+
+    Intersection sizes come from a 0/1 matrix over the shingles that two documents share, a slice of
+    them at a time. If there are two parts, only pairs across them count.
+    """
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    token = token[count > 1]
+    n = np.array([len(x) for x in sets])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(1, (8 << 20) // len(sets))
+    for at in range(0, len(token), step):
+        some = token[at : at + step]
+        mark = np.zeros((len(sets), len(some)), np.float32)
+        for i, x in enumerate(sets):
+            where = np.searchsorted(some, x)
+            where = where[(where < len(some)) & (some[np.minimum(where, len(some) - 1)] == x)]
+            mark[i, where] = 1
+        both += mark @ mark.T
+    comp = np.array(components)
+    hit = (both * 100 >= (n[:, None] + n[None, :] - both) * percent) & (comp[:, None] != comp[None, :])
+    if parts.min() != parts.max():
+        hit &= parts[:, None] != parts[None, :]
+    root = {c: c for c in components}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+        a, b = top(components[i]), top(components[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between components within buckets; members: key, c (its size), id, component.
+
+    A bucket is cut into parts of about `block` members by a hash of the id, and every two parts meet in
+    a block of their own. So a task holds two parts however large a bucket is, all pairs are compared
+    where they lie, and only links leave the task.
+    """
+    parts = F.ceil(F.col("c") / block).cast("int")
+    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("id", F.lit(7)), "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component")
+
+    def work(batches):
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            group = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            values = batch.column(6).values.to_numpy().view(np.uint64)
+            ends = batch.column(6).offsets.to_numpy()
+            rest = zip(group, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            found = []
+            for i, (at, part, id_, component) in enumerate(rest):
+                if at != now:
+                    found += _closed(held, percent)
+                    held, now = [], at
+                held.append((id_, part, component, np.sort(values[ends[i] : ends[i + 1]])))
+            if found:
+                yield _pairs(found)
+        if found := _closed(held, percent):
+            yield _pairs(found)
+
+    joined = rows.join(sets, "id").select("key", "p", "q", "part", "id", "component", "shingles")
+    joined = joined.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return joined.mapInArrow(work, "a long, b long").distinct()
+
+
+def _closed(held: list[tuple], percent: int) -> list[tuple[int, int]]:
+    if len({x[2] for x in held}) < 2:
+        return []
+    ids, parts, components, sets = zip(*held, strict=True)
+    return block_links(list(ids), np.array(parts), list(components), list(sets), percent)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -126,9 +212,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one class and only its smallest id goes on. Classes that share one of `bands` keys of `rows` sketch
     coordinates are candidates (at 40 x 5 and similarity 0.8, 1.3e-7 of linked pairs share none).
     Candidates are verified on their full sets in two steps. First each class is compared with the
-    smallest id of its bucket only. Then, in buckets that still hold several components, the classes of
-    different components are compared if their sizes allow a link. A group of copies thus costs one
-    comparison per copy and bucket leader, not all its pairs, and no candidate link is left out.
+    smallest id of its bucket only, which joins most groups of copies at one comparison per copy and
+    leader. Then, in buckets that still hold several components, all pairs across components are compared
+    in blocks of bounded size inside tasks, of which only links come out; buckets with the same members
+    are taken once. No pair of a bucket is left out unless its two classes are already joined.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows share
     their id's component. A null id is its own component (null) and kept. Other columns are ignored.
@@ -140,16 +227,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = classes.select(F.explode("keys").alias("key"), "id", "n")
     led = materialize(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", "lead"), "leaders")
     members = materialize(buckets.join(led, "key"), "members")
-    fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    stars = members.filter(F.col("lead.id") != F.col("id")).filter(fits(F.col("lead.n"), F.col("n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, docs, k, percent)
+    wanted = materialize(members.select("id").distinct(), "candidates")
+    sets = materialize(_sets(docs.join(wanted, "id", "left_semi"), k).dropDuplicates(["id"]), "sets")
+    fits = F.least("lead.n", "n") * 100 >= F.greatest("lead.n", "n") * percent
+    stars = members.filter(F.col("lead.id") != F.col("id")).filter(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = materialize(_star_links(materialize(stars, "stars"), sets, percent), "links")
     found = connected_components(links)
-    grouped = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    grouped = materialize(grouped.join(mixed, "key"), "mixed")
-    other = grouped.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    pairs = grouped.join(other, "key").filter((F.col("component") < F.col("c")) & fits(F.col("n"), F.col("m"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    late = _verified(pairs.join(stars, ["a", "b"], "left_anti"), docs, k, percent)
+    grouped = materialize(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "grouped")
+    h = F.xxhash64("id")
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bit_xor(h).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
+    mixed = materialize(mixed.filter("x < y").groupBy("c", "h", "g").agg(F.min("key").alias("key")).select("key", "c"), "mixed")
+    late = materialize(_bucket_links(grouped.join(mixed, "key"), sets, percent), "late")
     if not late.isEmpty():
         found = connected_components(links.unionByName(late))
     final = classes.join(found, "id", "left").select("n", "ha", "hb", F.coalesce("component", "id").alias("component"), "size")
