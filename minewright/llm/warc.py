@@ -207,6 +207,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", text_col: str = "h
                     if size >= sample_bytes:
                         start()
                 if size >= archive_bytes:
+                    if held:
+                        start()
                     finish()
         if held:
             start()
