@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+
+from minewright.llm import mixing
+
+SCHEMA = "doc_id long, text string, source string, size int, draws string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, s, 1, "clash") for i, t, s in rows], SCHEMA).repartition(3)
+
+
+def water(sizes, weights=(5, 2, 1), ratio=1.5, cap=2.0):
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, fixed = ratio * sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        rest = total - sum(fixed.values())
+        share = {s: rest * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: cap * sizes[s] for s in over}
+
+
+def words(n, k=0):
+    return " ".join(f"w{k}_{i}" for i in range(n))
+
+
+def test_targets_and_takes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, words(int(rng.integers(0, 60)), i), s) for i, s in enumerate(["b", "a", None, "é", "Z", "a", "a", ""] * 40)]
+    rows += [(1000, None, "only null"), (1001, "  \n", "blank"), (1002, words(5000), "a"), (None, "no id", "a"), (5, "again", "b"), (5, "again", "b")]
+    got = mixing.mix(docs(spark, rows), block_words=64, buckets=8)
+    assert got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken", "draws"]
+    got = got.collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\t-\r]+", t or ""))
+    want = water(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        assert r.size == len(re.findall(r"[^\x20\t-\r]+", r.text or "")) and r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(want[r.source]) and r.taken <= 2 * r.size and r.taken == sum(x["words"] for x in r.draws)
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.5 + 1e-6
+    assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_reruns_agree_whatever_the_partitions(spark):
+    rows = [(i, words(i % 30, i), f"s{i % 4}") for i in range(200)]
+    key = lambda df: sorted((r.doc_id, r.taken, str(r.draws)) for r in df.collect())
+    assert key(mixing.mix(docs(spark, rows))) == key(mixing.mix(docs(spark, rows).repartition(7)))
+
+
+def test_empty(spark):
+    assert mixing.mix(docs(spark, [])).count() == 0
+    only = mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).collect()
+    assert {(r.size, r.target, r.taken) for r in only} == {(0, 0.0, 0)}
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_quotas_are_exact(spark, shards):
+    quotas = [("a", 1, 0), ("b", 2, 7), ("c", 3, 5000), ("d", 4, 123)]
+    got = {r["_src"]: list(r["_bounds"]) for r in mixing.split_tree(spark.createDataFrame(quotas, "_src string, rank int, _q long"), shards, 3).collect()}
+    for s, _, q in quotas:
+        assert len(got[s]) == shards and got[s][-1] == q and got[s] == sorted(got[s])
+    per_shard = [sum(b[i] - (b[i - 1] if i else 0) for b in got.values()) for i in range(shards)]
+    assert max(per_shard) - min(per_shard) <= shards.bit_length()
+
+
+def test_draws_are_hypergeometric(spark):
+    n = 4000
+    sql = mixing.hypergeometric("60", "25", "20", "u")
+    got = np.array([r.x for r in spark.range(n).selectExpr(f"(id + 0.5D) / {n} AS u").selectExpr(f"{sql} AS x").collect()])
+    from math import comb
+
+    for x in range(21):
+        assert abs((got == x).mean() - comb(25, x) * comb(35, 20 - x) / comb(60, 20)) < 0.002
+    edges = spark.range(1).selectExpr(*(f"{mixing.hypergeometric(*a, '0.7D')} AS c{i}" for i, a in enumerate([("10", "0", "5"), ("10", "10", "5"), ("10", "4", "10"), ("0", "0", "0")]))).first()
+    assert tuple(edges) == (0, 5, 4, 0)
+
+
+def test_texts_of_the_mix(spark):
+    rows = [(i, f"  {words(20, i)}\n\nend ", f"s{i % 3}") for i in range(30)]
+    mixed = mixing.mix(docs(spark, rows), shards=2, block_words=16)
+    drawn = mixing.mixed_texts(mixed)
+    assert drawn.columns == ["doc_id", "text", "source", "shard", "place"]
+    by = {}
+    for r in drawn.collect():
+        by[r.doc_id] = by.get(r.doc_id, 0) + len(r.text.split())
+        assert r.text == rows[r.doc_id][1] or rows[r.doc_id][1].split()[: len(r.text.split())] == r.text.split()
+        assert r.shard in (0, 1)
+    assert by == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
