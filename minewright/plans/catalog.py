@@ -190,9 +190,18 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
     return regression.gram_matrix(_table(spark, d, "lineitem"), _XS, "l_extendedprice").withColumn("value", F.round("value", 2))
 
 
-@query(None)
+@query(
+    """WITH c AS (SELECT l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y FROM lineitem),
+f AS (SELECT regr_slope(x2, x1) AS s2, regr_intercept(x2, x1) AS i2, regr_slope(x3, x1) AS s3, regr_intercept(x3, x1) AS i3, regr_slope(y, x1) AS sy, regr_intercept(y, x1) AS iy, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM c),
+r AS (SELECT x2 - i2 - s2 * x1 AS x2, x3 - i3 - s3 * x1 AS x3, y - iy - sy * x1 AS y FROM c, f),
+g AS (SELECT regr_slope(x3, x2) AS t3, regr_slope(y, x2) AS ty FROM r),
+b3 AS (SELECT regr_slope(y - ty * x2, x3 - t3 * x2) AS b3 FROM r, g),
+b AS (SELECT *, sy - s2 * b2 - s3 * b3 AS b1 FROM (SELECT f.*, b3, ty - t3 * b3 AS b2 FROM f, g, b3))
+SELECT '(intercept)' AS term, round(my - b1 * m1 - b2 * m2 - b3 * m3, 2) AS weight FROM b
+UNION ALL SELECT 'l_quantity', round(b1, 2) FROM b UNION ALL SELECT 'l_discount', round(b2, 2) FROM b UNION ALL SELECT 'l_tax', round(b3, 2) FROM b"""
+)
 def ols_multi(spark: SparkSession, d: str) -> DataFrame:
-    return regression.ols_multi(_table(spark, d, "lineitem"), _XS, "l_extendedprice")
+    return regression.ols_multi(_table(spark, d, "lineitem"), _XS, "l_extendedprice").withColumn("weight", F.round("weight", 2))
 
 
 @query(
