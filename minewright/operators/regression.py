@@ -54,4 +54,4 @@ def line_grid(coefs: DataFrame, low: float, high: float, n: int = 2) -> DataFram
     """n evenly spaced points (x, y) of each fitted line from low to high."""
     step = (high - low) / max(1, n - 1)
     grid = coefs.sparkSession.range(n).select((F.lit(float(low)) + F.col("id") * step).alias("x"))
-    return grid.crossJoin(F.broadcast(coefs)).select(*[c for c in coefs.columns if c not in ("slope", "intercept", "r2", "n")], "x", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y"))
+    return coefs.crossJoin(F.broadcast(grid)).select(*[c for c in coefs.columns if c not in ("slope", "intercept", "r2", "n")], "x", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y"))
