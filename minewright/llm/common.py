@@ -1,13 +1,16 @@
-"""Shared helpers: table reading and materialising through the shared folder."""
+"""Shared helpers: table reading, the shared folder, joins with hot groups."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from minewright.functions.storage import materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "join_groups", "materialize", "new_path", "table"]
+
 #: ASCII white space as every contract of this subpackage counts it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,34 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from spark.checkpoint.dir; where that is unset (tests on one machine) a temporary
-    folder is made and kept in the session's settings.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Cuts lineage in a way that survives lost executors, and gives the planner a true size, so a
-    later join broadcasts it only if it is under the session's threshold.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 256) -> DataFrame:
     """rows left-joined with groups (unique in keys) on keys, safe for groups that hold most rows.
 

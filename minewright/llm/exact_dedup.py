@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minewright.llm.common import SPACE, materialize
+from minewright.llm.common import SPACE, join_groups, materialize
 
 KEY = ["_sha", "_len", "_check"]
 
@@ -62,23 +62,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "digests",
     )
     merged = materialize(merge_runs(keyed, runs, fan_in), "merged")
-    repeated = merged.filter("_n > 1").select(*KEY, F.col("_id").alias("_keep"), F.col("_n").alias("_size"))
-    hot = repeated.orderBy(F.desc("_size"), *KEY).limit(hot_groups)
-    rows = keyed.join(F.broadcast(hot), KEY, "left")
-    cold = repeated.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti").select(
-        *[F.col(c).alias(f"{c}_c") for c in KEY], F.col("_keep").alias("_keep_c"), F.col("_size").alias("_size_c")
-    )
-    # A row of a hot group gets a key of its own, so that the group is spread and matches nothing.
-    spread = F.when(F.col("_size").isNotNull(), F.concat(F.lit("hot:"), F.hash("_id"))).otherwise(F.col("_sha"))
-    rows = rows.withColumn("_sha_j", spread).join(
-        cold, (F.col("_sha_j") == F.col("_sha_c")) & (F.col("_len") == F.col("_len_c")) & (F.col("_check") == F.col("_check_c")), "left"
-    )
-    size = F.coalesce("_size", "_size_c", F.lit(1).cast("long"))
-    keep = F.when(F.col("_size").isNotNull(), F.col("_keep")).when(F.col("_size_c").isNotNull(), F.col("_keep_c")).otherwise(F.col("_id"))
+    groups = merged.filter("_n > 1").select(*KEY, F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"))
+    rows = join_groups(keyed.select("_id", *KEY), groups, KEY, "group_size", "_id", hot_groups)
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("_id"))
     return rows.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
-        size.alias("group_size"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
