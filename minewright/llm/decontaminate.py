@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ class Items:
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per chunk: hashes of the lower-cased words (letters and digits), and each text's first word."""
-    for chunk in tn.chunks(pc.utf8_lower(column)):
+    for chunk in tn.chunks(column, lower=True):
         w = tn.words(chunk, tn.ALNUM)
         yield tn.span_hashes(tn.prefix_sums(chunk.data), w.start, w.end), w.first
 

@@ -8,7 +8,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +70,7 @@ class Model:
     def score(self, column: pa.Array | pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior probability."""
         names, scores = [], []
-        for chunk in tn.chunks(pc.utf8_lower(column)):
+        for chunk in tn.chunks(column, lower=True):
             total = np.zeros((len(chunk), len(self.languages)))
             some = np.zeros(len(chunk), bool)
             for bucket, first in ngrams(chunk, self.sizes, self.buckets):
@@ -107,7 +106,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes
             counts = np.concatenate([counts, np.zeros((len(known) - len(counts), buckets + 1), np.int64)])
             code = np.array(langs, np.int64)
             counts[:, -1] += np.bincount(code, minlength=len(known))
-            for chunk in tn.chunks(pc.utf8_lower(batch.column(0))):
+            for chunk in tn.chunks(batch.column(0), lower=True):
                 own = code[chunk.first : chunk.first + len(chunk)]
                 for bucket, first in ngrams(chunk, sizes, buckets):
                     lang = np.repeat(own, np.diff(first))
@@ -124,7 +123,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes
     counts = np.zeros((len(languages), buckets + 1))
     counts[np.searchsorted(languages, found.lang) if languages else [], found.bucket] = found.n
     grams, texts = counts[:, :-1] + alpha, counts[:, -1]
-    return Model(languages, np.log(grams) - np.log(grams.sum(1, keepdims=True)), np.log(texts + 1) - np.log(texts.sum() + len(languages)), sizes, buckets)
+    return Model(languages, np.log(grams) - np.log(grams.sum(1, keepdims=True)), np.log(texts + 1) - np.log(texts.sum() + max(1, len(languages))), sizes, buckets)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: A chunk of texts is worked on at a time; this bounds the memory of a task, apart from one long text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BASE = U64(0x9E3779B97F4A7C15 | 5)
@@ -48,8 +49,11 @@ class Chunk:
         return len(self.offsets) - 1
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The UTF-8 bytes of a text column, about `limit` bytes or one text at a time; null is empty."""
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[Chunk]:
+    """The UTF-8 bytes of a text column, about `limit` bytes or one text at a time; null is empty.
+
+    With lower, letters of all scripts are made lower-case first.
+    """
     for part, base in _parts(column):
         part = part.cast(pa.large_string()) if not pa.types.is_large_string(part.type) else part
         part = part.fill_null("") if part.null_count else part
@@ -59,7 +63,11 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         i = 0
         while i < len(part):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-            yield Chunk(base + i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if lower:
+                for chunk in chunks(pc.utf8_lower(part.slice(i, j - i)), max(2 * limit, 2 * int(offsets[j] - offsets[i]))):
+                    yield Chunk(base + i + chunk.first, chunk.data, chunk.offsets)
+            else:
+                yield Chunk(base + i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             i = j
 
 
