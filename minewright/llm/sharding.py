@@ -46,7 +46,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     tie = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary")))
     scattered = docs.withColumn("_tie", tie).withColumn("_bucket", F.pmod("_tie", F.lit(buckets)))
     counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    placed = offsets(counts).repartition(max(1, min(200, buckets // 64)), "_bucket").sortWithinPartitions("_bucket")
+    placed = offsets(counts).repartition(max(1, min(buckets // 64, 200 + buckets // 2048)), "_bucket").sortWithinPartitions("_bucket")
     # shuffle() is Spark's Fisher-Yates; its stream is fixed by the seed, the task's number and the order within.
     placed = materialize(placed.select("_bucket", "_offset", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.lit(seed)).alias("_perm")), "permutations")
     order = W.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), "_tie"), "_tie", F.col(id_col))
