@@ -89,22 +89,23 @@ def _sampled(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 def _contexts(texts: DataFrame, length: int, seed: int) -> DataFrame:
     """Per shared anchor, what its strings have behind the seed and, backwards, before it."""
+    texts = texts.select("rid", "text", F.transform("shared", lambda x: F.struct(x.key, x.mark)).alias("shared"))
 
     def work(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), [[] for _ in range(6)]
+                part, out = batch.slice(at, 64), [[] for _ in range(5)]
                 for row, text, shared in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     data = text.encode()
-                    for key, hot, mark in (x.values() for x in shared):
+                    for key, mark in (x.values() for x in shared):
                         place, a, b = mark >> 16, mark >> 8 & 255, mark & 255
                         head = data[place - a : place]
-                        for column, x in zip(out, (key, hot, data[place + seed : place - b + length], head[::-1], row, place), strict=True):
+                        for column, x in zip(out, (key, data[place + seed : place - b + length], head[::-1], row, place), strict=True):
                             column.append(x)
-                kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "hot", "behind", "before", "rid", "place"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "behind", "before", "rid", "place"])
 
-    return texts.mapInArrow(work, "key long, hot boolean, behind binary, before binary, rid long, place long")
+    return texts.mapInArrow(work, "key long, behind binary, before binary, rid long, place long")
 
 
 def intervals(lcp: list[int] | np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -112,15 +113,13 @@ def intervals(lcp: list[int] | np.ndarray, n: int) -> Iterator[tuple[int, int, i
 
     One scan with a stack; every interval is given after those inside it.
     """
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     for i in range(1, n + 1):
-        now = lcp[i - 1] if i < n else -1
-        left = i - 1
+        now, left = lcp[i - 1] if i < n else -1, i - 1
         while stack and stack[-1][0] > now:
             size, left = stack.pop()
-            if left < i - 1:
-                yield size, left, i - 1
-        if not stack or stack[-1][0] < now:
+            yield size, left, i - 1
+        if now >= 0 and (not stack or stack[-1][0] < now):
             stack.append((now, left))
 
 
@@ -217,51 +216,106 @@ def _scanned(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     return ordered.mapInArrow(work, "rid long, first long, last long, repeat long")
 
 
-def _counted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """The same for seeds with very many suffixes: strings of `length` bytes are counted by 128-bit hashes.
-
-    Counts are summed before they are shuffled, so no task gathers the suffixes of such a seed.
+def _strings(column_before: list[bytes], column_behind: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bytes before the seed, hash) of each string around the seeds of some contexts."""
+    texts = [x[::-1] + y for x, y in zip(column_before, column_behind, strict=True)]
+    size = np.array([len(x) for x in texts])
+    count = np.maximum(size - width + 1, 0)
+    row = np.repeat(np.arange(len(texts)), count)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(np.cumsum(size) - size, count) + shift
+    before = np.repeat([len(x) for x in column_before], count).astype(np.int64) - shift
+    h = tn.span_hashes(tn.prefix_sums(np.frombuffer(b"".join(texts), np.uint8)), start, start + width)
+    return row, before, tn.mix64(h + before.astype(np.uint64) * U64(0xD1342543DE82EF95)).view(np.int64)
+
+
+def _counted(contexts: DataFrame, length: int, seed: int, group: int = 1000, chunk: int = 8192) -> DataFrame:
+    """The same for seeds with very many suffixes: their strings are counted, by hash within a seed.
+
+    Suffixes with the same surroundings count once, with their number, and counts are summed before they
+    are shuffled. The hashes of a seed's repeated strings then go, at most
+    `chunk` at a time, to parts of about `group` of its suffixes, which look their own strings up. As all
+    strings of a suffix hold its seed, those found cover one run of bytes. So no task gathers the
+    suffixes of a seed, and a row per suffix and chunk is all that is made. A suffix's run is given the
+    number of its seed.
     """
+    width = length - seed
 
-    def work(batches):
+    def strings(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), [[] for _ in range(5)]
-                for key, behind, before, rid, place in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    text = before[::-1] + behind
-                    for i in range(len(text) - (length - seed) + 1):
-                        digest = hashlib.blake2b(text[i : i + length - seed] + (len(before) - i).to_bytes(2, "big"), digest_size=8).digest()
-                        for column, x in zip(out, (key, int.from_bytes(digest, "big", signed=True), rid, place - len(before) + i, place - len(before) + i + length), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "h", "rid", "first", "last"])
-
-    strings = materialize(contexts.select("key", "behind", "before", "rid", "place").mapInArrow(work, "key long, h long, rid long, first long, last long"), "strings")
-    often = materialize(strings.groupBy("key", "h").agg(F.count("*").alias("c")).filter("c > 1").select("key", "h"), "often")
-    return strings.join(often, ["key", "h"]).select("rid", "first", "last", F.xxhash64("key", "h").alias("repeat"))
+                part = batch.slice(at, 256)
+                row, _, h = _strings(part.column(2).to_pylist(), part.column(1).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h), part.column(3).take(pa.array(row))], ["key", "h", "n"])
+
+    plain = materialize(contexts.select("key", "behind", "before", "rid", "place"), "often")
+    alike = plain.groupBy("key", "behind", "before").agg(F.count("*").alias("n"))
+    often = alike.mapInArrow(strings, "key long, h long, n long").groupBy("key", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "h")
+    often = materialize(often, "strings")
+    sizes = often.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    sizes = materialize(sizes.join(plain.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "key"), "sizes")
+    held = often.join(sizes, "key").withColumn("chunk", F.pmod(F.hash("h"), "chunks")).groupBy("key", "chunk", "groups").agg(F.collect_list("h").alias("hs"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = held.select("key", "chunk", every("groups").alias("g"), F.lit(0).alias("kind"), "hs", *[F.lit(None).cast(t).alias(c) for c, t in (("behind", "binary"), ("before", "binary"), ("rid", "long"), ("place", "long"))])
+    asked = plain.join(sizes, "key").withColumn("g", F.pmod(F.hash("rid", "place"), "groups"))
+    asked = asked.select("key", every("chunks").alias("chunk"), "g", F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("hs"), "behind", "before", "rid", "place")
+    rows = held.unionByName(asked).repartition("key", "chunk", "g").sortWithinPartitions("key", "chunk", "g", "kind")
+
+    def look(batches):
+        known, of = np.zeros(0, np.int64), None
+        for batch in batches:
+            at = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            kind = batch.column(3).to_numpy()
+            edges = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if at[a] != of:
+                    known, of = np.zeros(0, np.int64), at[a]
+                if kind[a] == 0:
+                    known = np.sort(np.array(batch.column(4)[a].as_py(), np.int64))
+                    a += 1
+                for c in range(a, b, 256):
+                    part = batch.slice(c, min(256, b - c))
+                    row, before, h = _strings(part.column(6).to_pylist(), part.column(5).to_pylist(), width)
+                    if not len(known) or not len(row):
+                        continue
+                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    row, before = row[hit], before[hit]
+                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+                    if not len(first):
+                        continue
+                    far, near = np.maximum.reduceat(before, first), np.minimum.reduceat(before, first)
+                    rid, place = (part.column(i).to_numpy(zero_copy_only=False)[row[first]] for i in (7, 8))
+                    out = [rid, place - far, place - near + length, np.full(len(first), of[0])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["rid", "first", "last", "repeat"])
+
+    return rows.mapInArrow(look, "rid long, first long, last long, repeat long")
+
+
+def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that spans cover together."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return first[new], reach[np.concatenate([new[1:] - 1, [len(reach) - 1]])]
 
 
 def _removed(spans: DataFrame) -> DataFrame:
-    """rid, text, spans (first, last) to rid, spans (merged), kept_sha256."""
+    """rid, text, spans (first, last; not empty) to rid, spans (merged), kept_sha256."""
 
     def work(batches):
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            rows, merged, digests = [], [], []
-            for rid, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data, at, kept, runs = text.as_py().encode(), 0, hashlib.sha256(), []
-                for first, last in sorted((x["first"], x["last"]) for x in spans):
-                    if runs and first <= runs[-1]["last"]:
-                        runs[-1]["last"] = max(runs[-1]["last"], last)
-                    else:
-                        runs.append({"first": first, "last": last})
-                for run in runs:
-                    kept.update(data[at : run["first"]])
-                    at = run["last"]
+            merged, digests = [], []
+            for text, own in zip(batch.column(1), batch.column(2), strict=True):
+                first, last = _merged(*(own.values.field(i).to_numpy() for i in (0, 1)))
+                data, at, kept = memoryview(text.as_buffer()), 0, hashlib.sha256()
+                for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                    kept.update(data[at:a])
+                    at = b
                 kept.update(data[at:])
-                rows.append(rid)
-                merged.append(runs)
+                merged.append([{"first": a, "last": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
                 digests.append(kept.hexdigest())
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(merged, kind), pa.array(digests, pa.string())], ["rid", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, kind), pa.array(digests, pa.string())], ["rid", "spans", "kept_sha256"])
 
     return spans.mapInArrow(work, "rid long, spans array<struct<first: long, last: long>>, kept_sha256 string")
 
@@ -286,8 +340,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = marked.select("rid", "shared", F.col("id").alias("_id"), F.col("sha").alias("_sha"))
     match = F.col("id").eqNullSafe(F.col("_id")) & (F.sha2("text", 256) == F.col("_sha"))
     texts = materialize(docs.join(wanted, match).select("rid", "text", "shared").dropDuplicates(["rid"]), "texts")
-    contexts = _contexts(texts, length, seed)
-    repeats = _scanned(contexts.filter("NOT hot"), length, seed).unionByName(_counted(contexts.filter("hot"), length, seed))
+    of = lambda kind: _contexts(texts.withColumn("shared", F.filter("shared", lambda x: x.hot if kind else ~x.hot)).filter(F.size("shared") > 0), length, seed)
+    repeats = _scanned(of(False), length, seed).unionByName(_counted(of(True), length, seed))
     rows = join_groups(sampled.select("rid", "id", "n", "sha"), classes.filter("copies > 1"), ["sha", "n"], "copies", "rid")
     rows = rows.withColumns({"rep": F.coalesce("rep", "rid"), "copies": F.coalesce("copies", F.lit(1).cast("long"))})
     return rows, texts.select("rid", "text"), repeats
@@ -315,3 +369,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n").alias("last")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<first: long, last: long>>"))).alias("spans"),
     )
+
+
+ORACLE_SQL = r"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 199)) AS i FROM h)
+), twice AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM twice) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
+), cut AS (
+  SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+  FROM kept k JOIN h USING (doc_id) GROUP BY k.doc_id
+)
+SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(coalesce(rest, x))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""
