@@ -213,9 +213,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     coordinates are candidates (at 40 x 5 and similarity 0.8, 1.3e-7 of linked pairs share none).
     Candidates are verified on their full sets in two steps. First each class is compared with the
     smallest id of its bucket only, which joins most groups of copies at one comparison per copy and
-    leader. Then, in buckets that still hold several components, all pairs across components are compared
-    in blocks of bounded size inside tasks, of which only links come out; buckets with the same members
-    are taken once. No pair of a bucket is left out unless its two classes are already joined.
+    leader. Then, in buckets whose other classes still are in several components, all pairs of these across
+    components are compared in blocks of bounded size inside tasks, of which only links come out; buckets
+    with the same members are taken once. So no pair of a bucket is left out unless its two classes are
+    already joined.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows share
     their id's component. A null id is its own component (null) and kept. Other columns are ignored.
@@ -233,7 +234,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = members.filter(F.col("lead.id") != F.col("id")).filter(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_star_links(materialize(stars, "stars"), sets, percent), "links")
     found = connected_components(links)
-    grouped = materialize(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "grouped")
+    rest = members.filter(F.col("lead.id") != F.col("id"))
+    grouped = materialize(rest.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "grouped")
     h = F.xxhash64("id")
     mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bit_xor(h).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
     mixed = materialize(mixed.filter("x < y").groupBy("c", "h", "g").agg(F.min("key").alias("key")).select("key", "c"), "mixed")
@@ -244,3 +246,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = join_groups(sketches.select("id", "n", "ha", "hb"), final, ["n", "ha", "hb"], "size", "id")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), u AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (
+  SELECT i, j FROM links UNION ALL SELECT j, i FROM links
+), reached AS (
+  SELECT doc_id AS i, doc_id AS r FROM s UNION SELECT e.j, t.r FROM reached t JOIN both_ways e ON e.i = t.i
+), component AS (
+  SELECT i, min(r) AS c FROM reached GROUP BY 1
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN component ON component.i = s.doc_id
+"""

@@ -88,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
+    "op5_suffix_dedup": repeats.ORACLE_SQL,
     "op7_chat_format": chat_format.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
 }
