@@ -187,10 +187,11 @@ def _block_leaks(docs: DataFrame, items: Items, n: int, least_seeds: float, leas
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], texts))], ["seed", "docs"])
 
-    counted = docs.mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toPandas()
+    counted = docs.mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toArrow()
+    seed, held = (counted[c].to_numpy() for c in ("seed", "docs"))
     holders = np.zeros(len(items.unique))
-    holders[counted.seed[counted.seed >= 0]] = counted.docs[counted.seed >= 0]
-    items.weight = np.log1p(counted.docs[counted.seed < 0].sum() / np.maximum(holders, 1))
+    holders[seed[seed >= 0]] = held[seed >= 0]
+    items.weight = np.log1p(held[seed < 0].sum() / np.maximum(holders, 1))
     first_of = np.unique(np.stack([items.item.astype(np.uint64), items.seeds]), axis=1)
     items.total = np.bincount(first_of[0].astype(np.int64), items.weight[np.searchsorted(items.unique, first_of[1])], minlength=len(items.words))
     whole = spark.sparkContext.broadcast(items)

@@ -116,12 +116,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes
         yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row], pa.string()), pa.array(bucket), pa.array(counts[row, bucket])], ["lang", "bucket", "n"])
 
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    found = rows.mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(found.lang))
+    found = rows.mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang, bucket, n = found["lang"].to_pylist(), found["bucket"].to_numpy(), found["n"].to_numpy()
+    languages = sorted(set(lang))
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.zeros((len(languages), buckets + 1))
-    counts[np.searchsorted(languages, found.lang) if languages else [], found.bucket] = found.n
+    counts[np.searchsorted(languages, lang) if languages else [], bucket] = n
     grams, texts = counts[:, :-1] + alpha, counts[:, -1]
     return Model(languages, np.log(grams) - np.log(grams.sum(1, keepdims=True)), np.log(texts + 1) - np.log(texts.sum() + max(1, len(languages))), sizes, buckets)
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minewright.llm import textnum as tn
+from minewright.llm.common import materialize
 from minewright.llm.language_id import segment_sums
 
 PREFIXES = (4, 5)  # bytes of a word's start that are hashed besides the word
@@ -23,7 +24,7 @@ def token_buckets(chunk: tn.Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray
     sums = tn.prefix_sums(chunk.data)
     ids = [tn.span_hashes(sums, w.start, w.end)]
     ids += [tn.span_hashes(sums, w.start, np.minimum(w.end, w.start + n)) + tn.U64(n * 0x9E3779B97F4A7C15 % 2**64) for n in PREFIXES]
-    return np.stack([(tn.mix64(x) % tn.U64(buckets)).astype(np.int64) for x in ids], 1), w.first
+    return np.stack([(tn.mix64(x) % tn.U64(buckets)).astype(np.int32) for x in ids], 1), w.first
 
 
 @dataclass
@@ -74,7 +75,7 @@ class Network:
     def scores(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """0 to 1; 0.5 stands at the threshold of the text's language."""
         out = [np.zeros(0)]
-        for chunk in tn.chunks(pc.utf8_lower(column), 1 << 19):
+        for chunk in tn.chunks(column, 1 << 17, lower=True):
             tokens, first = token_buckets(chunk, len(self.embedding))
             logit = self.logits(tokens, first) - self.thresholds[self.language(tokens, first)]
             out.append(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
@@ -83,20 +84,22 @@ class Network:
 
 def _texts(column: pa.Array, buckets: int) -> list[np.ndarray]:
     out = []
-    for chunk in tn.chunks(pc.utf8_lower(column)):
+    for chunk in tn.chunks(column, lower=True):
         tokens, first = token_buckets(chunk, buckets)
         out += [tokens[first[i] : first[i + 1]] for i in range(len(chunk))]
     return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], buckets: int = 1 << 15, dim: int = 16, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 12, rate: float = 0.05, batch: int = 32, seed: int = 7) -> Network:
+def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], buckets: int = 1 << 15, dim: int = 16, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 12, drop: float = 0.3, rate: float = 0.05, batch: int = 32, seed: int = 7) -> Network:
     """Train on whole texts by Adagrad on the log-loss; one text in five is kept aside.
 
+    A word's vector is the sum of three hashed ones, for the word and two lengths of its start; each is left
+    out with probability `drop` while training, so that starts carry unknown words.
+
     One embedding coordinate starts as the bucket's smoothed log-odds of the label, the others at
     random. The network of the epoch with the least loss aside is kept. Thresholds are then calibrated
-    by language: among the logits aside of texts taken for that language, the cut with the fewest
-    errors (the middle of the best gap); a language with fewer than ten texts of either label there
-    gets the cut of all. The language of a text is inferred from its words by counts over the same texts.
+    by language: the cut with the fewest errors among the logits aside of texts taken for that language;
+    a language with fewer than ten texts of either label there gets the cut of all. The language of a text is inferred from its words by counts over the same texts.
     """
     rng = np.random.default_rng(seed)
     docs = _texts(texts, buckets)
@@ -131,11 +134,13 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], buckets: i
             ids = train[at : at + batch]
             pooled = np.zeros((len(ids), len(net.out)))
             spots = np.zeros(pooled.shape, np.int64)
-            vectors = []
+            vectors, kept = [], []
             for r, i in enumerate(ids):
-                x = embedding[docs[i]].sum(1)
+                keep = rng.random((len(docs[i]), docs[i].shape[1], 1)) >= drop
+                x = (embedding[docs[i]] * keep).sum(1)
                 x = np.concatenate([x, np.zeros((pad, dim))])
                 vectors.append(x)
+                kept.append(keep[:, :, 0])
                 m = len(docs[i])
                 for j, bank in enumerate(banks):
                     if m:
@@ -156,18 +161,18 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], buckets: i
                         for k in range(len(bank)):
                             bank_grads[j][k, :, f] += g[f] * vectors[r][s[f] + k]
                             if s[f] + k < m:
-                                rows.append(docs[i][s[f] + k])
-                                deltas.append(g[f] * bank[k, :, f])
+                                on = kept[r][s[f] + k]
+                                rows.append(docs[i][s[f] + k][on])
+                                deltas.append(np.repeat((g[f] * bank[k, :, f])[None], on.sum(), axis=0))
             step(net.out, active.T @ d + 1e-4 * net.out)
             bias_grad += d.sum() ** 2
             net.bias -= rate * d.sum() / np.sqrt(bias_grad)
             for bank, g in zip(banks, bank_grads, strict=True):
                 step(bank, g + 1e-4 * bank)
             if rows:
-                flat = np.stack(rows)
-                touched, where = np.unique(flat.ravel(), return_inverse=True)
+                touched, where = np.unique(np.concatenate(rows), return_inverse=True)
                 g = np.zeros((len(touched), dim))
-                np.add.at(g, where.ravel(), np.repeat(np.stack(deltas), flat.shape[1], axis=0))
+                np.add.at(g, where, np.concatenate(deltas))
                 step(embedding, g, touched)
         z = _logits(net.freeze(), docs, aside)
         loss = (np.logaddexp(0, np.where(labels[aside] == 1, -z, z)) * weight[aside]).mean() if len(aside) else 0.0
@@ -216,20 +221,31 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 3000, **options) -> Network:
     """Fit on at most `per_class` labelled documents of either label, chosen by a hash of the id.
 
-    The ids of the sample (at most 2 * per_class) are broadcast to find their texts, which the driver
-    collects. Labels other than 0 and 1 and null ids are left out; an id with both labels counts as 1.
+    The ids of the sample (at most 2 * per_class) are broadcast to find their texts; one task takes these
+    and trains, and the driver receives the network, of fixed size. Rows are put in order of id first, so a
+    task that is run again gives the same. Labels other than 0 and 1 and null ids are left out; an id with
+    both labels counts as 1, one with several texts gives the least.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     sample = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     wanted = F.broadcast(sample[0].unionByName(sample[1]))
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), lang.cast("string").alias("lang")).join(wanted, "_id").dropDuplicates(["_id"]).toArrow()
-    order = np.argsort(rows["_id"].to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order)).combine_chunks()
-    text = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    mixed = np.random.default_rng(3).permutation(rows.num_rows)
-    return fit(text.take(pa.array(mixed)), rows["_y"].to_numpy()[mixed].astype(np.int64), [rows["lang"][int(i)].as_py() for i in mixed], **options)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), lang.cast("string").alias("lang")).join(wanted, "_id")
+    rows = materialize(rows.groupBy("_id", "_y").agg(F.min(F.struct("text", "lang")).alias("_x")).select("_id", "_y", "_x.text", "_x.lang"), "sample")
+
+    def work(batches):
+        if held := list(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit_rows(pa.Table.from_batches(held), options))], pa.binary())], ["net"])
+
+    trained = rows.repartition(1).mapInArrow(work, "net binary").first()
+    return pickle.loads(trained.net) if trained else fit(pa.array([], pa.string()), np.zeros(0, np.int64), [], **options)
+
+
+def _fit_rows(rows: pa.Table, options: dict) -> Network:
+    rows = rows.sort_by("_id")
+    mixed = pa.array(np.random.default_rng(3).permutation(rows.num_rows))
+    texts = pa.concat_arrays(rows["text"].take(mixed).cast(pa.large_string()).chunks)
+    return fit(texts, rows["_y"].take(mixed).to_numpy().astype(np.int64), rows["lang"].take(mixed).to_pylist(), **options)
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
