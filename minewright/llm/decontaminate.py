@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -25,12 +25,12 @@ class Items:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    weight: np.ndarray | None = None
-    total: np.ndarray | None = None
 
-    @property
-    def unique(self) -> np.ndarray:
-        return np.unique(self.seeds)
+    def __post_init__(self):
+        self.unique = np.unique(self.seeds)
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.length)])
+        self.vocabulary, self.number = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,55 +98,72 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[int], least_seeds: float, least_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    unique = items.unique
-    text, word, seed = seed_hits(hashes, first, unique, sizes)
+def ceilings(items: Items, hashes: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each item and words a..b of a text: a score that align() can't exceed there.
+
+    An item's word gains MATCH if it stands anywhere in the region, and costs at least a mismatch or a
+    gap if not; an alignment covers a run of the item's words, so the best run of these sums is a bound.
+    """
+    n, size = len(hashes) + 1, items.length[item]
+    at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
+    known = np.flatnonzero(items.vocabulary[at] == hashes)
+    stands = np.append(np.sort(at[known] * n + known), np.iinfo(np.int64).max)  # by word, then by place
+    begin = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(item)), size)
+    word = items.number[np.arange(len(row)) + (items.first[item] - begin)[row]] * n
+    there = stands[np.searchsorted(stands, word + a[row])] < word + b[row]
+    gain = np.where(there, MATCH, max(MISMATCH, GAP))
+    run = np.cumsum(gain) - row * (2 * MATCH * len(row) + 1)  # a row's sums lie below those of the rows before
+    return np.maximum.reduceat(run - np.minimum.accumulate(run - gain), begin)
+
+
+def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[int], least_score: float, block: int = 20_000) -> Iterator[tuple[int, int, float, int, int]]:
+    text, word, seed = seed_hits(hashes, first, items.unique, sizes)
     lo, hi = np.searchsorted(items.seeds, seed, "left"), np.searchsorted(items.seeds, seed, "right")
     reps = hi - lo
     post = np.repeat(lo - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    text, word, seed = np.repeat(text, reps), np.repeat(word, reps), np.repeat(seed, reps)
+    text, word = np.repeat(text, reps), np.repeat(word, reps)
     item, place = items.item[post], items.place[post]
-    weight = items.weight[np.searchsorted(unique, seed)]
     # Hits of an item in a text fall into regions: new one where the next implied start is an item's length on.
     order = np.lexsort((word - place, item, text))
-    text, item, weight, begin = text[order], item[order], weight[order], (word - place)[order]
-    seed = seed[order]
-    length = np.array([len(w) for w in items.words])
+    text, item, begin = text[order], item[order], (word - place)[order]
     if not len(text):
         return
     fresh = np.ones(len(text), bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[item[1:]])
-    region = np.cumsum(fresh) - 1
-    once = np.unique(np.stack([region.astype(np.uint64), seed]), axis=1, return_index=True)[1]  # a seed counts once in a region
-    held = np.bincount(region[once], weight[once])
+    fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > items.length[item[1:]])
     at = np.flatnonzero(fresh)
     last = np.maximum.reduceat(begin, at)
-    for r in np.flatnonzero(held >= least_seeds * items.total[item[at]]):
-        t, i = int(text[at[r]]), int(item[at[r]])
-        margin = length[i] // 2 + 8
-        a = max(int(first[t]), int(begin[at[r]]) - margin)
-        b = min(int(first[t + 1]), int(last[r]) + int(length[i]) + margin)
-        score, x, y = align(items.words[i], hashes[a:b])
-        if score >= least_score * MATCH * length[i]:
-            yield t, i, score / (MATCH * int(length[i])), a - int(first[t]) + x, a - int(first[t]) + y
+    text, item, begin = text[at], item[at], begin[at]
+    least = least_score * MATCH * items.length[item]
+    # An alignment that reaches the least score has no room for more gaps than this, so it doesn't leave a..b.
+    margin = ((MATCH * items.length[item] - least) / -GAP).astype(np.int64)
+    a = np.maximum(first[text], begin - margin)
+    b = np.minimum(first[text + 1], last + items.length[item] + margin)
+    for x in range(0, len(at), block):
+        some = slice(x, x + block)
+        for r in x + np.flatnonzero(ceilings(items, hashes, item[some], a[some], b[some]) >= least[some]):
+            t, i = int(text[r]), int(item[r])
+            score, y, z = align(items.words[i], hashes[a[r] : b[r]])
+            if score >= least[r]:
+                shift = int(a[r] - first[t])
+                yield t, i, score / (MATCH * int(items.length[i])), shift + y, shift + z
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    n: int = 3, least_seeds: float = 0.12, least_score: float = 0.5, block_items: int = 20_000,
+    n: int = 3, least_score: float = 0.5, block_items: int = 20_000,
 ) -> DataFrame:
     """Leaks: id_col, item_col, score, start_word, end_word, n_copies; one row per document and item.
 
-    The n-word runs of test items are seeds. A first pass over all documents counts, for every seed, the
-    documents that hold it; a seed weighs log(1 + documents / holders), so rare ones count most and
-    no seed is left out. A second pass looks each document's runs up among the seeds; where those found
-    in a region of an item's length carry `least_seeds` of all the item's weight, Smith-Waterman
-    aligns item and region word by word (match 2, mismatch and gap -1). An alignment that reaches
-    `least_score` of the item's own score is a leak: exact, cut, edited or paraphrased copies up to about
-    one word in three. score is 1 for an exact copy; n_copies counts the regions, of which the row
-    shows the best (ties: the first).
+    The n-word runs of test items are seeds, and every document's runs are looked up among them. Hits of
+    an item form regions of about an item's length; Smith-Waterman aligns item and region word by word
+    (match 2, mismatch and gap -1). One seed is enough, however many documents hold it and however many
+    there are; a region is left out only if ceilings() shows that no alignment there can reach
+    `least_score` of the item's own score. One that reaches it is a leak: exact, cut, edited or
+    paraphrased copies with one n-word run intact. score is 1 for an exact copy; n_copies counts the
+    regions whose alignments don't overlap, of which the row shows the best (ties: the first).
 
-    Both passes only map; text isn't shuffled and no key gathers rows. The items are a query set:
+    The pass only maps; text isn't shuffled and no key gathers rows. The items are a query set:
     they go to the tasks in blocks of `block_items`, one scan of the documents per block, so what is
     broadcast is bounded for any number of items (whose texts are items, not corpora).
 
@@ -165,36 +182,15 @@ def find_leaks(
         if row is not None:
             block.append(row)
         if block and (row is None or len(block) == block_items):
-            found = found.unionByName(_block_leaks(docs, build_items([r.id for r in block], [r.text for r in block], n), n, least_seeds, least_score, schema))
+            found = found.unionByName(_block_leaks(docs, build_items([r.id for r in block], [r.text for r in block], n), n, least_score, schema))
             block = []
         if row is None:
             return found
 
 
-def _block_leaks(docs: DataFrame, items: Items, n: int, least_seeds: float, least_score: float, schema: str) -> DataFrame:
-    spark = docs.sparkSession
+def _block_leaks(docs: DataFrame, items: Items, n: int, least_score: float, schema: str) -> DataFrame:
     sizes = sorted({min(n, len(w)) for w in items.words if len(w)})
-    shared = spark.sparkContext.broadcast(items.unique)
-
-    def count(batches):
-        held, texts = np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
-            for hashes, first in tokens(batch.column(1)):
-                text, _, seed = seed_hits(hashes, first, shared.value, sizes)
-                pairs = np.unique(np.stack([text.astype(np.uint64), seed]), axis=1) if len(text) else np.zeros((2, 0), np.uint64)
-                held += np.bincount(np.searchsorted(shared.value, pairs[1]), minlength=len(held))
-                texts += len(first) - 1
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], texts))], ["seed", "docs"])
-
-    counted = docs.mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toArrow()
-    seed, held = (counted[c].to_numpy() for c in ("seed", "docs"))
-    holders = np.zeros(len(items.unique))
-    holders[seed[seed >= 0]] = held[seed >= 0]
-    items.weight = np.log1p(held[seed < 0].sum() / np.maximum(holders, 1))
-    first_of = np.unique(np.stack([items.item.astype(np.uint64), items.seeds]), axis=1)
-    items.total = np.bincount(first_of[0].astype(np.int64), items.weight[np.searchsorted(items.unique, first_of[1])], minlength=len(items.words))
-    whole = spark.sparkContext.broadcast(items)
+    whole = docs.sparkSession.sparkContext.broadcast(items)
 
     def match(batches):
         items = whole.value
@@ -202,12 +198,13 @@ def _block_leaks(docs: DataFrame, items: Items, n: int, least_seeds: float, leas
             ids, base, out = batch.column(0), 0, []
             for hashes, first in tokens(batch.column(1)):
                 best: dict[tuple[int, int], list] = {}
-                for t, i, *hit in _matches(items, hashes, first, sizes, least_seeds, least_score):
-                    old = best.setdefault((t, i), [hit, 0])
-                    old[1] += 1
+                for t, i, *hit in _matches(items, hashes, first, sizes, least_score):
+                    old = best.setdefault((t, i), [hit, 0, 0])
+                    old[1] += hit[1] >= old[2]  # regions side by side can show one copy
+                    old[2] = max(old[2], hit[2])
                     if hit[0] > old[0][0]:
                         old[0] = hit
-                out += [(ids[base + t].as_py(), int(items.ids[i]), *hit, copies) for (t, i), (hit, copies) in best.items()]
+                out += [(ids[base + t].as_py(), int(items.ids[i]), *hit, copies) for (t, i), (hit, copies, _) in best.items()]
                 base += len(first) - 1
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [[]] * 6

@@ -59,6 +59,36 @@ def test_an_item_that_most_documents_hold_is_still_found(spark):
     assert {r.doc_id for r in got.collect()} == {*range(200), 500}
 
 
+@pytest.mark.parametrize("n", [300, 12_000])
+def test_a_hot_edited_passage_is_found_at_any_corpus_size(spark, n):
+    item = [f"word{i}" for i in range(38)]
+    hot = " ".join("changed" if i % 5 == 4 else w for i, w in enumerate(item))
+    texts = spark.range(0, n, 1, 4).selectExpr("id AS doc_id", f"concat('n', id, ' m', id, ' ', if(id % 3 = 0, '{hot}', 'nothing of it'), ' o', id) AS text")
+    got = dc.find_leaks(texts, items(spark, [(1, " ".join(item))])).collect()
+    assert {r.doc_id for r in got} == set(range(0, n, 3)) and len(got) == n // 3
+    assert {(r.start_word, r.end_word, r.n_copies) for r in got} == {(2, 40, 1)} and got[0].score == pytest.approx((31 * 2 - 7) / 76)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_regions_left_out_hold_no_leak(seed):
+    rng = np.random.default_rng(seed)
+    items = dc.Items(np.arange(5), [rng.integers(0, 30, int(rng.integers(1, 20))).astype(np.uint64) for _ in range(5)], *[np.zeros(0, np.int64)] * 3)
+    text = rng.integers(0, 60, 200).astype(np.uint64)
+    item, a = rng.integers(0, 5, 50), rng.integers(0, 200, 50)
+    b = np.minimum(200, a + rng.integers(1, 60, 50))
+    for i, x, y, bound in zip(item, a, b, dc.ceilings(items, text, item, a, b), strict=True):
+        assert dc.align(items.words[i], text[x:y])[0] <= max(bound, 0) <= 2 * len(items.words[i])
+
+
+def test_one_seed_is_enough_and_a_copy_counts_once(spark):
+    item = [f"word{i}" for i in range(30)]
+    kept = {1, 3, 5, 6, 8, 10, 11, 12, 14, 16, 17, 19, 20, 22, 23, 25, 26, 28, 29, 0}  # only 10, 11, 12 in a row, two words in three
+    text = [w if i in kept else "other" for i, w in enumerate(item)]
+    stray = item[10:13]  # a run of the item, an item's length behind a whole copy
+    got = dc.find_leaks(docs(spark, [(1, " ".join(text)), (2, " ".join([*item, *noise(11, 1), *stray]))]), items(spark, [(1, " ".join(item))]))
+    assert {(r.doc_id, r.score, r.n_copies) for r in got.collect()} == {(1, 0.5, 1), (2, 1.0, 1)}
+
+
 def test_blocks_of_items_short_and_repeated_items(spark):
     texts = [(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, "omega")]
     found = dc.find_leaks(docs(spark, texts), items(spark, [(1, "alpha beta"), (2, "omega"), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta")]), block_items=1)
