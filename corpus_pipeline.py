@@ -33,8 +33,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: a row per draw, n_chars as drawn."""
-    mixed = mixing.mixed_texts(mixing.mix(docs)).select(*docs.columns)
+    """Sources mixed to their target weights: a row per draw, shards in their shuffled order, n_chars as drawn."""
+    mixed = mixing.write_mix(mixing.mix(docs)).select(*docs.columns)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minewright.llm.common import WORD, materialize
+from minewright.llm.common import WORD, materialize, new_path
 
 NAMES = ("size", "source_size", "target", "taken", "draws")
 
@@ -108,14 +108,14 @@ def mix(
     """docs plus size, source_size, target, taken and draws.
 
     size: words of the text (null: 0). target: see targets(). The words of a source form a stream, its
-    documents in seeded random order; the mix takes the first target words of that stream, read over
-    and over. So a document is taken whole for each full pass, and once more, wholly or in part, if the
-    stream's end lies behind it; targets are met to the word and no document exceeds cap times its
-    size. A source's quota is the number of blocks of block_words words it fills; split_tree() deals
-    the quotas to the output shards, and a shard draws its own, disjoint range of the source's blocks.
+    documents in seeded random order. A source's quota is the number of blocks of block_words words that
+    its target fills; split_tree() deals the quotas to the output shards. With its share of the quota a
+    shard gets the same share of the stream, as whole documents and disjoint from other shards', and
+    takes its words from there, over and over: each document whole for each full pass, and its first
+    documents once more, the last of them in part. So the tree decides which documents are taken once
+    more; targets are met to the word and no document exceeds cap times its size.
     draws: an array of (pass, words, shard, place), one entry per pass that takes words: those are the
-    first `words` words of the text; the block where they start decides the shard; sorting a shard by
-    place shuffles it.
+    first `words` words of the text; sorting a shard by place shuffles it, as write_mix() does.
 
     Places in a stream are running sums in two levels (hash buckets, then within a bucket), so a source
     that holds most rows is spread over `buckets` tasks. Nulls: a null source is a source, ordered last;
@@ -135,16 +135,27 @@ def mix(
     plan = plan.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     plan = materialize(plan.withColumn("_words", F.round("target").cast("long")).withColumn("_q", F.ceil(F.col("_words") / block_words)), "targets")
     bounds = split_tree(plan.select("_src", "rank", "_q"), shards, seed)
+    share = "cast(cast({} as decimal(19,0)) * cast({} as decimal(19,0)) div {} as bigint)"
+    bounds = plan.select("_src", "source_size", "target", "_words", "_q").join(bounds, "_src")
+    bounds = bounds.withColumn("_cuts", F.expr(f"transform(_bounds, b -> {share.format('source_size', 'b', 'greatest(_q, 1)')})")).drop("_q", "_bounds")
     before = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = sums.select("_src", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    placed = materialize(placed.join(plan.select("_src", "source_size", "target", "_words"), "_src").join(bounds, "_src"), "places")
-    within = W.partitionBy("_src", "_bucket").orderBy("_hash", F.col(id_col)).rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(placed, ["_src", "_bucket"])
-    d = d.withColumn("_before", F.col("_before") + F.col("_offset"))
-    passes = "sequence(0, cast(greatest(0, _words div greatest(source_size, 1)) as int))"
-    words = "greatest(0L, least(size, _words - p * source_size - _before))"
-    draw = f"""filter(transform({passes}, p -> named_struct('pass', p, 'words', {words},
-        'shard', size(filter(_bounds, b -> b <= (p * source_size + _before) div {block_words})), 'place', xxhash64({seed}L, _hash, p))), x -> x.words > 0)"""
+    placed = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(bounds, "_src")
+    placed = materialize(placed.drop("source"), "places")
+    within = W.partitionBy("_src", "_bucket").orderBy("_hash", F.col(id_col), "size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("_offset")
+    # Shards end with the documents that the cuts fall in; only these documents' buckets are looked through.
+    cut = placed.withColumn("_cuts", F.expr("filter(_cuts, c -> c > _offset AND c <= _offset + _sum)")).filter("size(_cuts) > 0").select("_src", "_bucket", "_offset", "_cuts")
+    cut = d.select("_src", "_bucket", "_hash", F.col(id_col), "size").join(cut, ["_src", "_bucket"]).withColumn("_start", start)
+    cut = cut.select("_src", (F.col("_start") + F.col("size")).alias("_end"), F.explode(F.array_distinct(F.expr("filter(_cuts, c -> c > _start AND c <= _start + size)"))).alias("_cut"))
+    ends = materialize(cut.groupBy("_src").agg(F.map_from_entries(F.collect_list(F.struct("_cut", "_end"))).alias("_end_of")), "ends")
+    placed = placed.drop("_sum").join(ends, "_src", "left").withColumn("_ends", F.expr("concat(array(0L), transform(_cuts, c -> coalesce(_end_of[c], 0L)))")).drop("_end_of")
+    d = d.join(placed, ["_src", "_bucket"]).withColumn("_start", start)
+    d = d.withColumn("_shard", F.expr(f"least(size(filter(_cuts, c -> c <= _start)), {shards - 1})"))
+    d = d.withColumns({"_first": F.expr("_ends[_shard]"), "_behind": F.expr("_ends[_shard + 1]"), "_full": F.expr("_words div greatest(source_size, 1)"), "_more": F.expr("_words % greatest(source_size, 1)")})
+    d = d.withColumn("_more", F.expr(f"{share.format('_more', '_behind', 'greatest(source_size, 1)')} - {share.format('_more', '_first', 'greatest(source_size, 1)')}"))
+    words = "CASE WHEN p < _full THEN size ELSE greatest(0L, least(size, _more - (_start - _first))) END"
+    draw = f"""filter(transform(sequence(0, cast(_full as int)), p -> named_struct('pass', p, 'words', {words},
+        'shard', _shard, 'place', xxhash64({seed}L, _hash, p))), x -> x.words > 0)"""
     d = d.withColumn("draws", F.expr(draw))
     taken = F.expr("aggregate(draws, 0L, (a, x) -> a + x.words)")
     return d.select(*[F.col(c) for c in names], "size", "source_size", "target", taken.alias("taken"), "draws")
@@ -160,3 +171,10 @@ def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     text = F.when(F.col("_draw.words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_draw.words").cast("int")), " "))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], "_draw.shard", "_draw.place")
+
+
+def write_mix(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """mixed_texts(), written to the shared folder, a folder per shard and its files in order of place, and read back."""
+    rows, path = mixed_texts(mixed, text_col), new_path(mixed.sparkSession, "mix")
+    rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    return mixed.sparkSession.read.schema(rows.schema).parquet(path)

@@ -54,6 +54,47 @@ def test_targets_and_takes(spark):
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, words(int(rng.integers(0, 40)), i), f"s{i % 3}") for i in range(600)]
+    trees = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: trees.append(tree(q, n, seed).collect()) or tree(q, n, seed))
+    got = mixing.mix(docs(spark, rows), shards=4, block_words=16, buckets=8).collect()
+    bounds = {r["_src"][1:]: list(r["_bounds"]) for r in trees[0]}
+    drawn, sources, shards = {}, {}, {}
+    for r in got:
+        sources[r.source] = sources.get(r.source, 0) + r.taken
+        for x in r.draws:
+            drawn[r.source, x["shard"]] = drawn.get((r.source, x["shard"]), 0) + x["words"]
+            shards.setdefault(r.doc_id, set()).add(x["shard"])
+    assert all(len(x) == 1 for x in shards.values())  # disjoint shares
+    for s, b in bounds.items():
+        for i in range(4):
+            quota = (b[i] - (b[i - 1] if i else 0)) / b[-1] * sources[s]
+            assert abs(drawn.get((s, i), 0) - quota) <= 2 * 2 * 40
+    other = [[q // 2 if i < 3 else q for i in range(4)] for q in (b[-1] for b in bounds.values())]
+    other = spark.createDataFrame([("=" + s, b) for s, b in zip(bounds, other, strict=True)], "_src string, _bounds array<long>")
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: other)
+    again = mixing.mix(docs(spark, rows), shards=4, block_words=16, buckets=8).collect()
+    assert {r.doc_id: r.taken for r in again} != {r.doc_id: r.taken for r in got}
+    for s in sources:
+        assert sum(r.taken for r in again if r.source == s) == sources[s] and not any(x["shard"] in (1, 2) for r in again for x in r.draws)
+
+
+def test_shards_are_written_in_order_of_place(spark):
+    rows = [(i, words(i % 30, i), f"s{i % 3}") for i in range(300)]
+    mixed = mixing.mix(docs(spark, rows), shards=3, block_words=16)
+    back = mixing.write_mix(mixed)
+    assert sorted(map(str, back.collect())) == sorted(map(str, mixing.mixed_texts(mixed).select(*back.columns).collect()))
+    files = {}
+    for r in back.selectExpr("shard", "place", "_metadata.file_name AS f", "_metadata.file_path AS p").collect():
+        files.setdefault((r.shard, r.f), []).append(r.place)
+    for shard in range(3):
+        read = [x for (s, _), x in sorted(files.items()) if s == shard]
+        assert sum(read, []) == sorted(sum(read, []))
+
+
 def test_reruns_agree_whatever_the_partitions(spark):
     rows = [(i, words(i % 30, i), f"s{i % 4}") for i in range(200)]
     key = lambda df: sorted((r.doc_id, r.taken, str(r.draws)) for r in df.collect())
