@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from minewright.functions.expressions import doubles, squared_distance
+from minewright.functions.storage import materialize
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -21,18 +22,27 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "id", vector:
 
     exact: every query meets every base row. Queries are the stated small side; they are broadcast in
     blocks of at most `query_block` rows, and each task keeps its own k best per query before anything is
-    shuffled. lsh: random projections propose pairs within `radius`; a query with fewer such pairs gets
-    fewer neighbours. Distances equal to nine decimals are ties, which go to the smaller b_id. With
+    shuffled. lsh: random projections propose pairs within `radius`, so some of the nearest may be missed; a
+    query with fewer than k such pairs is searched exactly instead. Distances equal to nine decimals are ties, which go to the smaller b_id. With
     self_join a row isn't its own neighbour. Rows with a null key or vector have none.
     """
     q = query.select(F.col(key).alias("q_id"), doubles(F.col(vector)).alias("_q")).dropna()
     b = base.select(F.col(key).alias("b_id"), doubles(F.col(vector)).alias("_b"), *extra).dropna(subset=["b_id", "_b"])
     if method == "lsh":
         model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=5)
-        qv, bv = q.withColumn("v", array_to_vector("_q")), b.withColumn("v", array_to_vector("_b"))
-        pairs = model.fit(bv).approxSimilarityJoin(qv, bv, radius, "dist")
-        pairs = pairs.select("datasetA.q_id", "datasetB.b_id", "dist", *[F.col(f"datasetB.{c}").alias(c) for c in extra])
-        return _nearest(pairs.filter("q_id <> b_id") if self_join else pairs, k)
+        model = model.fit(b.withColumn("v", array_to_vector("_b")))
+        hashes = lambda side, c, v: model.transform(side.withColumn("v", array_to_vector(v))).select(c, F.posexplode("h").alias("_table", "_hash")).withColumn("_hash", vector_to_array("_hash")[0])
+        # Pairs are ids only until they are distinct: a pair that meets in many tables would carry its vectors as often.
+        pairs = hashes(b, "b_id", "_b").join(materialize(hashes(q, "q_id", "_q"), "hashes"), ["_table", "_hash"]).select("q_id", "b_id").distinct()
+        pairs = pairs.join(b, "b_id").join(q, "q_id").select("q_id", "b_id", F.sqrt(squared_distance(F.col("_q"), F.col("_b"))).alias("dist"), *extra).filter(F.col("dist") < radius)
+        near = materialize(_nearest(pairs.filter("q_id <> b_id") if self_join else pairs, k), "near")
+        full = near.filter(F.col("rank") == k).select("q_id")
+        rest = materialize(q.join(full, "q_id", "left_anti"), "rest")
+        return near.join(full, "q_id", "left_semi").unionByName(_exact(rest, b, k, extra, query_block, self_join))
+    return _exact(q, b, k, extra, query_block, self_join)
+
+
+def _exact(q: DataFrame, b: DataFrame, k: int, extra: tuple[str, ...], query_block: int, self_join: bool) -> DataFrame:
     blocks = max(1, -(-q.count() // query_block))
     found = None
     for i in range(blocks):

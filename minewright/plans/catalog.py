@@ -255,6 +255,19 @@ def knn_join(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.knn_join(test, train, 10).withColumn("dist", F.round("dist", 6))
 
 
+_SEARCH = """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
+d AS (SELECT q.id AS q_id, b.id AS b_id, list_distance(q.f, b.f) AS dist FROM e q JOIN e b ON q.id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(dist, 9), b_id) AS rank FROM d)
+SELECT q_id, b_id, round(dist, 6) AS dist, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10"""
+
+
+@query(_SEARCH)
+def knn_search(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    return neighbors.knn_join(points.filter("id % 100 = 0"), points, 10).withColumn("dist", F.round("dist", 6))
+
+
 @query(_voted(1, "1.0"))
 def knn_1(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.knn_classify(*_sides(spark, d), k=1)
@@ -277,8 +290,8 @@ def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _sides(spark, d)
-    return neighbors.knn_join(test, train, 10, method="lsh")
+    points = _points(spark, d)
+    return neighbors.knn_join(points.filter("id % 100 = 0"), points, 10, method="lsh")
 
 
 @query("SELECT count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, count(*) FILTER (doc_id % 2 = 0) AS n_subset, round(avg(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS subset_accuracy FROM labels WHERE toxic IS NOT NULL")

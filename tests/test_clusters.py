@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from minewright.operators import clustering, images, metrics, neighbors, propagation
+from minewright.plans import catalog
 
 BLOBS = [(i, [10.0 * (i % 3) + 0.1 * (i % 5), 5.0 * (i % 3) - 0.1 * (i % 4)], i % 3) for i in range(60)]
 
@@ -40,6 +41,26 @@ def test_lsh_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_searches_query_one_row_in_a_hundred_against_all(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    exact, found = (catalog.QUERIES[name](spark, sf).collect() for name in ("knn_search", "knn_lsh"))
+    wanted = {i for i in ids if i % 100 == 0}
+    for rows in (exact, found):
+        assert sorted((r.q_id, r["rank"]) for r in rows) == sorted((i, k) for i in wanted for k in range(1, 11))
+    # a row finds itself; recall is that of the others
+    real, got = ({(r.q_id, r.b_id) for r in rows if r.q_id != r.b_id} for rows in (exact, found))
+    print("recall", len(real & got) / len(real))
+    assert len(real & got) >= 0.9 * len(real)
+
+
+def test_lsh_completes_queries_without_near_rows(spark):
+    rows = spark.createDataFrame([(i, [100.0 * i, 0.0]) for i in range(30)], "id long, features array<double>")
+    for k in (3, 40):
+        exact = neighbors.knn_join(rows.filter("id < 5"), rows, k).collect()
+        assert sorted(neighbors.knn_join(rows.filter("id < 5"), rows, k, method="lsh").collect()) == sorted(exact) and len(exact) == 5 * min(k, 30)
+
+
 def test_lloyd(spark, blobs):
     start = clustering.initial_centroids(blobs, 3)
     costs = []
