@@ -16,6 +16,11 @@ def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def leading(vector: Column, n: int) -> Column:
+    """The first n numbers of a vector."""
+    return F.slice(doubles(vector), 1, n)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     parts = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +33,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_blocks(df: DataFrame, rows: int, name: str = "blocks") -> list[tuple[str, ...]]:
+    """Write df to the shared folder for tasks to read with read_block(): the files of each block of about `rows` rows.
+
+    For a stated query set that meets all rows of a large table: however large it is, a task holds a block, and nothing
+    of it passes through the driver but the names of files.
+    """
+    total, each = df.count(), max(1, rows // 8)
+    if not total:
+        return []
+    files = sorted(materialize(df.repartition(max(1, -(-total // each))), name).inputFiles())
+    together = max(1, rows // each)
+    return [tuple(files[i : i + together]) for i in range(0, len(files), together)]
+
+
+def read_block(files: tuple[str, ...]) -> pa.Table:
+    """The rows of a block, in a task."""
+    store, _ = fs.FileSystem.from_uri(files[0])
+    return pa.concat_tables([pq.read_table(fs.FileSystem.from_uri(f)[1], filesystem=store, partitioning=None) for f in files])
+
+
 class Scratch:
     """The intermediate tables of one computation, in a folder of its own under the shared one.
 

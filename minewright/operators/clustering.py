@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from minewright.functions.expressions import doubles, squared_distance
+from minewright.functions.expressions import doubles
+from minewright.operators.neighbors import matrix
 
 CENTROIDS = "cluster int, center array<double>"
 
@@ -23,51 +24,123 @@ def initial_centroids(points: DataFrame, k: int, key: str = "id", vector: str =
     return first.select((F.row_number().over(W.orderBy("_first")) - 1).cast("int").alias("cluster"), "center")
 
 
-def _model(centroids: DataFrame) -> list:
-    return sorted((r.cluster, list(r.center)) for r in centroids.collect())
+def _model(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster numbers, their centers as a matrix): k rows, the size of a model."""
+    rows = sorted((r.cluster, list(r.center)) for r in centroids.collect())
+    return np.array([c for c, _ in rows], np.int32), np.array([x for _, x in rows], np.float64)
 
 
-def _assigned(points: DataFrame, model: list, vector: str) -> DataFrame:
-    """points plus cluster and distance; the k centroids travel as a literal of the plan, nothing is shuffled."""
-    x = doubles(F.col(vector))
-    each = [F.struct(F.round(squared_distance(x, F.array(*[F.lit(v) for v in c])), 9).alias("r"), F.lit(k).alias("cluster"), squared_distance(x, F.array(*[F.lit(v) for v in c])).alias("d")) for k, c in model]
-    found = points.withColumn("_best", F.when(F.col(vector).isNotNull(), F.array_min(F.array(*each))))
-    return found.withColumn("cluster", F.col("_best.cluster")).withColumn("distance", F.sqrt("_best.d")).drop("_best")
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest center, squared distance) of each row; of centers equally near to nine decimals, the first."""
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    rounded = best.copy()
+    for k, c in enumerate(centers):
+        d = ((x - c) ** 2).sum(1)
+        nearer = (r := np.round(d, 9)) < rounded
+        best, rounded, at = np.where(nearer, d, best), np.where(nearer, r, rounded), np.where(nearer, k, at)
+    return at, best
 
 
 def assign(points: DataFrame, centroids: DataFrame, vector: str = "features") -> DataFrame:
-    """points plus cluster, the nearest centroid (ties to nine decimals: the smaller number), and distance."""
-    return _assigned(points, _model(centroids), vector)
+    """points plus cluster, the nearest centroid (ties to nine decimals: the smaller number), and distance.
+
+    A map over Arrow batches that carries the k centroids; nothing is shuffled. Null vectors have neither.
+    Columns of those names are replaced.
+    """
+    numbers, centers = _model(centroids)
+    rows = points.select(*[c for c in points.columns if c not in ("cluster", "distance")], doubles(F.col(vector)).alias("_x"))
+    names = [*rows.columns[:-1], "cluster", "distance"]
+    at = len(rows.columns) - 1
+
+    def work(batches):
+        for batch in batches:
+            x, none = batch.column(at), batch.column(at).is_null()
+            known = x.drop_null()
+            cluster = np.zeros(batch.num_rows, np.int32)
+            distance = np.zeros(batch.num_rows)
+            if len(known) and len(centers):
+                own, d = nearest(matrix(known), centers)
+                cluster[~none.to_numpy(False)], distance[~none.to_numpy(False)] = numbers[own], np.sqrt(d)
+            none = none if len(centers) else pa.array(np.ones(batch.num_rows, bool))
+            mask = none.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(cluster, mask=mask), pa.array(distance, mask=mask)], names)
+
+    kept = T.StructType(rows.schema.fields[:at])
+    return rows.mapInArrow(work, kept.add("cluster", T.IntegerType()).add("distance", T.DoubleType()))
 
 
 def centroid_means(assigned: DataFrame, vector: str = "features", weight: str | None = None) -> DataFrame:
     """cluster, center: (weighted) means of the members' vectors, summed before they are shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     members = assigned.filter(F.col("cluster").isNotNull() & F.col(vector).isNotNull())
     mean = Summarizer.mean(array_to_vector(doubles(F.col(vector))), F.col(weight).cast("double") if weight else F.lit(1.0))
     return members.groupBy("cluster").agg(vector_to_array(mean).alias("center"))
 
 
+def _moved(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """One Lloyd iteration for several models in one pass over rows (_x, _w): their new centers.
+
+    Tasks add up weights and vectors by model and cluster; a row per task, model, cluster and coordinate is shuffled.
+    A cluster without members keeps its center.
+    """
+
+    def work(batches):
+        sums = {m: np.zeros((len(c), c.shape[1] + 1)) for m, (_, c) in models.items()}
+        for batch in batches:
+            if batch.num_rows:
+                x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+                rows = np.column_stack([x, np.ones(len(x))]) * w[:, None]
+                for m, (_, centers) in models.items():
+                    np.add.at(sums[m], nearest(x, centers)[0], rows)
+        for m, s in sums.items():
+            k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m, np.int32)), pa.array(k.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(s[k, i])], ["model", "k", "i", "s"])
+
+    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s"))
+    total = {m: np.zeros((len(c), c.shape[1] + 1)) for m, (_, c) in models.items()}
+    for r in found.collect():  # the size of the models
+        total[r.model][r.k, r.i] = r.s
+    return {m: np.where(t[:, -1:] > 0, t[:, :-1] / np.where(t[:, -1:] > 0, t[:, -1:], 1), models[m][1]) for m, t in total.items()}
+
+
+def _fit(points: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]], iterations: int, tol: float, vector: str, weight: str | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    rows = points.dropna(subset=[vector]).select(doubles(F.col(vector)).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).persist()
+    moving = {m: x for m, x in models.items() if len(x[0])}
+    fitted = dict(models)
+    for _ in range(iterations if moving else 0):
+        for m, centers in _moved(rows, moving).items():
+            shift = ((centers - fitted[m][1]) ** 2).sum(1).max()
+            fitted[m] = (fitted[m][0], centers)
+            if shift <= tol * tol:
+                del moving[m]
+            else:
+                moving[m] = fitted[m]
+        if not moving:
+            break
+    rows.unpersist()
+    return fitted
+
+
+def _rows(model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, list[float]]]:
+    return [(int(k), c.tolist()) for k, c in zip(*model, strict=True)]
+
+
 def lloyd(points: DataFrame, centroids: DataFrame, iterations: int = 10, tol: float = 0.0, vector: str = "features", weight: str | None = None) -> DataFrame:
     """Centroids after so many Lloyd iterations from the given ones, fewer if none moves by more than tol.
 
     Each iteration maps the points and sums by cluster; only centroids come to the driver. A cluster
     without members keeps its centroid.
     """
-    model = _model(centroids)
-    rows = points.select(vector, *([weight] if weight else [])).persist()
-    for _ in range(iterations):
-        moved = dict(_model(centroid_means(_assigned(rows, model, vector), vector, weight)))
-        new = [(k, moved.get(k, c)) for k, c in model]
-        shift = max((sum((a - b) ** 2 for a, b in zip(x[1], y[1], strict=True)) for x, y in zip(model, new, strict=True)), default=0.0)
-        model = new
-        if shift <= tol * tol:
-            break
-    rows.unpersist()
-    return points.sparkSession.createDataFrame(model, CENTROIDS)
+    return points.sparkSession.createDataFrame(_rows(_fit(points, {0: _model(centroids)}, iterations, tol, vector, weight)[0]), CENTROIDS)
 
 
 def kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 1, vector: str = "features", weight: str | None = None, max_iter: int = 20) -> DataFrame:
     """cluster, center of the best of `restarts` runs of Spark's k-means (least cost); clusters ordered by center."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     rows = points.dropna(subset=[vector]).select(array_to_vector(doubles(F.col(vector))).alias("v"), *([F.col(weight).alias("w")] if weight else [])).cache()
     estimator = KMeans(k=k, featuresCol="v", maxIter=max_iter, initMode="k-means||", **({"weightCol": "w"} if weight else {}))
     best = None
@@ -80,15 +153,14 @@ def kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 1, vector:
     return points.sparkSession.createDataFrame(list(enumerate(centers)), CENTROIDS)
 
 
-def kmeans_sweep(points: DataFrame, ks: Sequence[int], key: str = "id", vector: str = "features", weight: str | None = None, iterations: int = 10) -> DataFrame:
-    """k, cluster, center for every k, by Lloyd from the first k distinct points over one cached input."""
-    rows = points.select(key, vector, *([weight] if weight else [])).cache()
-    found = None
-    for k in ks:
-        one = lloyd(rows, initial_centroids(rows, k, key, vector), iterations, vector=vector, weight=weight).select(F.lit(k).alias("k"), "cluster", "center")
-        found = one if found is None else found.unionByName(one)
-    rows.unpersist()
-    return found
+def kmeans_sweep(points: DataFrame, ks: Sequence[int], key: str = "id", vector: str = "features", weight: str | None = None, iterations: int = 10, tol: float = 0.0) -> DataFrame:
+    """k, cluster, center for every k, by Lloyd from the first k distinct points.
+
+    All k go through each iteration together: one pass over the cached input per iteration.
+    """
+    numbers, centers = _model(initial_centroids(points, max(ks, default=0), key, vector))
+    fitted = _fit(points, {k: (numbers[:k], centers[:k]) for k in ks}, iterations, tol, vector, weight)
+    return points.sparkSession.createDataFrame([(k, *row) for k in ks for row in _rows(fitted[k])], "k int, " + CENTROIDS)
 
 
 def cost(points: DataFrame, centroids: DataFrame, vector: str = "features") -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.functions.expressions import ratio
-from minewright.operators.clustering import assign, initial_centroids, lloyd
+from minewright.functions.storage import materialize
+from minewright.operators.clustering import assign, initial_centroids, kmeans_sweep, lloyd
 
 
 def tile_mosaic(vectors: DataFrame, per_row: int, size: int, order: str = "tile", vector: str = "features", background: bool = True) -> DataFrame:
@@ -51,7 +53,7 @@ def quantise(pixels: DataFrame, k: int, iterations: int = 10, centroids: DataFra
     Means are taken over distinct colours weighted by their counts, at most 2^24 rows of 8-bit channels
     however many pixels there are. palette: cluster, r, g, b, n_pixels, n_colours.
     """
-    distinct = colours(pixels).cache()
+    distinct = materialize(colours(pixels), "colours")
     start = initial_centroids(distinct, k) if centroids is None else centroids
     fitted = lloyd(distinct, start, iterations, weight="weight")
     whole = fitted.select("cluster", *[F.round(F.element_at("center", i + 1), 9).cast("int").alias(f"new_{c}") for i, c in enumerate("rgb")])
@@ -64,6 +66,12 @@ def quantise(pixels: DataFrame, k: int, iterations: int = 10, centroids: DataFra
     return recoloured, palette
 
 
+def palettes(pixels: DataFrame, ks: Sequence[int], iterations: int = 10) -> DataFrame:
+    """k, cluster, r, g, b: the palettes of quantise() for several k, whose iterations share their passes over the colours."""
+    fitted = kmeans_sweep(materialize(colours(pixels), "colours"), ks, weight="weight", iterations=iterations)
+    return fitted.select("k", "cluster", *[F.round(F.element_at("center", i + 1), 9).cast("int").alias(c) for i, c in enumerate("rgb")])
+
+
 def scanlines(pixels: DataFrame) -> DataFrame:
     """image_id, y, line: the pixels of each line in order of x, the form to write images from."""
     one = F.struct("x", F.struct("r", "g", "b").alias("rgb"))

@@ -24,6 +24,13 @@ def class_report(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.crossJoin(F.broadcast(total))
 
 
+def split_report(train: DataFrame, test: DataFrame, predictions: DataFrame, label: str = "label") -> DataFrame:
+    """One row: n_train, n_test, n_classes (of both sides), n and accuracy of the predictions (label, prediction)."""
+    sides = train.select(label, F.lit(True).alias("_train")).unionByName(test.select(label, F.lit(False).alias("_train")))
+    sizes = sides.agg(F.count_if("_train").alias("n_train"), F.count_if(~F.col("_train")).alias("n_test"), F.countDistinct(label).alias("n_classes"))
+    return sizes.crossJoin(F.broadcast(accuracy(predictions)))
+
+
 def class_head(df: DataFrame, key: str, n: int = 5, label: str = "label") -> DataFrame:
     """The first n rows by key of each class, with rank."""
     order = W.partitionBy(label).orderBy(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from minewright.operators.neighbors import knn_join
 def affinity_graph(points: DataFrame, gamma: float = 20.0, k: int | None = 10, key: str = "id", vector: str = "features", method: str = "exact", dense_limit: int = 5_000) -> DataFrame:
     """src, dst, w = exp(-gamma * squared distance), in both directions, each point tied to itself with 1.
 
-    k: the graph of k nearest neighbours, made symmetric (method: see knn_join()). None: all pairs, the
-    stated choice for small inputs; more than `dense_limit` points are an error.
+    k: the graph of k nearest neighbours, made symmetric (method: see knn_join()), the default, as it grows with the
+    points. None: all pairs, the usual choice for small inputs, whose edges are the square of the points; more
+    than `dense_limit` points are an error.
     """
     if k is None:
         n = points.count()
@@ -35,10 +38,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_iter: int = 1000, tol: flo
 
     edges: src, dst, w; seeds: id, label (null or -1: no seed). State is long (id, label, p). Stops after
     max_iter iterations or when all p together change by less than tol in one. Nodes out of reach have
-    no row. Ties go to the smaller label. Every `check_every` iterations the state is written to the
+    no row. Ties go to the smaller label. The graph is written once, bucketed by dst, so an iteration
+    shuffles states and sums but no edges. Every `check_every` iterations the state is written to the
     shared folder, which bounds the plan and survives lost executors.
     """
-    edges = materialize(edges, "graph")
+    spark = edges.sparkSession
+    graph, parts = f"graph_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges.repartition(parts, "dst").write.bucketBy(parts, "dst").sortBy("dst").saveAsTable(graph)
+    edges = spark.table(graph)
     seeds = seeds.filter("label IS NOT NULL AND label <> -1").select("id", "label", F.lit(1.0).alias("p"))
     seeds = materialize(seeds, "seeds")
     known = seeds.select("id")
@@ -52,13 +59,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_iter: int = 1000, tol: flo
     state, before = seeds, None
     for i in range(1, max_iter + 1):
         before, state = state, step(state)
-        if i % check_every == 0 and i < max_iter and tol > 0:
+        if i % check_every == 0 and i < max_iter:
             state = materialize(state, "state")
+            if tol <= 0:
+                continue
             old = before.withColumnRenamed("p", "q")
             change = state.join(old, ["id", "label"], "full").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0]
             if (change or 0.0) < tol:
                 break
     best = F.struct(F.round("p", 9), -F.col("label"))
+    state = materialize(state, "state")
+    spark.sql(f"DROP TABLE {graph}")
     return state.groupBy("id").agg(F.max_by("label", best).alias("label"), F.max("p").alias("score"))
 
 

@@ -30,12 +30,14 @@ def rating_profile(ratings: DataFrame) -> DataFrame:
 def rating_slice(ratings: DataFrame, n_users: int = 5, n_items: int = 10) -> DataFrame:
     """The corner of the matrix with the smallest ids, wide: user_id, item_1 .. item_n by rank of the item.
 
-    Only that corner is pivoted, with its columns given beforehand.
+    Only that corner is pivoted, with its columns given beforehand. More than one rating in a cell is an error.
     """
     users = ratings.select("user_id").distinct().orderBy("user_id").limit(n_users)
     items = ratings.select("item_id").distinct().orderBy("item_id").limit(n_items)
     items = items.withColumn("_rank", F.row_number().over(W.orderBy("item_id")))
-    cells = ratings.join(F.broadcast(items), "item_id")
+    cells = ratings.join(F.broadcast(items), "item_id").groupBy("user_id", "_rank").agg(F.count("*").alias("_n"), F.first("rating").alias("rating"))
+    twice = F.raise_error(F.format_string("more than one rating for user %s, item number %s", F.col("user_id").cast("string"), F.col("_rank").cast("string")))
+    cells = cells.withColumn("rating", F.when(F.col("_n") == 1, F.col("rating")).otherwise(twice.cast("int")))
     ranks = list(range(1, n_items + 1))
     wide = users.join(cells, "user_id", "left").groupBy("user_id").pivot("_rank", ranks).agg(F.first("rating"))
     return wide.select("user_id", *[F.col(str(r)).alias(f"item_{r}") for r in ranks])

@@ -23,6 +23,11 @@ def hide_labels(df: DataFrame, label: str, mask: str = "mask", name: str = "seed
     return df.withColumn(name, F.when(F.col(mask), F.col(label)))
 
 
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the smallest keys; each task hands on n rows at most."""
+    return df.orderBy(key).limit(n)
+
+
 def train_test(df: DataFrame, key: str, test_size: float | int, seed: int = 42, name: str = "is_test") -> DataFrame:
     """df plus a boolean, true for exactly ceil(test_size * rows) rows (a fraction) or test_size rows (a whole number).
 

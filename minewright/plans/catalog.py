@@ -6,13 +6,21 @@ part) and for pixels (quantity, discount and tax as channels), embeddings for fe
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.functions.expressions import doubles
+from minewright.functions.expressions import doubles, leading
+from minewright.functions.storage import shared_dir
 from minewright.operators import clustering, images, metrics, neighbors, propagation, ratings, recommend, regression, sampling, similarity
+from minewright.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,6 +296,23 @@ def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return metrics.accuracy(neighbors.knn_classify(*_sides(spark, d), k=10)).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query(
+    _vote(10, "1.0")
+    + """
+SELECT (SELECT count(*) FROM e WHERE NOT is_test) AS n_train, (SELECT count(*) FROM e WHERE is_test) AS n_test, (SELECT count(DISTINCT label) FROM e) AS n_classes,
+       count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy FROM p WHERE r = 1"""
+)
+def knn_report(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _sides(spark, d)
+    return metrics.split_report(train, test, neighbors.knn_classify(train, test, k=10)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS f1, round(embedding[2]::DOUBLE, 6) AS f2, label FROM embeddings ORDER BY vec_id LIMIT 1000")
+def first_rows_two_features(spark: SparkSession, d: str) -> DataFrame:
+    two = sampling.first_rows(_points(spark, d), "id", 1000).withColumn("features", leading(F.col("features"), 2))
+    return two.select("id", *[F.round(F.element_at("features", i), 6).alias(f"f{i}") for i in (1, 2)], "label")
+
+
 @query(None)
 def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
@@ -380,6 +405,29 @@ def k_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _long(clustering.kmeans_sweep(_points(spark, d), (2, 5, 10), iterations=2))
 
 
+_COLOURS = """SELECT CAST(r * 65536 + g * 256 + b AS BIGINT) AS id, CAST(count(*) AS DOUBLE) AS w, [r::DOUBLE, g::DOUBLE, b::DOUBLE] AS f
+FROM (SELECT CAST(round(l_quantity) AS BIGINT) AS r, CAST(round(l_discount * 100) AS BIGINT) AS g, CAST(round(l_tax * 100) AS BIGINT) AS b FROM lineitem) GROUP BY r, g, b"""
+_SWEEP = (2, 5, 10, 15, 20)
+
+
+@query(
+    ",".join(_lloyd_sql(_COLOURS, k, 2, f"_{k}").replace("\nWITH", "" if n else "\nWITH") for n, k in enumerate(_SWEEP))
+    + "\n"
+    + "\nUNION ALL ".join(f"SELECT {k} AS k, CAST(cluster AS INT) AS cluster, " + ", ".join(f"CAST(trunc(round(max(v) FILTER (i = {i}), 9)) AS INT) AS {c}" for i, c in enumerate("rgb")) + f" FROM c2_{k} GROUP BY cluster" for k in _SWEEP)
+)
+def colour_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return images.palettes(_pixels(spark, d), _SWEEP, iterations=2)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INT) AS cluster, round(avg(ascii(l_returnflag) * 1000.0::DOUBLE + l_quantity), 6) AS center, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def kmeans_restarts(spark: SparkSession, d: str) -> DataFrame:
+    x = F.ascii("l_returnflag") * 1000.0 + F.col("l_quantity")
+    points = _table(spark, d, "lineitem").select(F.array(x).alias("features"))
+    found = clustering.kmeans(points, 3, restarts=10)
+    sizes = clustering.cost(points, found).select("cluster", "n")
+    return found.join(sizes, "cluster").select("cluster", F.round(F.element_at("center", 1), 6).alias("center"), "n")
+
+
 @query(None)
 def kmeans_ml(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
@@ -401,8 +449,6 @@ def minmax_normalise(spark: SparkSession, d: str) -> DataFrame:
     return images.minmax(mosaic, "value").select("gy", "gx", F.round("scaled", 6).alias("scaled"))
 
 
-_COLOURS = """SELECT CAST(r * 65536 + g * 256 + b AS BIGINT) AS id, CAST(count(*) AS DOUBLE) AS w, [r::DOUBLE, g::DOUBLE, b::DOUBLE] AS f
-FROM (SELECT CAST(round(l_quantity) AS BIGINT) AS r, CAST(round(l_discount * 100) AS BIGINT) AS g, CAST(round(l_tax * 100) AS BIGINT) AS b FROM lineitem) GROUP BY r, g, b"""
 _PALETTE = _lloyd_sql(_COLOURS, 5, ITERATIONS) + ",\nw AS (SELECT cluster, " + ", ".join(f"CAST(trunc(round(max(v) FILTER (i = {i}), 9)) AS INT) AS {c}" for i, c in enumerate("rgb")) + f" FROM c{ITERATIONS} GROUP BY 1)"
 
 
@@ -437,8 +483,14 @@ def affinity_knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d).withColumn("w", F.round("w", 6))
 
 
-def _propagated(steps: int) -> str:
-    out = [_GRAPH, f"p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM e WHERE {_hash('id')} < 429496729)"]
+#: All pairs of points on two features, gamma as the usual default.
+_DENSE = """
+WITH e AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS f, label FROM embeddings),
+g AS (SELECT a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 1.0 ELSE exp(-20 * list_distance(a.f, b.f) * list_distance(a.f, b.f)) END AS w FROM e a, e b)"""
+
+
+def _propagated(steps: int, graph: str = _GRAPH) -> str:
+    out = [graph, f"p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM e WHERE {_hash('id')} < 429496729)"]
     for n in range(steps):
         out.append(f"t{n} AS (SELECT src AS id, label, sum(w * p) AS p FROM g JOIN p{n} ON p{n}.id = g.dst WHERE src NOT IN (SELECT id FROM p0) GROUP BY 1, 2)")
         out.append(f"p{n + 1} AS (SELECT id, label, p / sum(p) OVER (PARTITION BY id) AS p FROM t{n} WHERE p > 0 UNION ALL SELECT * FROM p0)")
@@ -456,6 +508,12 @@ def propagate_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
     return _labels_found(spark, d)[1].withColumn("score", F.round("score", 6))
 
 
+@query(_propagated(5, _DENSE) + "\nSELECT e.id, found AS label, round(score, 6) AS score FROM e LEFT JOIN best ON best.id = e.id")
+def propagate_dense(spark: SparkSession, d: str) -> DataFrame:
+    points = sampling.hide_labels(sampling.bernoulli_mask(_points(spark, d).withColumn("features", leading(F.col("features"), 2)), "id", 0.1, SEED), "label")
+    return propagation.propagate_labels(points, gamma=20.0, k=None, max_iter=5, tol=0.0).withColumn("score", F.round("score", 6))
+
+
 @query(
     _propagated(5)
     + f"""
@@ -467,3 +525,90 @@ def propagation_accuracy(spark: SparkSession, d: str) -> DataFrame:
     points, found = _labels_found(spark, d)
     rows = points.select("id", "label", "mask").join(found.select("id", F.col("label").alias("prediction")), "id", "left")
     return metrics.accuracy(rows, subset="mask").withColumns({c: F.round(c, 6) for c in ("accuracy", "subset_accuracy")})
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def read_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The table written as CSV with a header and read back."""
+    rows, path = _table(spark, d, "customer").select("c_custkey", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment"), _path(spark, "csv")
+    rows.write.csv(path, header=True)
+    return readers.read_table(spark, path, rows.schema)
+
+
+@query(_RATINGS + "\nSELECT CAST(user_id AS INT) AS user_id, CAST(item_id AS INT) AS item_id, CAST(rating AS INT) AS rating, user_id * 1000000 + item_id AS timestamp FROM r")
+def read_ratings_log(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark, "log")
+    _ratings(spark, d).withColumn("timestamp", F.expr("user_id * 1000000 + item_id")).select("user_id", "item_id", "rating", "timestamp").write.csv(path, sep="\t")
+    return readers.read_ratings(spark, path)
+
+
+@query("SELECT CAST(p_partkey AS INT) AS item_id, p_name || ' é' AS movie_title, CAST(p_partkey % 2 AS INT) AS unknown, CAST(p_size AS INT) AS Western FROM part")
+def read_items_latin(spark: SparkSession, d: str) -> DataFrame:
+    path, flags = _path(spark, "items"), [F.lit(0)] * 17
+    part = _table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" é")), *[F.lit("x")] * 3, F.col("p_partkey") % 2, *flags, "p_size")
+    part.toDF(*[f"c{i}" for i in range(24)]).write.csv(path, sep="|", encoding="ISO-8859-1")
+    return readers.read_items(spark, path).select("item_id", "movie_title", "unknown", "Western")
+
+
+@query("SELECT vec_id AS id, i, round(v / 255, 9) AS value FROM (SELECT vec_id, CAST(unnest(range(64)) AS INT) AS i, round(unnest(embedding)::DOUBLE, 6) AS v FROM embeddings)")
+def read_wide_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as headerless lines of 65 numbers and read back, scaled, without the first one; the row numbers are complete."""
+    path = _path(spark, "wide")
+    rows = _points(spark, d).select("id", *[F.round(F.element_at("features", i), 6).cast("decimal(9,6)").alias(f"f{i}") for i in range(1, 65)])
+    rows.write.csv(path)
+    back = readers.read_vectors(spark, path, 64, 255.0)
+    n, least, most = back.agg(F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).first()
+    if n and (least, most) != (0, n - 1):
+        raise ValueError(f"{n} rows are numbered {least} to {most}")
+    return back.select(F.col("label").cast("long").alias("id"), F.posexplode("features").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+def _png(rows: np.ndarray) -> bytes:
+    """A grey PNG of a matrix of bytes."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row.tobytes() for row in rows))) + chunk(b"IEND", b"")
+
+
+def _images(spark: SparkSession, d: str) -> str:
+    """Embeddings as images, 64 vectors to a file and a line each: the folder they were written to."""
+    folder = _path(spark, "images")
+    grey = F.transform("features", lambda x: F.floor((x + 1) * 127.5).cast("int"))
+    lines = _points(spark, d).groupBy(F.expr("id div 64").alias("image")).agg(F.sort_array(F.collect_list(F.struct("id", grey.alias("line")))).alias("lines"))
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for image, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{image}.png") as sink:
+                    sink.write(_png(np.array([r["line"] for r in rows], np.uint8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["image"])
+
+    lines.mapInArrow(write, "image long").count()
+    return folder
+
+
+_GREY = """
+WITH p AS (SELECT vec_id // 64 AS image, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+c AS (SELECT image, CAST(y AS INT) AS y, CAST(unnest(range(64)) AS INT) AS x, CAST(floor((unnest(embedding)::DOUBLE + 1) * 127.5) AS INT) AS v FROM p)"""
+
+
+def _read_images(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_pixels(spark, _images(spark, d)).withColumn("image", F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("long"))
+
+
+@query(_GREY + "\nSELECT image, y, x, v AS r, v AS g, v AS b FROM c")
+def read_image_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return _read_images(spark, d).select("image", "y", "x", "r", "g", "b")
+
+
+@query(_GREY + "\nSELECT image, y, count(*) AS width, string_agg(v, ',' ORDER BY x) AS line FROM c GROUP BY 1, 2")
+def image_scanlines(spark: SparkSession, d: str) -> DataFrame:
+    lines = images.scanlines(_read_images(spark, d).withColumn("image_id", F.col("image")))
+    text = F.array_join(F.transform("line", lambda p: p.r.cast("string")), ",")
+    return lines.select(F.col("image_id").alias("image"), "y", F.size("line").cast("long").alias("width"), text.alias("line"))

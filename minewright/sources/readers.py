@@ -56,12 +56,13 @@ def read_vectors(spark: SparkSession, path: str, width: int, scale: float = 1.0)
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """All images of a folder as image_id, y, x, r, g, b: one row per pixel, made by the executors.
 
-    Spark decodes to interleaved bytes, blue first; grey images give equal channels, alpha is left out.
+    Spark decodes to interleaved bytes, blue first; grey images give equal channels, alpha is left out. Images are cut
+    into lines before they are cut into pixels, so a pixel's row carries one line.
     """
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    pixel = image.select("origin", "width", "nChannels", "data", F.explode(F.expr("sequence(0, height * width - 1)")).alias("p"))
-    byte = lambda k: F.expr(f"cast(conv(hex(substring(data, p * nChannels + {k} + 1, 1)), 16, 10) as int)")
+    line = image.select("origin", "width", "nChannels", "data", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))
+    line = line.select("origin", "nChannels", "y", "width", F.expr("substring(data, y * width * nChannels + 1, width * nChannels)").alias("line"))
+    pixel = line.select("origin", "nChannels", "y", "line", F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
+    byte = lambda k: F.expr(f"cast(conv(hex(substring(line, x * nChannels + {k} + 1, 1)), 16, 10) as int)")
     channel = lambda k: F.when(F.col("nChannels") == 1, byte(0)).otherwise(byte(k))
-    return pixel.select(
-        F.col("origin").alias("image_id"), F.expr("cast(p div width as int)").alias("y"), F.expr("p % width").alias("x"), channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b")
-    )
+    return pixel.select(F.col("origin").alias("image_id"), "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))

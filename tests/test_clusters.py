@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -134,3 +135,42 @@ def test_propagation_chain(spark):
     assert whole[0].label == 7 and whole[15].label == 3 and whole[0].score == 1.0
     with pytest.raises(ValueError):
         propagation.affinity_graph(points, 1.0, None, dense_limit=5)
+
+
+def test_closest_rows_at_their_exact_distances(spark):
+    """Far from the origin a matrix product alone would blur small distances and exact matches."""
+    rng = np.random.default_rng(2)
+    x = 1e4 + rng.normal(0, 1e-3, (400, 8)).round(5)
+    x[7] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(3)
+    got = {(r.q_id, r["rank"]): (r.b_id, r.dist) for r in neighbors.knn_join(rows.filter("id < 20"), rows, 5, query_block=8).collect()}
+    for i in range(20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = np.lexsort((np.arange(400), d.round(9)))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(int(j), pytest.approx(d[j], abs=1e-12)) for j in order]
+    assert got[7, 1] == (3, 0.0) and got[3, 2] == (7, 0.0)
+    own = neighbors.knn_join(rows, rows, 2, self_join=True)
+    assert own.filter("q_id = b_id").count() == 0 and own.count() == 800
+
+
+def test_vectors_of_one_length_only(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, features array<double>")
+    with pytest.raises(PySparkException, match="vectors of 1 to 2"):
+        neighbors.knn_join(rows, rows, 1).collect()
+
+
+def test_assign_keeps_columns_and_nulls(spark):
+    rows = spark.createDataFrame([(1, [0.0], "a"), (2, None, "b"), (3, [9.0], None)], "id long, features array<double>, cluster string")
+    start = spark.createDataFrame([(4, [1.0]), (9, [8.0])], clustering.CENTROIDS)
+    got = clustering.assign(rows, start)
+    assert got.columns == ["id", "features", "cluster", "distance"]
+    assert sorted((r.id, r.cluster, r.distance) for r in got.collect()) == [(1, 4, 1.0), (2, None, None), (3, 9, 1.0)]
+    assert {r.cluster for r in clustering.assign(rows, start.limit(0)).collect()} == {None}
+
+
+def test_propagation_with_a_tolerance_writes_its_state(spark):
+    edges = spark.createDataFrame([(a, b, 1.0) for i in range(30) for a, b in ((i, i), (i, i + 1), (i + 1, i))], "src long, dst long, w double")
+    seeds = spark.createDataFrame([(0, 1), (30, 2)], "id long, label int")
+    for tol in (0.0, 1e-9):
+        got = {r.id: r.label for r in propagation.propagate(edges, seeds, max_iter=60, tol=tol, check_every=7).collect()}
+        assert [got[i] for i in range(31)] == [1] * 16 + [2] * 15

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.errors import PySparkException
 
 from minewright.operators import ratings, recommend, similarity
 
@@ -104,3 +105,9 @@ def test_equal_predictions_tie_by_item(spark):
     rows = [(1, 1, 1), (1, 2, 2), (1, 3, 4)] + [(u, i, r) for u, s in ((2, 0), (3, 1)) for i, r in ((1, 1), (2, 2 + s), (3, 4), (7, 5), (5, 5), (6, 5))]
     got = recommend.recommend(spark.createDataFrame(rows, "user_id long, item_id long, rating int"), spark.createDataFrame([], "item_id long, title string"), 1)
     assert [(r.item_id, r.title) for r in got.orderBy("rank").collect()] == [(5, None), (6, None), (7, None)]
+
+
+def test_slice_of_a_matrix_with_a_cell_twice(spark):
+    rows = spark.createDataFrame([(1, 1, 3), (1, 1, 4), (2, 1, 5)], "user_id int, item_id int, rating int")
+    with pytest.raises(PySparkException, match="more than one rating for user 1"):
+        ratings.rating_slice(rows, 2, 1).collect()

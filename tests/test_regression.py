@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from minewright.operators import metrics, regression, sampling
 
+#: A published table of heights (cm) and weights (kg) with a known line.
 HEIGHTS = [147, 150, 153, 158, 163, 165, 168, 170, 173, 175, 178, 180, 183]
 WEIGHTS = [49, 50, 51, 54, 58, 59, 60, 62, 63, 64, 66, 67, 68]
 
