@@ -78,18 +78,35 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def rows_as_events(rows: DataFrame) -> DataFrame:
-    """A conversations table as an event log: each row, in order of (turn, role, text), is a message's delta."""
+    """A conversations table as the log that a chat service would have kept of it; fold_events() gives the rows back.
+
+    Each row, in order of (turn, role, text), is a message of three events. By a hash of the row it was
+    streamed in three deltas, or drafted and then edited, or drafted and then generated again, the final text
+    arriving in parts; only the first event states the role.
+    """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", "text").select(
-        "conv_id", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), "role", "text"
-    )
+    numbered = rows.select("conv_id", F.row_number().over(order).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    third = F.expr("length(text) div 3")
+    part = lambda a, b: F.substring("text", a + 1, b - a)
+    head, middle, tail = part(F.lit(0), third), part(third, 2 * third), part(2 * third, F.length("text"))
+    event = lambda j, kind, text: F.struct(F.lit(j).alias("j"), F.lit(kind).alias("kind"), text.alias("text"))
+    logs = [
+        [event(0, "delta", head), event(1, "delta", middle), event(2, "delta", tail)],
+        [event(0, "delta", tail), event(1, "edit", F.concat(head, middle)), event(2, "delta", tail)],
+        [event(0, "delta", middle), event(1, "regenerate", head), event(2, "delta", F.concat(middle, tail))],
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "message", "text"), F.lit(len(logs)))
+    log = F.when(kind == 0, F.array(*logs[0])).when(kind == 1, F.array(*logs[1])).otherwise(F.array(*logs[2]))
+    events = numbered.select("conv_id", "message", "role", F.explode(log).alias("e"))
+    return events.select("conv_id", (F.col("message") * 3 + F.col("e.j")).alias("seq"), "message", "e.kind", F.when(F.col("e.j") == 0, F.col("role")).alias("role"), "e.text")
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conversations rows (conv_id, turn, role, text) to conv_id, formatted, loss_mask.
+    """conversations rows (conv_id, turn, role, text) to conv_id, formatted, loss_mask, by way of their event log.
 
     Null roles and texts are empty. Repeated rows and equal turns are turns of their own, ordered by
-    role and text. Null conv_id is a conversation of its own. Other columns are ignored.
+    role and text. Null conv_id is a conversation of its own. Other columns are ignored, whatever their names.
+    Very long texts are kept whole; a conversation must fit into a row. An empty table gives no rows.
     """
     return render(fold_events(rows_as_events(rows.select("conv_id", "turn", "role", "text"))))
 

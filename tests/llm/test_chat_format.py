@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -67,6 +68,29 @@ def test_fold_events(spark):
     assert [text[a : a + n] for a, n in spans[1]] == ["good!"] and spans[2] == []
 
 
+def test_random_logs_against_a_plain_fold(spark):
+    rng = np.random.default_rng(7)
+    events, want = [], {}
+    for conv in range(30):
+        for seq in range(int(rng.integers(1, 40))):
+            m, kind = int(rng.integers(0, 5)), str(rng.choice(["delta", "delta", "edit", "regenerate", "other"]))
+            role, text = [None, "user", "assistant"][rng.integers(0, 3)], [None, "", "a", "</s>", "é\\n"][rng.integers(0, 5)]
+            events.append((conv, seq, m, kind, role, text))
+            old = want.get((conv, m), ("", ""))
+            want[conv, m] = (role or old[0], (text or "") if kind in ("edit", "regenerate") else old[1] + (text or ""))
+    events += [events[i] for i in rng.integers(0, len(events), 50)]  # delivered twice
+    df = spark.createDataFrame([events[i] for i in rng.permutation(len(events))], "conv_id long, seq long, message long, kind string, role string, text string").repartition(5)
+    assert {(r.conv_id, r.message): (r.role, r.text) for r in cf.fold_events(df).collect()} == want
+
+
+def test_rows_become_a_log_of_deltas_edits_and_regenerations(spark):
+    df = spark.createDataFrame([(c, t, "user", f"text {c} of {t} é😀", "") for c in range(20) for t in range(5)], SCHEMA)
+    log = cf.rows_as_events(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"} and log.count() == 300
+    assert log.groupBy("conv_id", "message").count().filter("count < 3").count() == 0
+    assert {(r.conv_id, r.text) for r in cf.fold_events(log.orderBy("text")).collect()} == {(r.conv_id, r.text) for r in df.collect()}
+
+
 @pytest.mark.parametrize("text", NASTY[:6])
 def test_escape_is_reversible(spark, text):
     from pyspark.sql import functions as F
