@@ -92,37 +92,41 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, alpha: float = 0.5, max_languages: int = 500) -> Model:
     """Count n-grams by language over all rows of docs with a language.
 
-    Tasks count; what is shuffled and collected are summed counts by language and bucket, at most
-    max_languages * buckets numbers (more languages raise ValueError). Null texts are empty.
+    Tasks count; what is shuffled are summed counts by language and bucket, and what is collected is a row per
+    language with an array of at most `buckets` counts (more than max_languages languages raise ValueError). Null
+    texts are empty; very long ones are counted whole, one at a time; repeated rows count again. Ids and other
+    columns don't matter. An empty table gives a model without languages.
     """
 
     def work(batches):
         known: dict[str, int] = {}
-        counts = np.zeros((0, buckets + 1), np.int64)
+        counts, texts = np.zeros((0, buckets), np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            langs = [known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()]
+            code = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()], np.int64)
             if len(known) > max_languages:
                 raise ValueError(f"more than {max_languages} languages")
-            counts = np.concatenate([counts, np.zeros((len(known) - len(counts), buckets + 1), np.int64)])
-            code = np.array(langs, np.int64)
-            counts[:, -1] += np.bincount(code, minlength=len(known))
+            counts = np.concatenate([counts, np.zeros((len(known) - len(counts), buckets), np.int64)])
+            texts = np.concatenate([texts, np.zeros(len(known) - len(texts), np.int64)]) + np.bincount(code, minlength=len(known))
             for chunk in tn.chunks(batch.column(0), lower=True):
                 own = code[chunk.first : chunk.first + len(chunk)]
                 for bucket, first in ngrams(chunk, sizes, buckets):
-                    lang = np.repeat(own, np.diff(first))
-                    counts[:, :-1] += np.bincount(lang * buckets + bucket, minlength=len(known) * buckets).reshape(len(known), buckets)
+                    cell, n = np.unique(np.repeat(own, np.diff(first)) * buckets + bucket, return_counts=True)
+                    counts.reshape(-1)[cell] += n
+        names = np.array(list(known), object)
         row, bucket = np.nonzero(counts)
-        names = list(known)
-        yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row], pa.string()), pa.array(bucket), pa.array(counts[row, bucket])], ["lang", "bucket", "n"])
+        # The number of texts stands in the bucket behind the last one.
+        lang, place, n = np.concatenate([names[row], names]), np.concatenate([bucket, np.full(len(names), buckets)]), np.concatenate([counts[row, bucket], texts])
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(place), pa.array(n)], ["lang", "bucket", "n"])
 
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    found = rows.mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    lang, bucket, n = found["lang"].to_pylist(), found["bucket"].to_numpy(), found["n"].to_numpy()
-    languages = sorted(set(lang))
+    summed = rows.mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(max_languages + 1).toArrow()
+    languages = sorted(found["lang"].to_pylist())
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.zeros((len(languages), buckets + 1))
-    counts[np.searchsorted(languages, lang) if languages else [], bucket] = n
+    for lang, x in zip(found["lang"].to_pylist(), found["x"].combine_chunks() if len(languages) else [], strict=True):
+        counts[languages.index(lang), x.values.field(0).to_numpy()] = x.values.field(1).to_numpy()
     grams, texts = counts[:, :-1] + alpha, counts[:, -1]
     return Model(languages, np.log(grams) - np.log(grams.sum(1, keepdims=True)), np.log(texts + 1) - np.log(texts.sum() + max(1, len(languages))), sizes, buckets)
 
@@ -130,7 +134,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes
 def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs plus the predicted language and its probability; the text is all that is looked at.
 
-    Texts that are null or have no letter get "und" and 0. Columns of those names are replaced. The
+    Texts that are null or have no letter get "und" and 0. Of languages that are equally likely, the first by name
+    is taken. Very long texts are scored whole, a chunk of texts or one long text at a time; repeated rows alike.
+    Columns of the added names are replaced, others kept. An empty table gives no rows. The
     model (languages x buckets numbers, bounded by train()) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -66,3 +68,51 @@ def test_held_out_accuracy(spark):
     found = li.identify(docs.filter(out), li.train(docs.filter(~out)))
     row = found.agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a")).first()
     assert row.n > 150 and row.a > 0.98
+
+
+def plain_model(rows, buckets, alpha=0.5):
+    """Naive Bayes written out, a character at a time: lang -> (log prior, log probability by bucket)."""
+    counts, texts = {}, {}
+    for text, lang in rows:
+        if lang is not None:
+            own = counts.setdefault(lang, [0] * buckets)
+            texts[lang] = texts.get(lang, 0) + 1
+            for b in plain_grams(text or "", buckets):
+                own[b] += 1
+    total = sum(texts.values())
+    return {k: (math.log((texts[k] + 1) / (total + len(texts))), [math.log((c + alpha) / (sum(v) + alpha * buckets)) for c in v]) for k, v in counts.items()}
+
+
+def plain_grams(text, buckets):
+    text = [ord(c) if c.isalpha() else 0 for c in text.lower()]
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            h = n
+            for c in text[i : i + n]:
+                h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            if any(text[i : i + n]):
+                yield h % buckets
+
+
+def test_predictions_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda a: "".join(rng.choice(list(a), int(rng.integers(1, 7))))
+    alphabets = {"aa": "abcdeé ", "bb": "cdefgß-", "cc": "ABXYZ12"}
+    rows = [(" ".join(word(alphabets[k]) for _ in range(int(rng.integers(0, 9)))), k) for k in list(alphabets) * 30]
+    rows += [(None, "aa"), ("", "bb"), ("x y", None), ("dd " * 5000, "bb")]
+    asked = [" ".join(word("abcdefgßéxyz 1") for _ in range(3)) for _ in range(60)] + ["", None, "123", "é", "cde " * 9000]
+    model = li.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), buckets=64)
+    got = {r.id: r for r in li.identify(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), model).collect()}
+    plain = plain_model(rows, 64)
+    for i, text in enumerate(asked):
+        grams = list(plain_grams(text or "", 64))
+        logs = {k: prior + sum(log[b] for b in grams) for k, (prior, log) in plain.items()}
+        best = max(sorted(logs), key=lambda k: logs[k])
+        share = 1 / sum(math.exp(max(-700, x - logs[best])) for x in logs.values())
+        assert (got[i].lang_pred, got[i].score) == ((best, pytest.approx(share, rel=1e-6)) if grams else ("und", 0.0))
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = li.train(spark.createDataFrame([("abc", "zz"), ("abc", "mm")], "text string, lang string"))
+    assert [(r.lang_pred, r.score) for r in li.identify(spark.createDataFrame([("abc",), ("q",)], "text string"), model).collect()] == [("mm", 0.5)] * 2
