@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.functions.storage import materialize, shared_dir
+from minewright.functions.storage import Scratch, materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "join_groups", "materialize", "new_path", "table"]
+__all__ = ["SPACE", "WORD", "Scratch", "fresh", "join_groups", "materialize", "new_path", "table", "with_row_identity"]
 
 #: ASCII white space as every contract of this subpackage counts it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,16 +25,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 256) -> DataFrame:
+def with_row_identity(docs: DataFrame, name: str) -> DataFrame:
+    """docs plus a struct that tells its rows apart and is the same in every scan: file and place in it.
+
+    A table that Spark reads from Parquet has both already; any other is written to the shared folder first.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn(name, place)
+    except AnalysisException:
+        return materialize(docs, "rows").withColumn(name, place)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or one like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = 20_000, floor: int = 256, inner: bool = False) -> DataFrame:
     """rows left-joined with groups (unique in keys) on keys, safe for groups that hold most rows.
 
-    The `hot` largest groups by column size go to every task (that many rows, no more). Rows of any
-    other group are joined by shuffling, and such a group has at most 1/hot of all rows. The rows of
-    hot groups are dealt by column spread meanwhile. Key columns must not be null.
+    The largest groups by column size, at most `hot` of them and of more than `floor` rows each, go to
+    every task (that many rows of fixed width, no more). Rows of any other group are joined by shuffling,
+    and such a group has at most `floor` or 1/hot of all rows. The rows of hot groups are dealt by column
+    spread meanwhile. Key columns must not be null. With inner, rows without a group are left out.
     """
     added = [c for c in groups.columns if c not in keys]
-    top = groups.orderBy(F.desc(size), *keys).limit(hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in added], F.lit(True).alias("_is_hot"))
+    top = groups.filter(F.col(size) > floor).orderBy(F.desc(size), *keys).limit(hot)
+    top = top.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in added], F.lit(True).alias("_is_hot"))
     rest = groups.join(F.broadcast(top.select(*keys)), keys, "left_anti")
+    if inner:
+        often = rows.join(F.broadcast(top.select(*keys, *[F.col(f"_hot_{c}").alias(c) for c in added])), keys)
+        return often.unionByName(rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(rest, keys))
     rest = rest.select(*[F.col(c).alias(f"_key_{c}") for c in keys], *[F.col(c).alias(f"_rest_{c}") for c in added])
     rows = rows.join(F.broadcast(top), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.hash(spread)))
     rest = rest.withColumn("_rest_salt", F.lit(None).cast("int"))

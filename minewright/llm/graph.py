@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minewright.llm.common import materialize
+from minewright.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of long ids to (id, component), the smallest id reachable, for ids with edges.
 
     Alternates large-star and small-star steps: each is a grouped minimum and a join, so no node's
-    neighbours are ever gathered in one place. Rounds grow with the logarithm of a component's size.
+    neighbours are ever gathered in one place; a hub's edges meet its one minimum in a join that
+    adaptive execution splits. Rounds grow with the logarithm of a component's size and end when every
+    component is a star around its smallest id.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = materialize(pairs, "edges")
-    state = None
-    while True:
+    rounds, pairs = 0, scratch.keep(pairs, "edges0")
+    while not rounds or not _stars(pairs):
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.filter("u <> v").distinct(), "edges")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        state = now
+        rounds, pairs = rounds + 1, scratch.keep(small.filter("u <> v").distinct(), f"edges{rounds + 1}")
+        scratch.drop(f"edges{rounds - 1}")
+    own = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u."""
+    ends = pairs.select(F.col("u").alias("id"), F.lit(1).alias("n")).unionByName(pairs.select(F.col("v").alias("id"), F.lit(0).alias("n")))
+    bad = ends.groupBy("id").agg(F.sum("n").alias("k"), F.min("n").alias("root")).filter("k > 1 OR (k = 1 AND root = 0)")
+    return bad.isEmpty()
