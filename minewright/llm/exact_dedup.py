@@ -16,28 +16,27 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), SPACE, " ")
 
 
-def merge_runs(digests: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
+def merge_runs(digests: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
     """Merge sorted digest runs in rounds until one entry per digest is left.
 
-    digests has KEY, _id and _n. The tasks that read the input are dealt over `runs` runs. In a
-    round, each merging node takes the runs of `fan_in` children; their entries arrive split by
-    digest, are kept in digest order, and each digest keeps its smallest identifier and summed count.
-    A digest therefore brings at most `fan_in` entries to any node, however many copies it has.
+    digests has KEY, _id and _n. The tasks that read the input are dealt over `runs` runs. In a round, each
+    merging node takes the runs of `fan_in` children. As the least identifier is kept with its null flag as a
+    struct, Spark aggregates by sorting: every task sorts its entries by run and digest and merges neighbours
+    before they are exchanged; behind the exchange, split by digest, the sorted entries of all children
+    are merged again, and each digest keeps its smallest identifier and summed count. A digest therefore brings
+    at most one entry per task and child to any node, however many copies it has.
     """
-    level = digests.withColumn("_run", F.pmod(F.spark_partition_id(), F.lit(runs)))
+    least = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    level = digests.select(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("_run"), *KEY, least.alias("_least"), "_n")
     while True:
-        level = (
-            level.groupBy("_run", *KEY)
-            .agg(F.min("_id").alias("_id"), F.sum("_n").alias("_n"))
-            .sortWithinPartitions("_run", *KEY)
-        )
+        level = level.groupBy("_run", *KEY).agg(F.min("_least").alias("_least"), F.sum("_n").alias("_n"))
         if runs == 1:
-            return level.drop("_run")
+            return level.select(*KEY, F.col("_least.id").alias("_id"), "_n")
         runs = -(-runs // fan_in)
         level = level.withColumn("_run", F.expr(f"_run div {fan_in}"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8, hot_groups: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 4, hot_groups: int = 20_000) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same after each run of ASCII white space became one space.
@@ -45,10 +44,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash: entries merge only if all three agree. Null and empty texts form one group. Ids are taken
     as unique; rows that repeat an id are counted, and are all kept if theirs is the smallest id.
     Null ids sort last: a group of null ids only has a null keep_id and keeps its rows. Other columns
-    of the input are ignored, whatever their names. An empty table gives no rows.
+    of the input are ignored, whatever their names. Very long texts are hashed whole; they are never shuffled.
+    An empty table gives no rows.
 
-    The `hot_groups` largest groups are sent to every task (that many rows, no more); every other
-    group has at most 1/hot_groups of all rows and is joined by shuffling.
+    The `hot_groups` largest groups are sent to every task (that many rows, no more); see join_groups().
     """
     text = normalised(text_col)
     keyed = materialize(

@@ -47,3 +47,14 @@ def test_hot_group(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text").repartition(7)
     got = ed.exact_dedup(df, hot_groups=1)
     assert got.filter("keep_id = 0").count() == 1000 and got.filter("kept").count() == 2001
+
+
+def test_runs_are_sorted_and_merged(spark, capsys):
+    """Every level sorts entries by run and digest on both sides of the exchange and merges neighbours."""
+    digests = spark.range(500).selectExpr("sha2(string(id % 90), 256) AS _sha", "5L AS _len", "7L AS _check", "500 - id AS _id", "1L AS _n").repartition(9)
+    merged = ed.merge_runs(digests, runs=16, fan_in=4)
+    merged.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan and plan.count("Sort [") == 6
+    got = {(r._sha, r._id, r._n) for r in merged.collect()}
+    assert got == {(hashlib.sha256(str(k).encode()).hexdigest(), 500 - max(range(k, 500, 90)), len(range(k, 500, 90))) for k in range(90)}
