@@ -47,6 +47,85 @@ def test_scores_match_the_layers(net):
         assert net.logits(tokens, np.array([0, len(tokens)]))[0] == pytest.approx(np.maximum(pooled, 0) @ net.out + net.bias, abs=1e-3)
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 50, (m, 3)).astype(np.int32) for m in (5, 1, 0, 7)]
+    net = tx.Network((1, 2, 3), 4, rng.normal(0, 0.5, (50, 6)), [rng.normal(0, 0.5, (w, 6, 4)) for w in (1, 2, 3)], rng.normal(0, 1, 12), 0.1)
+    keep, by = rng.random((13, 3)) >= 0.3, rng.normal(0, 1, (4, 12))
+    batch = tx.forward(net, texts, keep)
+    banks, rows, deltas = tx.backward(net, batch, by * (batch.pooled != 0))
+    assert (batch.pooled[2] == 0).all()
+
+    def slope(values, at, e=1e-6):
+        old = values[at]
+        values[at] = old + e
+        up = (tx.forward(net, texts, keep).pooled * by).sum()
+        values[at] = old - e
+        down = (tx.forward(net, texts, keep).pooled * by).sum()
+        values[at] = old
+        return (up - down) / (2 * e)
+
+    for j, at in ((0, (0, 1, 2)), (1, (0, 2, 1)), (1, (1, 3, 0)), (2, (2, 5, 3)), (2, (0, 0, 0))):
+        assert banks[j][at] == pytest.approx(slope(net.banks[j], at), abs=1e-6)
+    for i, r in enumerate(rows):
+        assert deltas[i, r % 6] == pytest.approx(slope(net.embedding, (r, r % 6)), abs=1e-6)
+
+
+def test_training_adds_what_depends_on_words_together():
+    """Label 1 if `very` stands right before `bad`; single words say nothing, so the starting point doesn't tell the labels apart."""
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for i in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 30, 12)]
+        y = i % 2
+        at, other = rng.choice(np.arange(0, 12, 3), 2, replace=False)
+        words[at : at + 2] = ["very", "bad"] if y else ["very", "dull"]
+        words[other : other + 2] = ["rather", "dull"] if y else ["rather", "bad"]
+        texts.append(" ".join(words))
+        labels.append(y)
+    labels, cut = np.array(labels), 700
+    right = lambda net: ((net.scores(pa.array(texts[cut:])) >= 0.5) == labels[cut:]).mean()
+    fitted = lambda **o: tx.fit(pa.array(texts[:cut]), labels[:cut], [None] * cut, epochs=40, **o)
+    assert right(fitted()) > 0.9 and right(fitted(rate=0.0)) < 0.7
+
+
+def test_thresholds_by_language():
+    """The same toxic words, said lightly in one language: its texts need a higher logit."""
+    rng = np.random.default_rng(5)
+    texts, labels, langs = [], [], []
+    for i in range(800):
+        lang, y = "ab"[i % 2], int(i % 4 < 2)
+        words = [f"{lang}{x}" for x in rng.integers(0, 40, 15)]
+        words[3] = "foul" if y else words[3]
+        if lang == "b":
+            words[7] = "foul"  # in every text of b
+            words[9] = "filth" if y else words[9]
+            words[3] = words[4]
+        texts.append(" ".join(words))
+        labels.append(y)
+        langs.append(lang)
+    net = tx.fit(pa.array(texts), np.array(labels), langs)
+    assert net.languages == ["a", "b"] and net.thresholds[0] != net.thresholds[1]
+    tokens = [tx._texts(pa.array([t]), len(net.embedding))[0] for t in texts]
+    assert [net.language(t, np.array([0, len(t)]))[0] for t in tokens] == [i % 2 for i in range(800)]
+    aside = np.arange(800) % 5 == 4
+    z = np.array([net.logits(t, np.array([0, len(t)]))[0] for t in tokens])
+    for k in (0, 1):
+        own = aside & (np.arange(800) % 2 == k)
+        errors = lambda cut: ((z[own] >= cut) != (np.array(labels)[own] == 1)).sum()
+        assert errors(net.thresholds[k]) == min(errors(c) for c in np.append(z[own], np.inf))
+    score = net.scores(pa.array(texts))
+    assert ((score >= 0.5) == (np.array(labels) == 1)).mean() > 0.95
+
+
+def test_long_texts_are_scored_but_not_learned_from(spark):
+    texts, labels, langs = corpus()
+    docs = spark.createDataFrame([(i, t, "aa", "") for i, t in enumerate(texts)] + [(10_000, "odd " * 20_000, "aa", "")], SCHEMA)
+    known = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)] + [(10_000, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in tx.score(docs, tx.train(docs, known)).collect()}
+    assert got[10_000] == 0 and tx.score(docs, tx.train(docs, known, longest=1 << 20)).filter("doc_id = 10000").first().score > 0.0
+
+
 def test_batches_do_not_mix_texts(net):
     texts = ["nasty", "w1 w2", "", "vile w4", "w5"]
     together = net.scores(pa.array(texts))
