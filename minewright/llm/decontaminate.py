@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minewright.functions.storage import read_block, stored_blocks
 from minewright.llm import textnum as tn
-from minewright.llm.common import materialize
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -20,7 +21,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 class Items:
     """A block of test items: words as hashes, and the sorted seeds that point to them."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
@@ -53,7 +54,7 @@ def build_items(ids: list[int], texts: list[str | None], n: int) -> Items:
             words.append(own)
     seeds, item, place = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((seeds, np.uint64), (item, np.int64), (place, np.int64)))
     order = np.lexsort((place, item, seeds))
-    return Items(np.array(ids), words, seeds[order], item[order], place[order])
+    return Items(ids, words, seeds[order], item[order], place[order])
 
 
 def _whole(own: np.ndarray) -> np.ndarray:
@@ -117,9 +118,21 @@ def ceilings(items: Items, hashes: np.ndarray, item: np.ndarray, a: np.ndarray,
     return np.maximum.reduceat(run - np.minimum.accumulate(run - gain), begin)
 
 
-def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[int], least_score: float, block: int = 20_000) -> Iterator[tuple[int, int, float, int, int]]:
+def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[int], least_score: float, block: int = 20_000, at_once: int = 500_000) -> Iterator[tuple[int, int, float, int, int]]:
     text, word, seed = seed_hits(hashes, first, items.unique, sizes)
     lo, hi = np.searchsorted(items.seeds, seed, "left"), np.searchsorted(items.seeds, seed, "right")
+    order = np.argsort(text, kind="stable")
+    total = np.cumsum((hi - lo)[order])
+    # Texts with many common seeds are taken apart, so that a part has about `at_once` pairs of a hit and an item.
+    ends = np.unique(np.append(np.searchsorted(text[order], text[order][np.searchsorted(total, np.arange(at_once, total[-1], at_once))], "right"), len(order))) if len(order) else []
+    begin = 0
+    for end in ends:
+        some = order[begin:end]
+        yield from _regions(items, hashes, first, text[some], word[some], lo[some], hi[some], least_score, block)
+        begin = end
+
+
+def _regions(items: Items, hashes: np.ndarray, first: np.ndarray, text: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, least_score: float, block: int) -> Iterator[tuple[int, int, float, int, int]]:
     reps = hi - lo
     post = np.repeat(lo - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
     text, word = np.repeat(text, reps), np.repeat(word, reps)
@@ -149,6 +162,33 @@ def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[in
                 yield t, i, score / (MATCH * int(items.length[i])), shift + y, shift + z
 
 
+def stored_items(benchmark: DataFrame, item_col: str, item_text_col: str, block_items: int) -> list[tuple[str, ...]]:
+    """Write the items to the shared folder, for tasks to read: the files of each block of about `block_items` items."""
+    return stored_blocks(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL"), block_items, "items")
+
+
+@lru_cache(maxsize=2)
+def load_items(files: tuple[str, ...], n: int) -> Items:
+    """A block of items, read once per Python process."""
+    rows = read_block(files).sort_by([("id", "ascending"), ("text", "ascending")])
+    return build_items(rows["id"].to_pylist(), rows["text"].to_pylist(), n)
+
+
+def _found(column: pa.Array, items: Items, n: int, least_score: float) -> Iterator[tuple[int, int, list, int]]:
+    """(text, item, best hit, copies) of the items found in texts."""
+    sizes, base = sorted({min(n, len(w)) for w in items.words if len(w)}), 0
+    for hashes, first in tokens(column):
+        best: dict[tuple[int, int], list] = {}
+        for t, i, *hit in _matches(items, hashes, first, sizes, least_score):
+            old = best.setdefault((t, i), [hit, 0, 0])
+            old[1] += hit[1] >= old[2]  # regions side by side can show one copy
+            old[2] = max(old[2], hit[2])
+            if hit[0] > old[0][0]:
+                old[0] = hit
+        yield from ((base + t, i, hit, copies) for (t, i), (hit, copies, _) in best.items())
+        base += len(first) - 1
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     n: int = 3, least_score: float = 0.5, block_items: int = 20_000,
@@ -163,58 +203,52 @@ def find_leaks(
     paraphrased copies with one n-word run intact. score is 1 for an exact copy; n_copies counts the
     regions whose alignments don't overlap, of which the row shows the best (ties: the first).
 
-    The pass only maps; text isn't shuffled and no key gathers rows. The items are a query set:
-    they go to the tasks in blocks of `block_items`, one scan of the documents per block, so what is
-    broadcast is bounded for any number of items (whose texts are items, not corpora).
+    The pass only maps; text isn't shuffled and no key gathers rows. The items are a query set: Spark writes
+    them to the shared folder in files, and the tasks read blocks of about `block_items` of them, one scan of the
+    documents per block. So a task's memory is bounded for any number of items (whose texts are items, not
+    corpora), and none passes through the driver.
 
     Words are runs of letters and digits, lower-cased. Null, empty or wordless texts and items give no
-    leak. Items shorter than n words are one seed. Repeated documents give their rows again; repeated
-    items their own rows per row. Other columns are ignored.
+    leak, an empty table gives no rows. Very long texts are searched whole, one at a time. Items shorter than n
+    words are one seed. Repeated documents give their rows again; repeated items their own rows per row; null ids
+    are kept as null. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"`{id_col}` long, `{item_col}` long, score double, start_word long, end_word long, n_copies long"
-    found = spark.createDataFrame([], schema)
-    rows, block = wanted.toLocalIterator(), []
-    while True:
-        row = next(rows, None)
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == block_items):
-            found = found.unionByName(_block_leaks(docs, build_items([r.id for r in block], [r.text for r in block], n), n, least_score, schema))
-            block = []
-        if row is None:
-            return found
-
-
-def _block_leaks(docs: DataFrame, items: Items, n: int, least_score: float, schema: str) -> DataFrame:
-    sizes = sorted({min(n, len(w)) for w in items.words if len(w)})
-    whole = docs.sparkSession.sparkContext.broadcast(items)
-
-    def match(batches):
-        items = whole.value
-        for batch in batches:
-            ids, base, out = batch.column(0), 0, []
-            for hashes, first in tokens(batch.column(1)):
-                best: dict[tuple[int, int], list] = {}
-                for t, i, *hit in _matches(items, hashes, first, sizes, least_score):
-                    old = best.setdefault((t, i), [hit, 0, 0])
-                    old[1] += hit[1] >= old[2]  # regions side by side can show one copy
-                    old[2] = max(old[2], hit[2])
-                    if hit[0] > old[0][0]:
-                        old[0] = hit
-                out += [(ids[base + t].as_py(), int(items.ids[i]), *hit, copies) for (t, i), (hit, copies, _) in best.items()]
-                base += len(first) - 1
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "c", "d", "e", "f"])
-
-    return docs.mapInArrow(match, schema)
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents in which find_leaks() finds a test item; null ids stay."""
-    id_col = options.get("id_col", "doc_id")
-    leaked = materialize(find_leaks(docs, benchmark, **options).select(id_col).distinct(), "leaked")
-    return docs.join(leaked, id_col, "left_anti").select(*docs.columns)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for files in stored_items(benchmark, item_col, item_text_col, block_items):
+
+        def match(batches, files=files):
+            items = load_items(files, n)
+            for batch in batches:
+                ids = batch.column(0)
+                out = [(ids[t].as_py(), items.ids[i], *hit, copies) for t, i, hit, copies in _found(batch.column(1), items, n, least_score)]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "c", "d", "e", "f"])
+
+        found = found.unionByName(docs.mapInArrow(match, schema))
+    return found
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block_items: int = 20_000
+) -> DataFrame:
+    """docs without the rows in which find_leaks() finds a test item, in the pass that finds them.
+
+    Rows are judged one by one, so null and repeated ids are as good as others; null and empty texts stay.
+    All columns are kept.
+    """
+    at = docs.columns.index(text_col)
+    kept = docs
+    for files in stored_items(benchmark, item_col, item_text_col, block_items):
+
+        def clean(batches, files=files):
+            items = load_items(files, n)
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[t for t, *_ in _found(batch.column(at), items, n, least_score)]] = False
+                yield batch.filter(pa.array(stays))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
