@@ -23,7 +23,7 @@ def offsets(counts: DataFrame, group: int = 1024) -> DataFrame:
     return counts.join(totals, "_group").select("_bucket", "_n", (F.col("_base") + F.col("_before")).alias("_offset"))
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 2 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 2 << 20, alike: int = 1000) -> DataFrame:
     """docs plus shard (int) and slot (long): all rows in uniformly random order, dealt to the shards.
 
     Pass 1 scatters records by a seeded hash of id and text over so many buckets that one holds
@@ -33,29 +33,41 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     consecutive ranges of places: with n rows, the first n mod shards of them hold n div shards + 1 rows,
     the others one less; slots count from a shard's first place. So row counts differ by one at most,
     slots have no gaps, and a bucket lies in one shard or at a border, where it can be written at once.
+    Equal texts aren't kept together: they are spread like all others.
 
-    Nulls: a null id or text is hashed as such; records that are alike in both are interchangeable
-    and share a bucket. Columns named shard or slot in the input are replaced. Empty tables give no rows.
+    Nulls: a null id or text is hashed as such. Records that are alike in both share a bucket; if more than
+    `alike` are, all rows are numbered first, in a copy in the shared folder, and scattered by their number as
+    well, so repeats of one row don't fill a bucket. Records that tie in the order of a bucket are alike, and
+    either may come first. Very long texts: a record must fit into a row, and a bucket holds at least one.
+    Columns named shard or slot in the input are replaced, others kept, whatever their names. Empty tables
+    give no rows.
     """
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    docs = docs.select(*names)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    total, rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    docs = docs.select(*names).toDF(*(inner := [f"c{i}" for i in range(len(names))]))
+    key, text = (F.col(inner[names.index(c)]) for c in (id_col, text_col))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    tie = F.xxhash64(F.lit(seed), key, F.crc32(text.cast("binary")))
+    same = docs.groupBy(tie.alias("tie")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    total, rows, most = same.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > alike:
+        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        tie = F.xxhash64(F.lit(seed), key, F.crc32(text.cast("binary")), F.col("row"))
     each, more = divmod(rows, shards)
     buckets = max(shards, -(-total // bucket_bytes))
-    tie = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary")))
     scattered = docs.withColumn("_tie", tie).withColumn("_bucket", F.pmod("_tie", F.lit(buckets)))
     counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
     placed = offsets(counts).repartition(max(1, min(buckets // 64, 200 + buckets // 2048)), "_bucket").sortWithinPartitions("_bucket")
     # shuffle() is Spark's Fisher-Yates; its stream is fixed by the seed, the task's number and the order within.
     placed = materialize(placed.select("_bucket", "_offset", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.lit(seed)).alias("_perm")), "permutations")
-    order = W.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), "_tie"), "_tie", F.col(id_col))
-    numbered = scattered.withColumn("_i", F.row_number().over(order))
+    order = W.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), "_tie"), "_tie", key)
+    # A task takes some 8 buckets, more only where that would make too many tasks.
+    parts = min(buckets, max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(buckets // 8, 50_000)))
+    numbered = scattered.repartition(parts, "_bucket").withColumn("_i", F.row_number().over(order))
     joined = numbered.join(placed, "_bucket").withColumn("_place", F.col("_offset") + F.element_at("_perm", F.col("_i")))
     shard_of = f"CASE WHEN _place < {more * (each + 1)} THEN _place div {each + 1} ELSE {more} + (_place - {more * (each + 1)}) div {max(1, each)} END"
     joined = joined.withColumn("_shard", F.expr(shard_of))
     slot = F.col("_place") - F.col("_shard") * each - F.least(F.col("_shard"), F.lit(more))
-    return joined.select(*[F.col(c) for c in names], F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return joined.select(*[F.col(i).alias(c) for i, c in zip(inner, names, strict=True)], F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

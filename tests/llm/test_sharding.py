@@ -40,3 +40,16 @@ def test_offsets(spark):
     counts = spark.createDataFrame([(b, b % 3 + 1) for b in range(40)], "_bucket long, _n long")
     got = {r["_bucket"]: r["_offset"] for r in sharding.offsets(counts, 7).collect()}
     assert got == {b: sum(x % 3 + 1 for x in range(b)) for b in range(40)}
+
+
+@pytest.mark.parametrize("alike", [1000, 10**9])
+def test_rows_that_repeat_do_not_fill_a_bucket(spark, alike, monkeypatch):
+    sizes = []
+    kept = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: sizes.append(kept(df, name)) or sizes[-1])
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CASE WHEN id % 3 > 0 THEN string(id) END AS text")
+    got = sharding.shard(rows, 4, bucket_bytes=200, alike=alike).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i if i % 3 else 0 for i in range(6000))
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(1500)]
+    most = sizes[-1].selectExpr("max(size(_perm)) AS n").first().n
+    assert most < 150 if alike == 1000 else most > 2000
