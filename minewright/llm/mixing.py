@@ -103,7 +103,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    ratio: float = 1.5, cap: float = 2.0, shards: int = 8, block_words: int = 1024, buckets: int = 1024, seed: int = 29,
+    ratio: float = 1.5, cap: float = 2.0, shards: int = 8, block_words: int = 1024, buckets: int | None = None, seed: int = 29, alike: int = 1000,
 ) -> DataFrame:
     """docs plus size, source_size, target, taken and draws.
 
@@ -115,22 +115,32 @@ def mix(
     documents once more, the last of them in part. So the tree decides which documents are taken once
     more; targets are met to the word and no document exceeds cap times its size.
     draws: an array of (pass, words, shard, place), one entry per pass that takes words: those are the
-    first `words` words of the text; sorting a shard by place shuffles it, as write_mix() does.
+    first `words` words of the text; sorting a shard by place shuffles it, as in_shard_order() does.
 
     Places in a stream are running sums in two levels (hash buckets, then within a bucket), so a source
-    that holds most rows is spread over `buckets` tasks. Nulls: a null source is a source, ordered last;
-    null ids and texts are allowed; repeated rows are documents of their own. Input columns with the
-    names that are added are replaced. Empty tables and empty sources give targets of 0.
+    that holds most rows is spread. Without `buckets` there are so many that one holds about 32 MB of text,
+    64 at least. Nulls: a null source is a source, ordered last; null ids and texts are allowed. Repeated rows are
+    documents of their own; rows that tie in the order are alike in id and text, and any may come first. If more
+    than `alike` rows are, all rows are numbered first, in a copy in the shared folder, so that they
+    don't fill a bucket. Very long texts: a text must fit into a row. Input columns with the names that are
+    added are replaced, others kept, whatever their names. Empty tables and empty sources give targets of 0.
     """
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in NAMES])
-    names = docs.columns
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary")))
+    names = [c for c in docs.columns if c.lower() not in NAMES]
+    docs = docs.select(*names).toDF(*(inner := [f"c{i}" for i in range(len(names))]))
+    key, text, source = (inner[names.index(c)] for c in (id_col, text_col, source_col))
+    hashed = F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")))
+    same = docs.groupBy(hashed.alias("h")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("bytes"), F.count("*").alias("n"))
+    total, most = same.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > alike:
+        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hashed = F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")), F.col("row"))
+    buckets = buckets or max(64, total >> 25)
     d = docs.withColumns({
-        "size": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
-        "_src": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")),
+        "size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"),
+        "_src": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")),
         "_hash": hashed,
     }).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    sums = materialize(d.groupBy(F.col(source_col).alias("source"), "_src", "_bucket").agg(F.sum("size").alias("_sum")), "sums")
+    sums = materialize(d.groupBy(F.col(source).alias("source"), "_src", "_bucket").agg(F.sum("size").alias("_sum")), "sums")
     plan = targets(sums.groupBy("source", "_src").agg(F.sum("_sum").alias("source_size")).select("source", "source_size"), weights, ratio, cap)
     plan = plan.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     plan = materialize(plan.withColumn("_words", F.round("target").cast("long")).withColumn("_q", F.ceil(F.col("_words") / block_words)), "targets")
@@ -141,15 +151,17 @@ def mix(
     before = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     placed = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(bounds, "_src")
     placed = materialize(placed.drop("source"), "places")
-    within = W.partitionBy("_src", "_bucket").orderBy("_hash", F.col(id_col), "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_src", "_bucket").orderBy("_hash", F.col(key), "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("_offset")
     # Shards end with the documents that the cuts fall in; only these documents' buckets are looked through.
     cut = placed.withColumn("_cuts", F.expr("filter(_cuts, c -> c > _offset AND c <= _offset + _sum)")).filter("size(_cuts) > 0").select("_src", "_bucket", "_offset", "_cuts")
-    cut = d.select("_src", "_bucket", "_hash", F.col(id_col), "size").join(cut, ["_src", "_bucket"]).withColumn("_start", start)
+    cut = d.select("_src", "_bucket", "_hash", F.col(key), "size").join(cut, ["_src", "_bucket"]).withColumn("_start", start)
     cut = cut.select("_src", (F.col("_start") + F.col("size")).alias("_end"), F.explode(F.array_distinct(F.expr("filter(_cuts, c -> c > _start AND c <= _start + size)"))).alias("_cut"))
     ends = materialize(cut.groupBy("_src").agg(F.map_from_entries(F.collect_list(F.struct("_cut", "_end"))).alias("_end_of")), "ends")
     placed = placed.drop("_sum").join(ends, "_src", "left").withColumn("_ends", F.expr("concat(array(0L), transform(_cuts, c -> coalesce(_end_of[c], 0L)))")).drop("_end_of")
-    d = d.join(placed, ["_src", "_bucket"]).withColumn("_start", start)
+    # A task takes some 16 MB of text, more only where that would make too many tasks.
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(total >> 24, 50_000))
+    d = d.repartition(parts, "_src", "_bucket").join(placed, ["_src", "_bucket"]).withColumn("_start", start)
     d = d.withColumn("_shard", F.expr(f"least(size(filter(_cuts, c -> c <= _start)), {shards - 1})"))
     d = d.withColumns({"_first": F.expr("_ends[_shard]"), "_behind": F.expr("_ends[_shard + 1]"), "_full": F.expr("_words div greatest(source_size, 1)"), "_more": F.expr("_words % greatest(source_size, 1)")})
     d = d.withColumn("_more", F.expr(f"{share.format('_more', '_behind', 'greatest(source_size, 1)')} - {share.format('_more', '_first', 'greatest(source_size, 1)')}"))
@@ -158,23 +170,35 @@ def mix(
         'shard', _shard, 'place', xxhash64({seed}L, _hash, p))), x -> x.words > 0)"""
     d = d.withColumn("draws", F.expr(draw))
     taken = F.expr("aggregate(draws, 0L, (a, x) -> a + x.words)")
-    return d.select(*[F.col(c) for c in names], "size", "source_size", "target", taken.alias("taken"), "draws")
+    return d.select(*[F.col(i).alias(c) for i, c in zip(inner, names, strict=True)], "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: mix()'s input columns, one row per draw, plus shard and place.
 
-    A draw of all words keeps the text as it is; one of fewer words is cut after its last word.
+    A draw of all words keeps the text as it is; one of fewer words is cut after its last word. Input columns
+    named shard or place are replaced.
     """
-    names = [c for c in mixed.columns if c not in NAMES]
+    names = [c for c in mixed.columns if c not in NAMES and c.lower() not in ("shard", "place")]
     rows = mixed.select(*names, "size", F.explode("draws").alias("_draw"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     text = F.when(F.col("_draw.words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_draw.words").cast("int")), " "))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], "_draw.shard", "_draw.place")
 
 
-def write_mix(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """mixed_texts(), written to the shared folder, a folder per shard and its files in order of place, and read back."""
-    rows, path = mixed_texts(mixed, text_col), new_path(mixed.sparkSession, "mix")
-    rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+def in_shard_order(mixed: DataFrame, text_col: str = "text", shards: int = 8) -> DataFrame:
+    """mixed_texts(), shuffled: partition by partition, shards one after the other and each in order of place.
+
+    Places are uniform, so equal ranges of them are equal parts of a shard.
+    """
+    spark = mixed.sparkSession
+    parts = -(-max(shards, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) // shards)
+    nth = F.floor((F.shiftright("place", 32) + (1 << 31)) * parts / (1 << 32))
+    return mixed_texts(mixed, text_col).repartitionById(parts * shards, (F.col("shard") * parts + nth).cast("int")).sortWithinPartitions("shard", "place")
+
+
+def write_mix(mixed: DataFrame, text_col: str = "text", shards: int = 8) -> DataFrame:
+    """in_shard_order(), written to the shared folder, a folder per shard and its files in order of place, and read back."""
+    rows, path = in_shard_order(mixed, text_col, shards), new_path(mixed.sparkSession, "mix")
+    rows.write.partitionBy("shard").parquet(path)
     return mixed.sparkSession.read.schema(rows.schema).parquet(path)

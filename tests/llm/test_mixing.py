@@ -140,3 +140,16 @@ def test_texts_of_the_mix(spark):
         assert r.text == rows[r.doc_id][1] or rows[r.doc_id][1].split()[: len(r.text.split())] == r.text.split()
         assert r.shard in (0, 1)
     assert by == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
+
+
+def test_rows_that_repeat(spark):
+    rows = [(None, "same five words in it", "a")] * 3000 + [(i, words(5, i), "b") for i in range(100)]
+    got = mixing.mix(docs(spark, rows), buckets=16)
+    assert got.filter("source = 'a'").agg({"taken": "sum"}).first()[0] == round(got.filter("source = 'a'").first().target)
+    assert got.count() == 3100 and got.filter("taken > 2 * size").count() == 0
+
+
+def test_many_sources(spark):
+    rows = [(i, words(3, i), f"s{i % 700}") for i in range(1400)]
+    got = mixing.mix(docs(spark, rows), shards=4, block_words=2, buckets=4).collect()
+    assert len(got) == 1400 and sum(r.taken for r in got) == pytest.approx(1.5 * 4200, abs=700)
