@@ -67,7 +67,9 @@ def _list(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sampled(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """id, n, sha, keys, marks: the seeds' hashes and place << 16 | bytes to first << 8 | bytes to last."""
+    """id, n, sha, keys, marks: the seeds' hashes and place << 32 | bytes to first << 16 | bytes to last."""
+    if not 0 < seed <= length <= seed + 0xFFFF:
+        raise ValueError(f"a seed of {seed} bytes doesn't fit strings of {length}: at most 65535 more")
 
     def work(batches):
         for batch in batches:
@@ -75,7 +77,7 @@ def _sampled(docs: DataFrame, length: int, seed: int) -> DataFrame:
             for chunk in tn.chunks(batch.column(1)):
                 place, first, last, h = anchors(chunk.data, chunk.offsets, length, seed)
                 cut = np.searchsorted(place, chunk.offsets)
-                mark = (place - chunk.offsets[np.searchsorted(chunk.offsets, place, "right") - 1]) << 16 | (place - first) << 8 | (place - last)
+                mark = (place - chunk.offsets[np.searchsorted(chunk.offsets, place, "right") - 1]) << 32 | (place - first) << 16 | (place - last)
                 for i in range(len(chunk)):
                     own = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]
                     sizes.append(len(own))
@@ -98,7 +100,7 @@ def _contexts(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 for row, text, shared in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     data = text.encode()
                     for key, mark in (x.values() for x in shared):
-                        place, a, b = mark >> 16, mark >> 8 & 255, mark & 255
+                        place, a, b = mark >> 32, mark >> 16 & 0xFFFF, mark & 0xFFFF
                         head = data[place - a : place]
                         for column, x in zip(out, (key, data[place + seed : place - b + length], head[::-1], row, place), strict=True):
                             column.append(x)
@@ -229,15 +231,15 @@ def _strings(column_before: list[bytes], column_behind: list[bytes], width: int)
     return row, before, tn.mix64(h + before.astype(np.uint64) * U64(0xD1342543DE82EF95)).view(np.int64)
 
 
-def _counted(contexts: DataFrame, length: int, seed: int, group: int = 1000, chunk: int = 8192) -> DataFrame:
-    """The same for seeds with very many suffixes: their strings are counted, by hash within a seed.
+def _counted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
+    """The same for seeds with very many suffixes, whose array no task should hold: maximal repeats by hashed strings.
 
-    Suffixes with the same surroundings count once, with their number, and counts are summed before they
-    are shuffled. The hashes of a seed's repeated strings then go, at most
-    `chunk` at a time, to parts of about `group` of its suffixes, which look their own strings up. As all
-    strings of a suffix hold its seed, those found cover one run of bytes. So no task gathers the
-    suffixes of a seed, and a row per suffix and chunk is all that is made. A suffix's run is given the
-    number of its seed.
+    Suffixes with the same surroundings are one context, with their number. A context's strings around
+    the seed meet those of others by hash; each string that stands twice gets the fingerprint of the set of
+    contexts that hold it. Those of a context with one fingerprint are one repeat: the same members hold all
+    its strings and what lies between them, and the next byte to either side has other members, so it is
+    left-diverse and maximal. Strings, contexts and rows are joined by key, the largest groups
+    spread, so the work is in proportion to the contexts and no task gathers the suffixes of a seed.
     """
     width = length - seed
 
@@ -245,50 +247,26 @@ def _counted(contexts: DataFrame, length: int, seed: int, group: int = 1000, chu
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, _, h = _strings(part.column(2).to_pylist(), part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h), part.column(3).take(pa.array(row))], ["key", "h", "n"])
-
-    plain = materialize(contexts.select("key", "behind", "before", "rid", "place"), "often")
-    alike = plain.groupBy("key", "behind", "before").agg(F.count("*").alias("n"))
-    often = alike.mapInArrow(strings, "key long, h long, n long").groupBy("key", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "h")
-    often = materialize(often, "strings")
-    sizes = often.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    sizes = materialize(sizes.join(plain.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "key"), "sizes")
-    held = often.join(sizes, "key").withColumn("chunk", F.pmod(F.hash("h"), "chunks")).groupBy("key", "chunk", "groups").agg(F.collect_list("h").alias("hs"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    held = held.select("key", "chunk", every("groups").alias("g"), F.lit(0).alias("kind"), "hs", *[F.lit(None).cast(t).alias(c) for c, t in (("behind", "binary"), ("before", "binary"), ("rid", "long"), ("place", "long"))])
-    asked = plain.join(sizes, "key").withColumn("g", F.pmod(F.hash("rid", "place"), "groups"))
-    asked = asked.select("key", every("chunks").alias("chunk"), "g", F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("hs"), "behind", "before", "rid", "place")
-    rows = held.unionByName(asked).repartition("key", "chunk", "g").sortWithinPartitions("key", "chunk", "g", "kind")
-
-    def look(batches):
-        known, of = np.zeros(0, np.int64), None
-        for batch in batches:
-            at = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            kind = batch.column(3).to_numpy()
-            edges = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
-            for a, b in zip(edges, edges[1:]):
-                if at[a] != of:
-                    known, of = np.zeros(0, np.int64), at[a]
-                if kind[a] == 0:
-                    known = np.sort(np.array(batch.column(4)[a].as_py(), np.int64))
-                    a += 1
-                for c in range(a, b, 256):
-                    part = batch.slice(c, min(256, b - c))
-                    row, before, h = _strings(part.column(6).to_pylist(), part.column(5).to_pylist(), width)
-                    if not len(known) or not len(row):
-                        continue
-                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                    row, before = row[hit], before[hit]
-                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-                    if not len(first):
-                        continue
-                    far, near = np.maximum.reduceat(before, first), np.minimum.reduceat(before, first)
-                    rid, place = (part.column(i).to_numpy(zero_copy_only=False)[row[first]] for i in (7, 8))
-                    out = [rid, place - far, place - near + length, np.full(len(first), of[0])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["rid", "first", "last", "repeat"])
-
-    return rows.mapInArrow(look, "rid long, first long, last long, repeat long")
+                row, before, h = _strings(part.column(2).to_pylist(), part.column(1).to_pylist(), width)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(h), part.column(3).take(take), pa.array(before), part.column(4).take(take)], ["key", "h", "context", "offset", "n"])
+
+    same = ["key", "c1", "c2"]
+    plain = contexts.select("key", F.xxhash64("behind", "before").alias("c1"), F.xxhash64(F.lit(1), "before", "behind").alias("c2"), "behind", "before", "rid", "place")
+    plain = materialize(plain, "often")
+    alike = plain.groupBy(*same).agg(F.any_value("behind").alias("behind"), F.any_value("before").alias("before"), F.count("*").alias("n"))
+    alike = materialize(alike.withColumn("context", F.monotonically_increasing_id()), "contexts")
+    every = alike.select("key", "behind", "before", "context", "n").mapInArrow(strings, "key long, h long, context long, offset long, n long")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "context")).alias(f"m{i}") for i in (2, 3)]
+    often = every.groupBy("key", "h").agg(F.sum("n").alias("n"), F.count("*").alias("size"), *members).filter("n > 1")
+    often = materialize(often.select("key", "h", "size", F.xxhash64("key", "m2", "m3").alias("repeat")), "strings")
+    held = join_groups(every.select("key", "h", "context", "offset"), often, ["key", "h"], "size", "context", inner=True)
+    runs = held.groupBy("context", "repeat").agg(F.max("offset").alias("far"), F.min("offset").alias("near"))
+    runs = runs.groupBy("context").agg(F.collect_list(F.struct("repeat", "far", "near")).alias("runs"))
+    runs = materialize(alike.select(*same, "n", "context").join(runs, "context").select(*same, "n", "runs"), "runs")
+    rows = join_groups(plain.select(*same, "rid", "place"), runs, same, "n", "rid", hot=2_000, inner=True)
+    rows = rows.select("rid", "place", F.explode("runs").alias("x"))
+    return rows.select("rid", (F.col("place") - F.col("x.far")).alias("first"), (F.col("place") - F.col("x.near") + length).alias("last"), "x.repeat")
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,14 +298,15 @@ def _removed(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(work, "rid long, spans array<struct<first: long, last: long>>, kept_sha256 string")
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, seed: int = 64, hot: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, seed: int = 64, hot: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, repeats): a row per document (rid, id, n, sha, rep, copies), the texts with shared
     seeds (rid, text), and the occurrences of repeats in them (rid, first, last, repeat).
 
     Equal texts form a class, whose first member (rid = rep) alone is searched. Spans are in bytes of
     the UTF-8 text; strings of `length` bytes that start twice lie in repeats, and all occurrences of a
-    repeat carry its number. Seeds with more than `hot` suffixes are worked on by counting (see
-    _counted()), the others by scanning their suffix arrays.
+    repeat carry its number. The maximal repeats around a seed come from the scan of its suffix array; an
+    array of more than `hot` suffixes is too much for a task, and its repeats come from hashed strings
+    (see _counted()), which gives the same spans.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sampled = materialize(_sampled(docs, length, seed).withColumn("rid", F.monotonically_increasing_id()), "sampled")
@@ -353,7 +332,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removed is each byte covered by a string of `length` bytes that starts anywhere else as well, in
     another document or the same; all strings are judged on the input. Documents with equal texts of
     `length` bytes or more are removed whole. Null texts are empty; shorter texts lose nothing; null and
-    repeated ids are documents of their own. Other columns are ignored.
+    repeated ids are documents of their own. Very long texts (up to 2 GB) are searched whole, in slices.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows, texts, repeats = find_repeats(docs, id_col, text_col, length, **options)
     spans = materialize(repeats.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")

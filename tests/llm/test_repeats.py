@@ -51,10 +51,35 @@ def test_brute_force(spark, hot):
     assert run(spark, texts, length=40, seed=13, hot=hot) == brute(texts, 40)
 
 
-def test_counted_in_small_parts(spark, monkeypatch):
-    texts = corpus()
-    monkeypatch.setattr(rp._counted, "__defaults__", (3, 5))
-    assert run(spark, texts, length=40, seed=13, hot=1) == brute(texts, 40)
+@pytest.mark.parametrize(("length", "seed"), [(200, 64), (400, 64), (200, 200)])
+def test_lengths(spark, length, seed):
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcd é"), n))
+    passage = text(500)
+    texts = [text(100) + passage[int(rng.integers(0, 90)) : int(rng.integers(350, 500))] + text(50) for _ in range(25)] + [passage * 2, text(3000)]
+    for hot in (2, 1000):
+        assert run(spark, texts, length=length, seed=seed, hot=hot) == brute(texts, length)
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_all_occurrences_of_a_repeat_carry_its_number(spark, hot):
+    texts = sorted({t for t in corpus() if t})
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    rows, _, repeats = rp.find_repeats(df, length=40, seed=13, hot=hot)
+    of = {r.rid: texts[r.id].encode() for r in rows.collect()}
+    groups = {}
+    for r in repeats.collect():
+        groups.setdefault(r.repeat, set()).add((r.rid, r.first, r.last))
+    assert len(groups) > 30
+    for spans in groups.values():
+        (found,) = {of[i][a:b] for i, a, b in spans}
+        n = len(found)
+        assert n >= 40 and {x[:2] for x in spans} == {(i, a) for i, t in of.items() for a in range(len(t) - n + 1) if t[a : a + n] == found}
+
+
+def test_a_length_that_does_not_fit(spark):
+    with pytest.raises(ValueError, match="at most"):
+        rp.find_repeats(spark.createDataFrame([], SCHEMA), length=70_000, seed=64)
 
 
 def test_ids_and_empty(spark):
