@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from minewright.llm import textnum as tn
-from minewright.llm.common import join_groups, materialize
+from minewright.llm.common import Scratch, fresh, join_groups, new_path, with_row_identity
 from minewright.llm.graph import connected_components
 
 U64 = np.uint64
@@ -66,43 +69,93 @@ def shingle_sets(column: pa.ChunkedArray | pa.Array, k: int) -> Iterator[np.ndar
 
 
 def _sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    if bands * rows > 256:
+        raise ValueError(f"{bands} bands of {rows} need {bands * rows} coordinates, a sketch has at most 256")
+
     def work(batches):
         for batch in batches:
-            sizes, a, b, keys = [], [], [], []
+            prints, keys, ends = [], [], [0]
             for x in shingle_sets(batch.column(1), k):
-                sizes.append(len(x))
-                a.append(np.bitwise_xor.reduce(tn.mix64(x ^ U64(0x5851F42D4C957F2D))) if len(x) else U64(0))
-                b.append(x.sum(dtype=np.uint64))
+                prints.append(_fingerprint(x))
                 if len(x):
                     s = fast_sketch(x, bands * rows).reshape(bands, rows)
                     key = np.arange(bands, dtype=np.uint64)
                     for j in range(rows):
                         key = tn.mix64(key * U64(0xA0761D6478BD642F) + s[:, j])
                     keys.append(key)
-            n = np.array(sizes, np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
+                ends.append(len(keys) * bands)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), lists], ["id", "n", "ha", "hb", "keys"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+            columns = zip(*prints, strict=True) if prints else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in columns], lists], ["id", "place", "n", "ha", "hb", "keys"])
 
-    return docs.mapInArrow(work, "id long, n long, ha long, hb long, keys array<long>")
+    docs = docs.select("id", "text", "place")
+    return docs.mapInArrow(work, T.StructType([docs.schema["id"], docs.schema["place"], *[T.StructField(c, T.LongType()) for c in ("n", "ha", "hb")], T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """id and text to id and shingles, the hashes of the text's set."""
+
     def work(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = list(shingle_sets(part.column(1), k))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1), k)))], ["id", "shingles"])
 
     return docs.mapInArrow(work, "id long, shingles array<long>")
 
 
+def _class_sets(docs: DataFrame, wanted: str, k: int) -> DataFrame:
+    """id and shingles of the wanted rows: docs (text, place) to the sets of those that the table of ids by place names.
+
+    The table lies in a folder per input file, so a task that reads a file's texts looks its wanted rows up there.
+    Neither texts nor ids are shuffled, however many are wanted.
+    """
+
+    def work(batches):
+        held, rows, ids = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            file, row = (batch.column(1).field(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1]])) if len(file) else []
+            for a, b in zip(edges, [*edges[1:], len(file)], strict=True):
+                if file[a] != held:
+                    held, (rows, ids) = file[a], _wanted_rows(wanted, int(file[a]))
+                at = np.minimum(np.searchsorted(rows, row[a:b]), max(0, len(rows) - 1))
+                hit = np.flatnonzero(rows[at] == row[a:b]) if len(rows) else np.zeros(0, np.int64)
+                for i in range(0, len(hit), 500):
+                    some = hit[i : i + 500]
+                    sets = list(shingle_sets(batch.column(0).take(pa.array(a + some)), k))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[some]]), _lists(sets)], ["id", "shingles"])
+
+    return docs.select("text", "place").mapInArrow(work, "id long, shingles array<long>")
+
+
+def _wanted_rows(folder: str, file: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, sorted, and ids that are wanted from a file."""
+    store, base = fs.FileSystem.from_uri(folder)
+    found = store.get_file_info(fs.FileSelector(f"{base}/file={file}", allow_not_found=True))
+    parts = [pq.read_table(x.path, filesystem=store, columns=["row", "id"], partitioning=None) for x in found if x.base_name.endswith(".parquet")]
+    rows, ids = (np.concatenate([np.zeros(0, np.int64), *[p[c].to_numpy() for p in parts]]) for c in ("row", "id"))
+    order = np.argsort(rows)
+    return rows[order], ids[order]
+
+
+def _fingerprint(x: np.ndarray) -> tuple[int, int, int]:
+    """Size and two hashes of a set; sets that agree in all three count as equal."""
+    a = np.bitwise_xor.reduce(tn.mix64(x ^ U64(0x5851F42D4C957F2D))) if len(x) else U64(0)
+    return len(x), int(a.astype(np.int64)), int(x.sum(dtype=np.uint64).astype(np.int64))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [values[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent / 100 at least.
 
@@ -117,11 +170,11 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int =
     return joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
-def block_links(ids: list[int], parts: np.ndarray, components: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the components of a block of documents, found from all its pairs; enough to join those that links join.
+def block_links(components: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of components, found from all pairs of some documents; enough to join those that links join.
 
     Intersection sizes come from a 0/1 matrix over the shingles that two documents share, a slice of
-    them at a time. If there are two parts, only pairs across them count.
+    them at a time.
     """
     token, count = np.unique(np.concatenate(sets), return_counts=True)
     token = token[count > 1]
@@ -138,8 +191,6 @@ def block_links(ids: list[int], parts: np.ndarray, components: list[int], sets:
         both += mark @ mark.T
     comp = np.array(components)
     hit = (both * 100 >= (n[:, None] + n[None, :] - both) * percent) & (comp[:, None] != comp[None, :])
-    if parts.min() != parts.max():
-        hit &= parts[:, None] != parts[None, :]
     root = {c: c for c in components}
 
     def top(c):
@@ -153,99 +204,230 @@ def block_links(ids: list[int], parts: np.ndarray, components: list[int], sets:
         a, b = top(components[i]), top(components[j])
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j]))
+            out.append((a, b))
     return out
 
 
-def _bucket_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Links (a, b) between components within buckets; members: key, c (its size), id, component.
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    A bucket is cut into parts of about `block` members by a hash of the id, and every two parts meet in
-    a block of their own. So a task holds two parts however large a bucket is, all pairs are compared
-    where they lie, and only links leave the task.
-    """
-    parts = F.ceil(F.col("c") / block).cast("int")
-    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("id", F.lit(7)), "parts"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component")
+
+def _small_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked components within buckets that one task can hold: members (key, id, component) to (a, b)."""
 
     def work(batches):
         held: list[tuple] = []
         now = None
         for batch in batches:
-            group = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            values = batch.column(6).values.to_numpy().view(np.uint64)
-            ends = batch.column(6).offsets.to_numpy()
-            rest = zip(group, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
             found = []
-            for i, (at, part, id_, component) in enumerate(rest):
-                if at != now:
-                    found += _closed(held, percent)
-                    held, now = [], at
-                held.append((id_, part, component, np.sort(values[ends[i] : ends[i + 1]])))
+            for key, component, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                if key != now:
+                    found += closed(held)
+                    held, now = [], key
+                held.append((component, np.sort(own)))
             if found:
                 yield _pairs(found)
-        if found := _closed(held, percent):
+        if found := closed(held):
             yield _pairs(found)
 
-    joined = rows.join(sets, "id").select("key", "p", "q", "part", "id", "component", "shingles")
-    joined = joined.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    def closed(held):
+        return block_links(*(list(x) for x in zip(*held, strict=True)), percent) if len({x[0] for x in held}) > 1 else []
+
+    joined = members.join(sets, "id").select("key", "component", "shingles").repartition("key").sortWithinPartitions("key")
     return joined.mapInArrow(work, "a long, b long").distinct()
 
 
-def _closed(held: list[tuple], percent: int) -> list[tuple[int, int]]:
-    if len({x[2] for x in held}) < 2:
-        return []
-    ids, parts, components, sets = zip(*held, strict=True)
-    return block_links(list(ids), np.array(parts), list(components), list(sets), percent)
+def _counted(rows: DataFrame) -> DataFrame:
+    """key, c, values (array) to key, c, value, m: in how many rows of the key a value stands; summed in batches first."""
 
+    def work(batches):
+        for batch in batches:
+            own = _arrays(batch.column(2))
+            size = np.array([len(x) for x in own], np.int64)
+            value = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            key, c = (np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1))
+            order = np.lexsort((value, key))
+            value, key, c = value[order], key[order], c[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])) if len(key) else np.zeros(0, np.int64)
+            m = np.diff(np.append(new, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[new], c[new], value[new], m)], ["key", "c", "value", "m"])
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+    return rows.mapInArrow(work, "key long, c long, value long, m long").groupBy("key", "c", "value").agg(F.sum("m").alias("m"))
+
+
+def _differences(rows: DataFrame, per_task: int) -> DataFrame:
+    """rows (key, c, id, component, shingles) to key, c, id, component, n, d: what tells each set from its bucket's centre.
+
+    The centre of a bucket is the set of shingles that more than half of its members hold (at most
+    twice as many as they have on average); it is copied once per `per_task` members.
+    """
+    centres = _counted(rows.select("key", "c", "shingles")).filter("m * 2 > c").groupBy("key", "c").agg(F.collect_list("value").alias("centre"))
+    copies = F.ceil(F.col("c") / per_task).cast("int")
+    centres = centres.select("key", "centre", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    rows = rows.withColumn("copy", F.pmod(F.hash("id"), copies)).join(centres, ["key", "copy"], "left").select("key", "c", "id", "component", "shingles", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
+
+    def work(batches):
+        for batch in batches:
+            sets, centres = _arrays(batch.column(4)), _arrays(batch.column(5))
+            d = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(sets, centres, strict=True)]
+            n = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], n, _lists(d)], ["key", "c", "id", "component", "n", "d"])
+
+    return rows.mapInArrow(work, "key long, c long, id long, component long, n long, d array<long>")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def _centre_links(rows: DataFrame, percent: int, per_task: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(linked components, what is left) of buckets of any size; rows: key, c, id, component, shingles.
+
+    With D the difference of a set A from its bucket's centre, |A ^ B| = |D(A) ^ D(B)| on the full sets. A and
+    B are linked if 100 + percent times that is at most 100 - percent times |A| + |B|, so with
+    slack(A) = (100 + percent) |D(A)| - (100 - percent) |A| they are linked if slack(A) + slack(B) isn't
+    above 0, whatever D(A) and D(B) share. Every member is held against the one of least slack: one
+    comparison of two numbers links all that lie around a common text.
+
+    The other members can only be linked with sets that share elements of their difference, at
+    least half of the slacks' sum over 100 + percent. So each is looked for among the members that hold one of
+    the first elements of its D, those that fewest members have: all but the last needed - 1. What is left are
+    the members with such an element as buckets (key, id, component) of their own. An element of D stands in the
+    difference of at most half of the bucket's members, so these buckets are half as large at most.
+    """
+    d = scratch.keep(_differences(rows, per_task), "differences")
+    slack = (100 + percent) * F.size("d") - (100 - percent) * F.col("n")
+    near = d.select("key", "c", "id", "component", slack.alias("s"))
+    low = near.groupBy("key").agg(F.min(F.struct("s", "component")).alias("low"), F.count("*").alias("size"))
+    near = join_groups(near, low.select("key", "size", F.col("low.s").alias("ls"), F.col("low.component").alias("lc")), ["key"], "size", "id", inner=True)
+    auto = near.filter("s + ls <= 0 AND component <> lc").select(F.col("component").alias("a"), F.col("lc").alias("b")).distinct()
+    unit = 2 * (100 + percent)
+    far = near.filter("s + ls > 0").select("key", "id", F.expr(f"cast((s + ls + {unit - 1}) div {unit} as int)").alias("needed"))
+    far = scratch.keep(far, "far")
+    if far.isEmpty():
+        return auto, None
+    often = scratch.keep(_counted(d.select("key", "c", "d")).filter("m > 1").select("key", "value", "m"), "often")
+    mine = far.join(d.select("key", "id", "d"), ["key", "id"]).select("key", "id", "needed", F.explode("d").alias("value"))
+    mine = join_groups(mine, often, ["key", "value"], "m", "id", inner=True)
+    first = mine.groupBy("key", "id", "needed").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("x"))
+    first = first.select("key", F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(0), F.size("x") - F.col("needed") + 1))).alias("x"))
+    wanted = scratch.keep(first.select("key", "x.value", "x.m").distinct(), "wanted")
+    held = join_groups(d.select("key", "id", "component", F.explode("d").alias("value")), wanted, ["key", "value"], "m", "id", inner=True)
+    return auto, held.select(F.xxhash64("key", "value").alias("key"), "id", "component")
+
+
+def _spanning(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (key, id, component) of buckets in which components meet, with their size c; of buckets with the same members, one."""
+    h = F.xxhash64("id")
+    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bit_xor(h).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
+    mixed = scratch.keep(mixed.filter("x < y").groupBy("c", "h", "g").agg(F.min("key").alias("key")).select("key", "c"), "mixed")
+    return join_groups(members, mixed, ["key"], "c", "id", inner=True).select("key", "c", "id", "component")
+
+
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the component that links between components make of theirs."""
+    found = connected_components(links).withColumnRenamed("component", "_now")
+    return members.join(found.withColumnRenamed("id", "component"), "component", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512, scratch: Scratch | None = None) -> DataFrame:
+    """Links (a, b) between the components of members (key, c, id, component), enough to join all that links within buckets join.
+
+    Buckets of at most `block` members are compared pair by pair, each within a task, of which only
+    links come out. Larger ones are resolved around their centres (see _centre_links()), which makes
+    rows in proportion to the members, and what is left of them are buckets of at most half the size, down
+    to those that fit into a block. So no bucket is gathered in one task and no pair is left out.
+    """
+    scratch = scratch or Scratch(members.sparkSession, "buckets")
+    links = None
+    while True:
+        found = _small_links(members.filter(F.col("c") <= block), sets, percent)
+        large = members.filter(F.col("c") > block)
+        if large.isEmpty():
+            return found if links is None else links.unionByName(found)
+        auto, rest = _centre_links(scratch.keep(large.join(sets, "id").select("key", "c", "id", "component", "shingles"), "large"), percent, block, scratch)
+        found = scratch.keep(found.unionByName(auto), "found")
+        links = found if links is None else links.unionByName(found)
+        if rest is None:
+            return links
+        members = scratch.keep(_spanning(scratch.keep(_relabelled(rest, links), "rest"), scratch), "members")
+
+
+def _merged(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (key, id, component) with the buckets that share members made one: key, c, id, component, each id once."""
+    first = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("c"))
+    edges = join_groups(members.select("key", "id"), first, ["key"], "c", "id", inner=True).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    whole = connected_components(edges).withColumnRenamed("component", "key")
+    rows = members.select("id", "component").distinct().join(whole, "id")
+    return scratch.keep(_spanning(scratch.keep(rows, "rest"), scratch), "merged")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, block: int = 512, merge: int = 32) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
     Two documents are linked if the Jaccard similarity of their sets of k-word shingles is percent / 100
     at least; a component is what links reach, and its smallest id is kept. Rows with equal sets are
-    one class and only its smallest id goes on. Classes that share one of `bands` keys of `rows` sketch
+    one class and only one of them goes on. Classes that share one of `bands` keys of `rows` sketch
     coordinates are candidates (at 40 x 5 and similarity 0.8, 1.3e-7 of linked pairs share none).
-    Candidates are verified on their full sets in two steps. First each class is compared with the
-    smallest id of its bucket only, which joins most groups of copies at one comparison per copy and
-    leader. Then, in buckets whose other classes still are in several components, all pairs of these across
-    components are compared in blocks of bounded size inside tasks, of which only links come out; buckets
-    with the same members are taken once. So no pair of a bucket is left out unless its two classes are
-    already joined.
-
-    Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows share
-    their id's component. A null id is its own component (null) and kept. Other columns are ignored.
+    Candidates are verified on their full sets. First each class is compared with the first one of its
+    bucket only, which joins most groups of copies at one comparison per copy and leader. Then buckets whose
+    other classes still are in several components are gone through. As a large group of near copies meets in
+    many bands, those of more than `merge` classes that share classes are made one, so each class is looked at
+    once, and resolved: up to `block` classes pair by pair, more around their centre (see _bucket_links()). The
+    others are compared pair by pair; buckets with the same members are taken once. So no pair of a bucket is
+    left out unless its two classes are already joined, and no step's rows grow with the square of a bucket.
+
+    Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat an id are in
+    one component, also if their texts differ. A null id is its own component (null) and kept. Ids may be of any
+    type that has an order; of equal ones, ties can't matter. Other columns
+    are ignored, whatever their names. Very long texts: a set must fit into a row, and the sets of a block
+    into a task. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = materialize(_sketches(docs, k, bands, rows), "sketches")
+    scratch = Scratch(docs.sparkSession, "near")
+    place = fresh(docs, "_place")
+    docs = with_row_identity(docs, place).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(place).alias("place"))
+    sketches = scratch.keep(_sketches(docs, k, bands, rows), "sketches")
     known = sketches.filter("n > 0 AND id IS NOT NULL")
-    classes = materialize(known.groupBy("n", "ha", "hb").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("keys").alias("keys")), "classes")
+    same = ["n", "ha", "hb"]
+    classes = known.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("size"), F.any_value("keys").alias("keys"), F.any_value("place").alias("place"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select(F.explode("keys").alias("key"), "id", "n")
-    led = materialize(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", "lead"), "leaders")
-    members = materialize(buckets.join(led, "key"), "members")
-    wanted = materialize(members.select("id").distinct(), "candidates")
-    sets = materialize(_sets(docs.join(wanted, "id", "left_semi"), k).dropDuplicates(["id"]), "sets")
+    led = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1"), "leaders")
+    members = join_groups(buckets, led, ["key"], "c", "id", inner=True).filter(F.col("lead.id") != F.col("id")).select("key", "id", "n", "lead")
+    members = scratch.keep(members, "members")
+    wanted = members.select("id").unionByName(members.select("lead.id")).distinct().join(classes.select("id", "place.file", "place.row"), "id")
+    folder = new_path(docs.sparkSession, "wanted")
+    wanted.repartition("file").write.partitionBy("file").parquet(folder)
+    sets = _class_sets(docs, folder, k)
+    repeated = scratch.keep(known.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1"), "repeated")
+    sets = scratch.keep(sets, "sets")
     fits = F.least("lead.n", "n") * 100 >= F.greatest("lead.n", "n") * percent
-    stars = members.filter(F.col("lead.id") != F.col("id")).filter(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_star_links(materialize(stars, "stars"), sets, percent), "links")
+    stars = scratch.keep(members.filter(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = _star_links(stars, sets, percent)
+    if not repeated.isEmpty():
+        twice = join_groups(known.select("id", *same), repeated, ["id"], "size", "n", inner=True).drop("size")
+        twice = twice.distinct().join(classes.select(*same, F.col("id").alias("b")), same).select("id", "b")
+        twice = twice.join(twice.groupBy("id").agg(F.min("b").alias("a")), "id").filter("a < b").select("a", "b")
+        links = links.unionByName(twice).distinct()
+    links = scratch.keep(links, "links")
     found = connected_components(links)
-    rest = members.filter(F.col("lead.id") != F.col("id"))
-    grouped = materialize(rest.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "grouped")
-    h = F.xxhash64("id")
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bit_xor(h).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
-    mixed = materialize(mixed.filter("x < y").groupBy("c", "h", "g").agg(F.min("key").alias("key")).select("key", "c"), "mixed")
-    late = materialize(_bucket_links(grouped.join(mixed, "key"), sets, percent), "late")
+    plain = members.select("key", "id")
+    spanning = lambda: scratch.keep(_spanning(plain.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), scratch), "spanning")
+    rest = spanning()
+    if not rest.filter(F.col("c") > merge).isEmpty():
+        late = _bucket_links(_merged(rest.filter(F.col("c") > merge), scratch), sets, percent, block, scratch)
+        links = links.unionByName(scratch.keep(late, "late"))
+        found = connected_components(links)
+        rest = spanning()
+    late = scratch.keep(_small_links(rest.filter(F.col("c") <= merge), sets, percent), "late")
     if not late.isEmpty():
         found = connected_components(links.unionByName(late))
-    final = classes.join(found, "id", "left").select("n", "ha", "hb", F.coalesce("component", "id").alias("component"), "size")
-    joined = join_groups(sketches.select("id", "n", "ha", "hb"), final, ["n", "ha", "hb"], "size", "id")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"), "first", "size")
+    named = scratch.keep(named, "named")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("classes"))
+    named = join_groups(named, least, ["component"], "classes", "first", inner=True).select(*same, "component_id", "size")
+    joined = join_groups(sketches.select("id", *same), named, same, "size", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    result = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    result = scratch.keep(result, "result")
+    scratch.drop("sketches", "classes", "leaders", "members", "repeated", "sets", "stars", "links", "mixed", "spanning", "merged", "large", "differences", "far", "often", "wanted", "found", "rest", "late", "named")
+    return result
 
 
 ORACLE_SQL = r"""

@@ -7,6 +7,7 @@ import pytest
 
 from minewright.llm import graph
 from minewright.llm import near_dedup as nd
+from minewright.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, id string, n string"
 
@@ -73,6 +74,47 @@ def test_small_blocks_find_the_same(spark):
         assert [(d, c) for d, _, c, _ in sorted(brute(rows, 2))] == [(d, found.get(d, d)) for d in range(80)]
 
 
+@pytest.mark.parametrize("block", [8, 30])
+def test_large_buckets_are_resolved_around_their_centres(spark, block):
+    rows = [(d, t, "clash", "clash") for d, t in corpus()]
+    got = nd.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), k=2, block=block, merge=4)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("merge", [3, 32])
+@pytest.mark.parametrize("rate", [0.03, 0.05, 0.065])
+def test_a_group_at_the_threshold(spark, rate, merge):
+    """Copies of a text that isn't there: linked with few, with some or with hardly any other."""
+    rng = np.random.default_rng(4)
+    base = [f"b{x}" for x in range(150)]
+    rows = [(i, " ".join(mutated(base, rate, rng)), "", "") for i in range(150)]
+    got = nd.near_dedup(spark.createDataFrame(rows, SCHEMA), k=2, block=16, merge=merge)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2)
+
+
+def test_what_large_buckets_make_grows_with_their_members(spark):
+    """Rows in the buckets that are left of a large one, for two sizes of a group around the threshold."""
+    made = []
+    for n in (200, 800):
+        rng = np.random.default_rng(8)
+        base = [f"b{x}" for x in range(150)]
+        df = spark.createDataFrame([(i, " ".join(mutated(base, 0.065, rng)), "", "") for i in range(n)], SCHEMA)
+        sets = nd._sets(df.selectExpr("doc_id AS id", "text"), 2)
+        rows = df.selectExpr("1L AS key", f"{n}L AS c", "doc_id AS id", "doc_id AS component").join(sets, "id").select("key", "c", "id", "component", "shingles")
+        _, rest = nd._centre_links(rows, 80, 64, Scratch(spark, "test"))
+        sizes = [r["count"] for r in rest.groupBy("key").count().collect()]
+        assert max(sizes) <= n / 2
+        made.append(sum(sizes))
+    assert made[1] < 6 * made[0]
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, texts[0], "", ""), (5, texts[0], "", ""), (5, texts[1], "", ""), (6, texts[1], "", ""), (7, texts[2], "", ""), (5, None, "", "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(spark.createDataFrame(rows, SCHEMA), k=5).collect())
+    assert got == [(1, 26, 1, True), (5, 0, 5, True), (5, 26, 1, False), (5, 26, 1, False), (6, 26, 1, False), (7, 26, 7, True)]
+
+
 def test_empty(spark):
     assert nd.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
