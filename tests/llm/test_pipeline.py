@@ -25,8 +25,32 @@ def test_stages(spark):
 
 
 def test_repeated_and_null_rows_in_near_dedup_stage(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (None, None, None, None, None)], table(spark, SF, "documents").schema)
-    assert sorted(str(r.doc_id) for r in cp.drop_near_copies(spark, docs, SF).collect()) == ["1", "None", "None"]
+    """Rows count, not ids: copies without an id go, other texts of a repeated id stay."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, None), (1, text), (None, text + " end"), (None, "other words here"), (3, "  "), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], table(spark, SF, "documents").schema)
+    kept = cp.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("1", "a b c"), ("1", text), ("3", "  "), ("None", "other words here")]
+    assert sorted(str(r.doc_id) for r in kept if not r.text) == ["4", "None"]
+
+
+def test_leaks_without_an_id_go(spark):
+    docs = table(spark, SF, "documents").limit(3)
+    item = table(spark, SF, "benchmark").filter("length(text) > 60").first().text
+    leaked = docs.limit(1).withColumn("text", F.lit("so " + item)).withColumn("doc_id", F.lit(None).cast("long"))
+    assert cp.drop_leaked(spark, leaked, SF).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs.limit(0), SF)
+        assert got.count() == 0 and set(got.columns) == set(docs.columns) | ({"shard", "slot"} if name == "sharding" else set())
+    clash = docs.limit(60).selectExpr("*", "'x' AS _row", "1 AS _score", "2 AS row", "'y' AS _src", "3 AS component_id", "4 AS place", "5 AS draw_id")
+    for _, stage in cp.STAGES:
+        got = stage(spark, clash, SF)
+        assert set(clash.columns) <= set(got.columns) and 0 < got.count()
+        assert got.select("_row", "_score", "row", "_src", "component_id", "place", "draw_id").distinct().collect() == [("x", 1, 2, "y", 3, 4, 5)]
 
 
 def test_run(spark):
