@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -69,12 +70,21 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def done(self, df: DataFrame) -> DataFrame:
+        """df, the result of the computation, kept; all other tables are deleted."""
+        out = self.keep(df, "result")
+        self._delete(lambda name: name.rsplit("-", 1)[0] != "result")
+        return out
+
     def drop(self, *names: str) -> None:
         """Delete the tables kept under these names."""
+        self._delete(lambda name: name.rsplit("-", 1)[0] in names)
+
+    def _delete(self, wanted: Callable[[str], bool]) -> None:
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.folder)
         store = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if store.exists(root):
             for status in store.listStatus(root):
-                if status.getPath().getName().rsplit("-", 1)[0] in names:
+                if wanted(status.getPath().getName()):
                     store.delete(status.getPath(), True)
