@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minewright.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, toxicity, warc
+from minewright.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, pii, repeats, sharding, toxicity, trie, warc
 from minewright.llm.common import table
 
 
@@ -72,6 +72,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=2)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("scored")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_near_dedup": op10_near_dedup,
+    "op11_pii": op11_pii,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -91,4 +106,6 @@ ORACLE_SQL = {
     "op5_suffix_dedup": repeats.ORACLE_SQL,
     "op7_chat_format": chat_format.ORACLE_SQL,
     "op10_near_dedup": near_dedup.ORACLE_SQL,
+    "op12_prefix_trie": trie.ORACLE_SQL,
+    "op13_centroids": centroids.ORACLE_SQL,
 }

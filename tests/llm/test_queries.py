@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op9_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op10_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+    "op12_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op13_centroids": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
 }
 
 
@@ -33,10 +36,10 @@ def test_columns_and_sql(spark, name):
     assert set(df.columns) >= COLUMNS[name]
     rows = df.collect()
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{Path(SF) / t}.parquet')")
-    key = "page_id" if name == "op3_warc" else "conv_id" if name == "op7_chat_format" else "doc_id"
-    assert len(rows) == len({r[key] for r in rows}) >= 20
+    keys = {"op3_warc": ["page_id"], "op7_chat_format": ["conv_id"], "op12_prefix_trie": ["conv_id", "depth"], "op13_centroids": ["vec_id"]}.get(name, ["doc_id"])
+    assert len(rows) == len({tuple(r[k] for k in keys) for r in rows}) >= 20
     if name in queries.ORACLE_SQL:
         found = con.execute(queries.ORACLE_SQL[name])
         names = sorted(d[0] for d in found.description)
