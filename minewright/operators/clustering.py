@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minewright.functions.expressions import doubles
-from minewright.operators.neighbors import matrix
+from minewright.operators.matrices import matrix
 
 CENTROIDS = "cluster int, center array<double>"
 

@@ -1,4 +1,4 @@
-"""k nearest neighbours: exact and LSH joins, and classification by vote."""
+"""k nearest neighbours: exact and approximate joins, and classification by vote."""
 
 from __future__ import annotations
 
@@ -6,82 +6,75 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minewright.functions.expressions import doubles, squared_distance
-from minewright.functions.storage import materialize, read_block, stored_blocks
+from minewright.functions.expressions import doubles
+from minewright.functions.storage import materialize, read_block
+from minewright.operators.cells import cell_join
+from minewright.operators.matrices import closest, kept_nearest, matrix, nearest_rows
+from minewright.operators.sketches import sketch_join
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("q_id").orderBy(F.round("dist", 9), "b_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A column of vectors of one length as a matrix; vectors of several lengths are an error."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    size = np.diff(column.offsets.to_numpy())
-    if len(size) and (size.min() != size.max() or not size[0]):
-        raise ValueError(f"vectors of {size.min()} to {size.max()} numbers")
-    return values.reshape(len(size), -1)
-
-
-def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "id", vector: str = "features", extra: tuple[str, ...] = (), method: str = "exact", query_block: int = 4_096, bucket_length: float = 0.5, tables: int = 16, radius: float = 1.5, self_join: bool = False) -> DataFrame:
+def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "id", vector: str = "features", extra: tuple[str, ...] = (), method: str = "exact", query_block: int = 4_096, self_join: bool = False) -> DataFrame:
     """q_id, b_id, dist, rank: the k rows of base nearest to each query row (Euclidean), plus base columns extra.
 
-    exact: every query meets every base row. Queries are the stated small side; tasks read them in
-    blocks of about `query_block` rows, take one matrix product with each batch of base rows, and keep
-    their own k best per query, at their exact distances, before anything is shuffled. lsh: random projections propose pairs within `radius`, so some of the nearest may be missed; a
-    query with fewer than k such pairs is searched exactly instead. Distances equal to nine decimals are ties, which go to the smaller b_id. With
+    exact: queries that one block of `query_block` rows holds meet the base in one scan, each task keeping its own k best per query, at
+    their exact distances, before anything is shuffled; more are joined by Voronoi cells (see cell_join()), with the same result.
+    cells: always that join. lsh: sign projections propose pairs (see sketch_join()), so some of the nearest may be missed; a query with
+    fewer than k proposed pairs is searched exactly instead. Distances equal to nine decimals are ties, which go to the smaller b_id. With
     self_join a row isn't its own neighbour. Rows with a null key or vector have none; vectors must have one length.
     """
-    q = query.select(F.col(key).alias("q_id"), doubles(F.col(vector)).alias("_q")).dropna()
-    b = base.select(F.col(key).alias("b_id"), doubles(F.col(vector)).alias("_b"), *extra).dropna(subset=["b_id", "_b"])
+    q, b = _sides(query, base, key, vector, extra)
     if method == "lsh":
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=5)
-        model = model.fit(b.withColumn("v", array_to_vector("_b")))
-        hashes = lambda side, c, v: model.transform(side.withColumn("v", array_to_vector(v))).select(c, F.posexplode("h").alias("_table", "_hash")).withColumn("_hash", vector_to_array("_hash")[0])
-        # Pairs are ids only until they are distinct: a pair that meets in many tables would carry its vectors as often.
-        pairs = hashes(b, "b_id", "_b").join(materialize(hashes(q, "q_id", "_q"), "hashes"), ["_table", "_hash"]).select("q_id", "b_id").distinct()
-        pairs = pairs.join(b, "b_id").join(q, "q_id").select("q_id", "b_id", F.sqrt(squared_distance(F.col("_q"), F.col("_b"))).alias("dist"), *extra).filter(F.col("dist") < radius)
-        near = materialize(_nearest(pairs.filter("q_id <> b_id") if self_join else pairs, k), "near")
+        near, _ = sketch_join(q, b, k, extra, query_block, self_join=self_join)
         full = near.filter(F.col("rank") == k).select("q_id")
         rest = materialize(q.join(full, "q_id", "left_anti"), "rest")
         return near.join(full, "q_id", "left_semi").unionByName(_exact(rest, b, k, extra, query_block, self_join))
+    if method == "cells":
+        return cell_join(q, b, k, extra, query_block, self_join=self_join)[0]
     return _exact(q, b, k, extra, query_block, self_join)
 
 
+def knn_reads(query: DataFrame, base: DataFrame, k: int, key: str = "id", vector: str = "features", method: str = "cells", query_block: int = 4_096, self_join: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """knn_join() by cells or lsh as it is found, and what it took for each query: q_id, cells_read and cells, or q_id and proposed (pairs)."""
+    q, b = _sides(query, base, key, vector, ())
+    return {"cells": cell_join, "lsh": sketch_join}[method](q, b, k, (), query_block, self_join=self_join, **options)
+
+
+def _sides(query: DataFrame, base: DataFrame, key: str, vector: str, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    q = query.select(F.col(key).alias("q_id"), doubles(F.col(vector)).alias("_q")).dropna()
+    return q, base.select(F.col(key).alias("b_id"), doubles(F.col(vector)).alias("_b"), *extra).dropna(subset=["b_id", "_b"])
+
+
 def _exact(q: DataFrame, b: DataFrame, k: int, extra: tuple[str, ...], query_block: int, self_join: bool) -> DataFrame:
+    n = q.count()
+    if n > query_block:
+        return cell_join(q, b, k, extra, query_block, self_join=self_join)[0]
     kinds = {f.name: f.dataType for f in (*q.schema, *b.schema)}
     names = ["q_id", "b_id", "dist", *extra]
     schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
-    found = q.sparkSession.createDataFrame([], schema)
-    for files in stored_blocks(q, query_block, "queries"):
-
-        def search(batches, files=files):
-            ids, vectors = _queries(files)
-            best = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    near = closest(ids, vectors, part.column(0), matrix(part.column(1)), k, self_join)
-                    rows = pa.table([*near[:3], *[c.take(near[3]) for c in part.columns[2:]]], names=names)
-                    best = rows if best is None else pa.concat_tables([best, rows])
-                    if best.num_rows > 4 * k * len(ids):
-                        best = _kept(best, k)
-            if best is not None:
-                yield from _kept(best, k).to_batches()
-
-        found = found.unionByName(b.mapInArrow(search, schema))
-    return _nearest(found, k)
+    if not n:
+        return nearest_rows(q.sparkSession.createDataFrame([], schema), k)
+    files = tuple(sorted(materialize(q.coalesce(1), "queries").inputFiles()))  # one block
+
+    def search(batches):
+        ids, vectors = _queries(files)
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                near = closest(ids, vectors, part.column(0), matrix(part.column(1)), k, self_join)
+                rows = pa.table([*near[:3], *[c.take(near[3]) for c in part.columns[2:]]], names=names)
+                best = rows if best is None else pa.concat_tables([best, rows])
+                if best.num_rows > 4 * k * len(ids):
+                    best = kept_nearest(best, k)
+        if best is not None:
+            yield from kept_nearest(best, k).to_batches()
+
+    return nearest_rows(b.mapInArrow(search, schema), k)
 
 
 @lru_cache(maxsize=2)
@@ -90,35 +83,6 @@ def _queries(files: tuple[str, ...]) -> tuple[pa.Array, np.ndarray]:
     return rows["q_id"].combine_chunks(), matrix(rows["_q"])
 
 
-def closest(ids: pa.Array, q: np.ndarray, b_ids: pa.Array, b: np.ndarray, k: int, self_join: bool = False) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """(q id, b id, distance, row of b) of at least the k nearest rows of b to each query.
-
-    A matrix product finds all rows that its rounding error may put among the k nearest; their
-    distances are then taken from the differences themselves.
-    """
-    squares = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :]
-    d = squares - 2 * (q @ b.T)
-    wanted = min(k + self_join, len(b)) - 1
-    border = np.partition(d, wanted, axis=1)[:, wanted]
-    i, j = np.nonzero(d <= border[:, None] + 1e-9 * (1 + squares.max(1, keepdims=True)))
-    exact = np.sqrt(((q[i] - b[j]) ** 2).sum(1))
-    found = ids.take(pa.array(i)), b_ids.take(pa.array(j)), pa.array(exact), pa.array(j)
-    if self_join:
-        other = pc.not_equal(found[0], found[1])
-        found = tuple(x.filter(other) for x in found)
-    return found
-
-
-def _kept(rows: pa.Table, k: int) -> pa.Table:
-    """The k nearest per query of these rows, ties to nine decimals by b_id."""
-    rows = rows.append_column("_near", pa.array(np.round(rows["dist"].to_numpy(), 9)))
-    rows = rows.take(pc.sort_indices(rows, [("q_id", "ascending"), ("_near", "ascending"), ("b_id", "ascending")]))
-    code = rows["q_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    rank = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
-    return rows.filter(pa.array(rank < k)).drop_columns(["_near"])
-
-
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 1, weights: str = "uniform", key: str = "id", vector: str = "features", label: str = "label") -> DataFrame:
     """id, label, prediction for each test row, by the votes of its k nearest training rows.
 

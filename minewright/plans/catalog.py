@@ -313,12 +313,47 @@ def first_rows_two_features(spark: SparkSession, d: str) -> DataFrame:
     return two.select("id", *[F.round(F.element_at("features", i), 6).alias(f"f{i}") for i in (1, 2)], "label")
 
 
+@query("SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS f1, label FROM embeddings ORDER BY vec_id LIMIT 100")
+def first_rows_cut(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.first_rows(_points(spark, d), "id", 100).select("id", F.round(F.element_at("features", 1), 6).alias("f1"), "label")
+
+
 @query(None)
 def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
     return neighbors.knn_join(points.filter("id % 100 = 0"), points, 10, method="lsh")
 
 
+@query(
+    """WITH e AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS f FROM embeddings),
+k AS (SELECT q.id AS q_id, b.id AS b_id, list_distance(q.f, b.f) AS dist FROM e q JOIN e b ON q.id <> b.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.f, b.f), 9), b.id) <= 10)
+SELECT q_id, b_id, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY q_id ORDER BY round(dist, 9), b_id) AS INT) AS rank FROM k"""
+)
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides large: the ten nearest other rows of every row, on two features, by Voronoi cells."""
+    points = _points(spark, d).withColumn("features", leading(F.col("features"), 2))
+    return neighbors.knn_join(points, points, 10, method="cells", self_join=True).withColumn("dist", F.round("dist", 6))
+
+
+@query(None)
+def knn_cell_reads(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells of how many each query of knn_cells read."""
+    points = _points(spark, d).withColumn("features", leading(F.col("features"), 2))
+    return neighbors.knn_reads(points, points, 10, method="cells", self_join=True)[1]
+
+
+@query(None)
+def knn_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """For each id divisible by 100: the share of its ten nearest rows that sign projections find, and the share of rows they propose."""
+    points = _points(spark, d)
+    asked = points.filter("id % 100 = 0")
+    found, proposed = neighbors.knn_reads(asked, points, 10, method="lsh")
+    exact = neighbors.knn_join(asked, points, 10).select("q_id", "b_id")
+    hits = exact.join(found.select("q_id", "b_id", F.lit(1).alias("hit")), ["q_id", "b_id"], "left").groupBy("q_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    rows = points.agg(F.count("*").alias("rows"))
+    return hits.join(proposed, "q_id").crossJoin(F.broadcast(rows)).select("q_id", "recall", (F.col("proposed") / F.col("rows")).alias("proposed_share"))
+
+
 @query("SELECT count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, count(*) FILTER (doc_id % 2 = 0) AS n_subset, round(avg(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS subset_accuracy FROM labels WHERE toxic IS NOT NULL")
 def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "labels").withColumn("even", F.col("doc_id") % 2 == 0)
