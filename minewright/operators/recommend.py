@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minewright.operators.similarity import both_ways, top_neighbors, user_similarity
+from minewright.functions.storage import materialize
+from minewright.operators.ratingblocks import nearest_users
+from minewright.operators.similarity import top_neighbors, user_similarity
 
 
 def unseen_items(ratings: DataFrame, target: int) -> DataFrame:
@@ -22,9 +24,11 @@ def score_items(ratings: DataFrame, neighbors: DataFrame) -> DataFrame:
     """
     near = neighbors.select(F.col("u").alias("user_id"), F.col("v").alias("_v"), "similarity")
     theirs = ratings.select(F.col("user_id").alias("_v"), "item_id", "rating")
-    scored = near.join(theirs, "_v").groupBy("user_id", "item_id").agg(F.sum(F.expr("similarity * rating")).alias("score"), F.sum("similarity").alias("weight"))
-    scored = scored.filter("weight > 0").join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return scored.select("user_id", "item_id", (F.col("score") / F.col("weight")).alias("predicted_rating"), "weight")
+    offered = near.join(theirs, "_v").select("user_id", "item_id", F.expr("similarity * rating").alias("score"), F.col("similarity").alias("weight"), F.lit(False).alias("own"))
+    # Own ratings meet the offers in the same aggregate, which leaves out what a join would look up.
+    own = ratings.join(near.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"), F.lit(True).alias("own"))
+    scored = offered.unionByName(own).groupBy("user_id", "item_id").agg(F.sum("score").alias("score"), F.sum("weight").alias("weight"), F.max("own").alias("own"))
+    return scored.filter("weight > 0 AND NOT own").select("user_id", "item_id", (F.col("score") / F.col("weight")).alias("predicted_rating"), "weight")
 
 
 def recommend(ratings: DataFrame, items: DataFrame, target: int | None = None, k: int = 5, n: int = 3) -> DataFrame:
@@ -33,8 +37,7 @@ def recommend(ratings: DataFrame, items: DataFrame, target: int | None = None, k
     items: item_id, title; an item without a title has null. Ratings equal to nine decimals are ties,
     which go to the smaller item_id. A user without defined similarities gets no rows.
     """
-    similar = user_similarity(ratings, target)
-    near = top_neighbors(similar if target is not None else both_ways(similar), k)
+    near = materialize(nearest_users(ratings, k) if target is None else top_neighbors(user_similarity(ratings, target), k), "neighbours")
     order = W.partitionBy("user_id").orderBy(F.desc(F.round("predicted_rating", 9)), "item_id")
     best = score_items(ratings, near).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return best.join(items.select("item_id", "title"), "item_id", "left").select("user_id", "rank", "item_id", "title", "predicted_rating")

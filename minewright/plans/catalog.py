@@ -339,7 +339,7 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
 def knn_cell_reads(spark: SparkSession, d: str) -> DataFrame:
     """How many cells of how many each query of knn_cells read."""
     points = _points(spark, d).withColumn("features", leading(F.col("features"), 2))
-    return neighbors.knn_reads(points, points, 10, method="cells", self_join=True)[1]
+    return neighbors.knn_reads(points, points, 10, method="cells", self_join=True, cell_rows=64)[1]
 
 
 @query(None)
