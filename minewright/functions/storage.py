@@ -70,6 +70,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver's JVM finds their plans to be garbage, and
+        as lineage is cut at the tables kept here, no step reads them again."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def done(self, df: DataFrame) -> DataFrame:
         """df, the result of the computation, kept; all other tables are deleted."""
         out = self.keep(df, "result")
