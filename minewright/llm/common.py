@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +27,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 def with_row_identity(docs: DataFrame, name: str) -> DataFrame:
     """docs plus a struct that tells its rows apart and is the same in every scan: file and place in it.
 
-    A table that Spark reads from Parquet has both already; any other is written to the shared folder first.
+    Rows have a place only in a table that is read from files as it is, with rows filtered and columns computed at most; any other
+    (exploded, joined, united, sampled, grouped, made in memory) is written to the shared folder first, where its rows get places
+    of their own. Columns that are themselves called _metadata are no hindrance.
     """
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.withColumn(name, place)
-    except AnalysisException:
-        return materialize(docs, "rows").withColumn(name, place)
+    if not _is_scan(docs):
+        docs = materialize(docs, "rows")
+    meta = fresh(docs, "_place_of_row")
+    place = F.struct(F.xxhash64(f"{meta}.file_path").alias("file"), F.col(f"{meta}.row_index").alias("row"))
+    return docs.withColumn(meta, docs.metadataColumn("_metadata")).withColumn(name, place).drop(meta)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan is filters and projections of one Parquet table, without anything random."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.simpleString(100).endswith(" parquet")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minewright.llm import textnum as tn
-from minewright.llm.common import Scratch, fresh, join_groups, new_path, with_row_identity
+from minewright.llm.common import Scratch, fresh, join_groups, with_row_identity
 from minewright.llm.graph import connected_components
 
 U64 = np.uint64
@@ -320,9 +320,9 @@ def _spanning(members: DataFrame, scratch: Scratch) -> DataFrame:
     return join_groups(members, mixed, ["key"], "c", "id", inner=True).select("key", "c", "id", "component")
 
 
-def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """members with the component that links between components make of theirs."""
-    found = connected_components(links).withColumnRenamed("component", "_now")
+    found = connected_components(links, scratch=scratch).withColumnRenamed("component", "_now")
     return members.join(found.withColumnRenamed("id", "component"), "component", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
 
 
@@ -343,17 +343,18 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int, block: int
             return found if links is None else links.unionByName(found)
         auto, rest = _centre_links(scratch.keep(large.join(sets, "id").select("key", "c", "id", "component", "shingles"), "large"), percent, block, scratch)
         found = scratch.keep(found.unionByName(auto), "found")
+        scratch.release()
         links = found if links is None else links.unionByName(found)
         if rest is None:
             return links
-        members = scratch.keep(_spanning(scratch.keep(_relabelled(rest, links), "rest"), scratch), "members")
+        members = scratch.keep(_spanning(scratch.keep(_relabelled(rest, links, scratch), "rest"), scratch), "members")
 
 
 def _merged(members: DataFrame, scratch: Scratch) -> DataFrame:
     """members (key, id, component) with the buckets that share members made one: key, c, id, component, each id once."""
     first = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     edges = join_groups(members.select("key", "id"), first, ["key"], "c", "id", inner=True).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    whole = connected_components(edges).withColumnRenamed("component", "key")
+    whole = connected_components(edges, scratch=scratch).withColumnRenamed("component", "key")
     rows = members.select("id", "component").distinct().join(whole, "id")
     return scratch.keep(_spanning(scratch.keep(rows, "rest"), scratch), "merged")
 
@@ -391,8 +392,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1"), "leaders")
     members = join_groups(buckets, led, ["key"], "c", "id", inner=True).filter(F.col("lead.id") != F.col("id")).select("key", "id", "n", "lead")
     members = scratch.keep(members, "members")
+    scratch.release()
     wanted = members.select("id").unionByName(members.select("lead.id")).distinct().join(classes.select("id", "place.file", "place.row"), "id")
-    folder = new_path(docs.sparkSession, "wanted")
+    folder = f"{scratch.folder}/places-0"
     wanted.repartition("file").write.partitionBy("file").parquet(folder)
     sets = _class_sets(docs, folder, k)
     repeated = scratch.keep(known.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1"), "repeated")
@@ -406,28 +408,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         twice = twice.join(twice.groupBy("id").agg(F.min("b").alias("a")), "id").filter("a < b").select("a", "b")
         links = links.unionByName(twice).distinct()
     links = scratch.keep(links, "links")
-    found = connected_components(links)
+    scratch.release()
+    found = connected_components(links, scratch=scratch)
     plain = members.select("key", "id")
     spanning = lambda: scratch.keep(_spanning(plain.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), scratch), "spanning")
     rest = spanning()
     if not rest.filter(F.col("c") > merge).isEmpty():
         late = _bucket_links(_merged(rest.filter(F.col("c") > merge), scratch), sets, percent, block, scratch)
         links = links.unionByName(scratch.keep(late, "late"))
-        found = connected_components(links)
+        found = connected_components(links, scratch=scratch)
         rest = spanning()
     late = scratch.keep(_small_links(rest.filter(F.col("c") <= merge), sets, percent), "late")
+    scratch.release()
     if not late.isEmpty():
-        found = connected_components(links.unionByName(late))
+        found = connected_components(links.unionByName(late), scratch=scratch)
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"), "first", "size")
     named = scratch.keep(named, "named")
+    scratch.release()
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("classes"))
     named = join_groups(named, least, ["component"], "classes", "first", inner=True).select(*same, "component_id", "size")
     joined = join_groups(sketches.select("id", *same), named, same, "size", "id")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-    result = scratch.keep(result, "result")
-    scratch.drop("sketches", "classes", "leaders", "members", "repeated", "sets", "stars", "links", "mixed", "spanning", "merged", "large", "differences", "far", "often", "wanted", "found", "rest", "late", "named")
-    return result
+    return scratch.done(result)
 
 
 ORACLE_SQL = r"""

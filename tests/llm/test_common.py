@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-from minewright.llm.common import Scratch, fresh, join_groups
+from pyspark.sql import functions as F
+
+from minewright.llm.common import Scratch, fresh, join_groups, with_row_identity
 
 
 @pytest.mark.parametrize(("hot", "floor"), [(0, 0), (1, 0), (2, 5), (100, 0), (100, 1000)])
@@ -31,3 +33,26 @@ def test_scratch(spark):
 def test_fresh(spark):
     df = spark.range(1).selectExpr("id AS _ROW", "id AS __row")
     assert fresh(df, "_row") == "___row" and fresh(df, "x") == "x"
+
+
+def test_rows_have_places_of_their_own_however_a_table_is_made(spark, tmp_path):
+    spark.range(60).selectExpr("id", "concat('t', id) AS text", "named_struct('a', id) AS _metadata").write.parquet(f"{tmp_path}/t")
+    plain = spark.read.parquet(f"{tmp_path}/t")
+    other = spark.range(2).withColumnRenamed("id", "tag")
+    shapes = {
+        "scan": plain,
+        "filtered": plain.filter("id > 7").selectExpr("text", "id + 1 AS id", "_metadata"),
+        "exploded": plain.select("text", F.explode(F.array("id", F.col("id") + 100)).alias("id")),
+        "joined": plain.crossJoin(other),
+        "united": plain.unionByName(plain),
+        "sampled": plain.sample(0.5, 3),
+        "random": plain.withColumn("r", F.rand()),
+        "grouped": plain.groupBy("text").agg(F.max("id").alias("id")),
+        "in memory": spark.range(9),
+        "cached": plain.select("id", "text").cache(),
+    }
+    for name, df in shapes.items():
+        placed = with_row_identity(df, "place")
+        assert placed.columns == [*df.columns, "place"], name
+        first, again = ({(r.place.file, r.place.row): r.id for r in placed.select("place", "id").collect()} for _ in range(2))
+        assert first == again and len(first) == placed.count(), name

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from minewright.llm import graph
 from minewright.llm import near_dedup as nd
@@ -134,7 +135,22 @@ def test_sketch_fills_and_estimates(n):
     assert abs(np.mean(errors)) < 0.03 and np.abs(errors).max() < 0.2
 
 
-def test_components(spark):
+def test_derived_tables_give_what_their_written_copy_gives(spark, tmp_path):
+    base = [[f"{i}w{x}" for x in range(60)] for i in range(20)]
+    pairs = [(i, " ".join(base[i]), " ".join([*base[i][:-1], "other"])) for i in range(20)]
+    spark.createDataFrame(pairs, "doc_id long, a string, b string").write.parquet(f"{tmp_path}/pairs")
+    plain = spark.read.parquet(f"{tmp_path}/pairs")
+    exploded = plain.select(F.explode(F.array(F.struct("doc_id", F.col("a").alias("text")), F.struct((F.col("doc_id") + 100).alias("doc_id"), F.col("b").alias("text")))).alias("x")).select("x.*")
+    tagged = exploded.crossJoin(spark.range(2).withColumnRenamed("id", "tag")).selectExpr("doc_id + 1000 * tag AS doc_id", "text", "tag")
+    named = exploded.selectExpr("*", "1 AS _metadata")
+    for name, df, dropped in (("exploded", exploded, 20), ("tagged", tagged, 60), ("united", exploded.unionByName(exploded.selectExpr("doc_id + 5000 AS doc_id", "text")), 60), ("named", named, 20), ("cached", exploded.cache(), 20)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        got, want = (sorted(tuple(r) for r in nd.near_dedup(x).collect()) for x in (df, spark.read.parquet(f"{tmp_path}/{name}")))
+        assert got == want and sum(not r[3] for r in got) == dropped, name
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 100])
+def test_components(spark, at_once):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, i) for i in range(1500, 1600)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
@@ -147,7 +163,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = top(a), top(b)
         root[max(a, b)] = min(a, b)
-    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: top(x) for x in linked}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
