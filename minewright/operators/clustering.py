@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minewright.functions.expressions import doubles
+from minewright.functions.storage import materialize
 from minewright.operators.matrices import matrix
 
 CENTROIDS = "cluster int, center array<double>"
@@ -30,14 +31,28 @@ def _model(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c for c, _ in rows], np.int32), np.array([x for _, x in rows], np.float64)
 
 
-def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the nearest center, squared distance) of each row; of centers equally near to nine decimals, the first."""
-    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-    rounded = best.copy()
-    for k, c in enumerate(centers):
-        d = ((x - c) ** 2).sum(1)
-        nearer = (r := np.round(d, 9)) < rounded
-        best, rounded, at = np.where(nearer, d, best), np.where(nearer, r, rounded), np.where(nearer, k, at)
+def nearest(x: np.ndarray, centers: np.ndarray, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest center, squared distance) of each row; of centers equally near to nine decimals, the first.
+
+    A matrix product finds for each row the centers that its rounding error or a tie may make the nearest, mostly one; only their
+    distances are taken from the differences. Rows go in blocks of about `at_once` products.
+    """
+    at, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+    squares = (centers * centers).sum(1)
+    step = max(1, at_once // len(centers))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        own = (part * part).sum(1)
+        d = squares[None, :] - 2 * (part @ centers.T)
+        border = d.min(1) + 4e-9 + 1e-12 * (own + squares.max())
+        row, near = np.nonzero(d <= border[:, None])
+        exact = ((part[row] - centers[near]) ** 2).sum(1)
+        first = np.searchsorted(row, np.arange(len(part)))
+        tied = np.round(exact, 9)
+        least = np.minimum.reduceat(tied, first) if len(part) else tied
+        hit = np.flatnonzero(tied == least[row])
+        hit = hit[np.searchsorted(row[hit], np.arange(len(part)))]
+        at[i : i + step], best[i : i + step] = near[hit], exact[hit]
     return at, best
 
 
@@ -136,21 +151,139 @@ def lloyd(points: DataFrame, centroids: DataFrame, iterations: int = 10, tol: fl
     return points.sparkSession.createDataFrame(_rows(_fit(points, {0: _model(centroids)}, iterations, tol, vector, weight)[0]), CENTROIDS)
 
 
-def kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 1, vector: str = "features", weight: str | None = None, max_iter: int = 20) -> DataFrame:
-    """cluster, center of the best of `restarts` runs of Spark's k-means (least cost); clusters ordered by center."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def weighted_rows(points: DataFrame, vector: str = "features", weight: str | None = None) -> DataFrame:
+    """_x, _w: the vectors with their weights, written to the shared folder; summed up by vector if they repeat so much that it halves them."""
+    rows = points.dropna(subset=[vector]).select(doubles(F.col(vector)).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("_x"))).first()
+    return materialize(rows.groupBy("_x").agg(F.sum("_w").alias("_w")) if 2 * distinct < n else rows, "weighted")
 
-    rows = points.dropna(subset=[vector]).select(array_to_vector(doubles(F.col(vector))).alias("v"), *([F.col(weight).alias("w")] if weight else [])).cache()
-    estimator = KMeans(k=k, featuresCol="v", maxIter=max_iter, initMode="k-means||", **({"weightCol": "w"} if weight else {}))
-    best = None
-    for i in range(restarts):
-        model = estimator.setSeed(seed + i).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    rows.unpersist()
-    centers = sorted([float(x) for x in c] for c in best.clusterCenters())
-    return points.sparkSession.createDataFrame(list(enumerate(centers)), CENTROIDS)
+
+def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each row that depends on its values and the salt alone, so it is the same wherever the row is."""
+    rng = np.random.default_rng(salt)
+    odd = rng.integers(0, 1 << 63, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = ((x + 0.0).view(np.uint64) * odd[None, :]).sum(1, dtype=np.uint64) + rng.integers(0, 1 << 63, dtype=np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17
+
+
+def _drawn(rows: DataFrame, held: dict[int, np.ndarray | None], wanted: dict[int, int], salt: int) -> dict[int, np.ndarray]:
+    """For each model `wanted` rows drawn without replacement, with chances by weight times squared distance to those held (none: by weight).
+
+    A row's key is log(u) / chance and the greatest keys win, so each task hands on as many rows per model as are wanted at most.
+    """
+
+    def work(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            for m, c in held.items():
+                chance = w * (1.0 if c is None else nearest(x, c)[1])
+                some = np.flatnonzero(chance > 0)
+                key = np.log(_uniform(x[some], salt * 1_000_003 + m)) / chance[some]
+                old = best.get(m, (np.zeros((0, x.shape[1])), np.zeros(0)))
+                every, keys = np.concatenate([old[0], x[some]]), np.concatenate([old[1], key])
+                top = np.argsort(-keys, kind="stable")[: wanted[m]]
+                best[m] = every[top], keys[top]
+        for m, (x, keys) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), m, np.int32)), pa.array(keys), pa.array(list(x), pa.list_(pa.float64()))], ["model", "score", "x"])
+
+    found = rows.mapInArrow(work, "model int, score double, x array<double>")
+    rank = F.row_number().over(W.partitionBy("model").orderBy(F.desc("score"), "x"))
+    out: dict[int, list] = {m: [] for m in held}
+    for r in found.withColumn("rank", rank).filter(F.col("rank") <= max(wanted.values(), default=0)).collect():  # the size of the models
+        if r["rank"] <= wanted[r.model]:
+            out[r.model].append((-r.score, r.x))
+    return {m: np.array([x for _, x in sorted(v)], np.float64) for m, v in out.items()}
+
+
+def _starts(rows: DataFrame, ks: dict[int, int], seed: int, rounds: int = 3) -> dict[int, np.ndarray]:
+    """Starting centers of every model (model: k) by k-means||, all models in the same passes: one row, then `rounds` times 2 k more, drawn
+    with chances by squared distance; these few are weighted by the rows nearest to them and thinned out to k by k-means++."""
+    held = _drawn(rows, {m: None for m in ks}, {m: 1 for m in ks}, seed)
+    held = {m: c for m, c in held.items() if len(c)}
+    for i in range(1, rounds + 1):
+        more = _drawn(rows, held, {m: 2 * ks[m] for m in held}, seed + i)
+        held = {m: np.unique(np.concatenate([c, *([more[m]] if len(more[m]) else [])]), axis=0) for m, c in held.items()}
+    out = {}
+    for m, (sums, _) in _sums(rows, held).items():
+        c, w, rng = held[m], sums[:, -1], np.random.default_rng((seed, m))
+        chosen = [int(rng.choice(len(c), p=w / w.sum()))]
+        while len(chosen) < min(ks[m], len(c)):
+            d = w * nearest(c, c[chosen])[1]
+            if not d.sum():
+                break
+            chosen.append(int(rng.choice(len(c), p=d / d.sum())))
+        out[m] = c[chosen]
+    return out
+
+
+def _sums(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """For each model's centers the weighted sums of their rows' vectors, with the weight as last column, and the cost; one pass for all."""
+
+    def work(batches):
+        sums = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}
+        cost = dict.fromkeys(models, 0.0)
+        for batch in batches:
+            if batch.num_rows:
+                x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+                wide = np.column_stack([x, np.ones(len(x))]) * w[:, None]
+                for m, c in models.items():
+                    at, d = nearest(x, c)
+                    np.add.at(sums[m], at, wide)
+                    cost[m] += float(w @ d)
+        for m, s in sums.items():
+            k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
+            cells = np.append(k, -1), np.append(i, -1), np.append(s[k, i], cost[m])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells[0]), m, np.int32)), pa.array(cells[0].astype(np.int32)), pa.array(cells[1].astype(np.int32)), pa.array(cells[2])], ["model", "k", "i", "s"])
+
+    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s"))
+    total, cost = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}, dict.fromkeys(models, 0.0)
+    for r in found.collect():  # the size of the models
+        if r.k < 0:
+            cost[r.model] = r.s
+        else:
+            total[r.model][r.k, r.i] = r.s
+    return {m: (total[m], cost[m]) for m in models}
+
+
+def kmeans_best(points: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = 1, vector: str = "features", weight: str | None = None, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """k, cluster, center, inertia: for every k the best of `restarts` full fits, the one of least inertia (the summed squared distances).
+
+    All fits of all k start (see _starts()) and move together: an iteration is one pass over the weighted distinct rows, in
+    which tasks add up what every fit needs; fits that move by no more than tol drop out. Clusters are numbered in order of
+    their centers. Fewer distinct vectors than k give so many clusters; a cluster that loses its members keeps its center.
+    """
+    rows = weighted_rows(points, vector, weight)
+    names = [(k, r) for k in ks for r in range(restarts)]
+    fitted = _starts(rows, {m: k for m, (k, _) in enumerate(names)}, seed)
+    moving = dict(fitted)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for m, (sums, _) in _sums(rows, moving).items():
+            w = sums[:, -1:]
+            now = np.where(w > 0, sums[:, :-1] / np.where(w > 0, w, 1), moving[m])
+            shift = ((now - moving[m]) ** 2).sum(1).max()
+            fitted[m] = moving[m] = now
+            if shift <= tol * tol:
+                del moving[m]
+    cost = {m: c for m, (_, c) in _sums(rows, fitted).items()} if fitted else {}
+    out = []
+    for k in ks:
+        own = [m for m in fitted if names[m][0] == k]
+        if own:
+            best = min(own, key=lambda m: (round(cost[m], 9), m))
+            out += [(k, i, c, cost[best]) for i, c in enumerate(sorted(fitted[best].tolist()))]
+    return points.sparkSession.createDataFrame(out, "k int, " + CENTROIDS + ", inertia double")
+
+
+def kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 1, vector: str = "features", weight: str | None = None, max_iter: int = 300) -> DataFrame:
+    """cluster, center of the best of `restarts` fits; see kmeans_best()."""
+    return kmeans_best(points, [k], restarts, seed, vector, weight, max_iter).select("cluster", "center")
 
 
 def kmeans_sweep(points: DataFrame, ks: Sequence[int], key: str = "id", vector: str = "features", weight: str | None = None, iterations: int = 10, tol: float = 0.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from minewright.functions.expressions import ratio
 from minewright.functions.storage import materialize
-from minewright.operators.clustering import assign, initial_centroids, kmeans_sweep, lloyd
+from minewright.operators.clustering import assign, initial_centroids, kmeans_best, kmeans_sweep, lloyd
 
 
 def tile_mosaic(vectors: DataFrame, per_row: int, size: int, order: str = "tile", vector: str = "features", background: bool = True) -> DataFrame:
@@ -72,6 +72,12 @@ def palettes(pixels: DataFrame, ks: Sequence[int], iterations: int = 10) -> Data
     return fitted.select("k", "cluster", *[F.round(F.element_at("center", i + 1), 9).cast("int").alias(c) for i, c in enumerate("rgb")])
 
 
+def best_palettes(pixels: DataFrame, ks: Sequence[int], restarts: int = 10) -> DataFrame:
+    """k, cluster, r, g, b, inertia: the palettes of full fits, the best of `restarts` for each k, all fitted together."""
+    fitted = kmeans_best(colours(pixels), ks, restarts, weight="weight")
+    return fitted.select("k", "cluster", *[F.round(F.element_at("center", i + 1), 9).cast("int").alias(c) for i, c in enumerate("rgb")], "inertia")
+
+
 def scanlines(pixels: DataFrame) -> DataFrame:
     """image_id, y, line: the pixels of each line in order of x, the form to write images from."""
     one = F.struct("x", F.struct("r", "g", "b").alias("rgb"))

@@ -466,7 +466,20 @@ def kmeans_restarts(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def kmeans_ml(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
-    return clustering.cost(points, clustering.kmeans(points, 10, restarts=3))
+    return clustering.cost(points, clustering.kmeans(points, 10, restarts=10))
+
+
+@query(None)
+def k_sweep_full(spark: SparkSession, d: str) -> DataFrame:
+    """k, inertia and clusters of full fits for every k, the best of ten each."""
+    found = clustering.kmeans_best(_points(spark, d), _SWEEP, restarts=10)
+    return found.groupBy("k").agg(F.round(F.max("inertia"), 6).alias("inertia"), F.count("*").alias("n_clusters"))
+
+
+@query(None)
+def colour_sweep_full(spark: SparkSession, d: str) -> DataFrame:
+    """The palettes of full fits over all colours for every k, the best of ten each."""
+    return images.best_palettes(_pixels(spark, d), _SWEEP, restarts=10)
 
 
 _TILE = "SELECT (t // 20) * 8 + j // 8 AS gy, (t % 20) * 8 + j % 8 AS gx, round(value, 6) AS value FROM "
