@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from minewright.llm.common import Scratch, fresh, join_groups, with_row_identity
+from minewright.llm.common import Scratch, fresh, join_groups, with_copy_number, with_row_identity
 
 
 @pytest.mark.parametrize(("hot", "floor"), [(0, 0), (1, 0), (2, 5), (100, 0), (100, 1000)])
@@ -56,3 +56,13 @@ def test_rows_have_places_of_their_own_however_a_table_is_made(spark, tmp_path):
         assert placed.columns == [*df.columns, "place"], name
         first, again = ({(r.place.file, r.place.row): r.id for r in placed.select("place", "id").collect()} for _ in range(2))
         assert first == again and len(first) == placed.count(), name
+
+
+def test_rows_that_are_alike_are_numbered_without_gaps(spark):
+    rows = [(i % 3 if i % 2 else None, "x" if i % 5 else None) for i in range(500)] + [(1000 + i, "one") for i in range(50)]
+    got = with_copy_number(spark.createDataFrame(rows, "id long, text string").repartition(4), "copy", F.col("id"), F.col("text"), each=20)
+    assert got.columns == ["id", "text", "copy"]
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.id, r.text), []).append(r.copy)
+    assert sum(map(len, found.values())) == 550 and all(sorted(x) == list(range(len(x))) for x in found.values())

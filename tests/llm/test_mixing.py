@@ -101,6 +101,14 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert key(mixing.mix(docs(spark, rows))) == key(mixing.mix(docs(spark, rows).repartition(7)))
 
 
+@pytest.mark.parametrize("alike", [2, 1001, 3000])
+def test_reruns_agree_with_rows_that_repeat(spark, alike):
+    rows = [(i, words(i % 30, i), f"s{i % 4}") for i in range(200)] + [(None, "same five words in it", "s1")] * alike
+    key = lambda n: sorted((r.doc_id or -1, r.taken, str(r.draws)) for r in mixing.mix(docs(spark, rows).repartition(n), buckets=16).collect())
+    one = key(3)
+    assert one == key(5) and len(one) == 200 + alike
+
+
 def test_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     only = mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).collect()
