@@ -388,6 +388,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = ["n", "ha", "hb"]
     classes = known.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("size"), F.any_value("keys").alias("keys"), F.any_value("place").alias("place"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # Keys take most of these tables, so they go when the buckets are made.
+    sketches = scratch.keep(sketches.select("id", *same), "prints")
+    known = sketches.filter("n > 0 AND id IS NOT NULL")
+    scratch.drop("sketches")
     buckets = classes.select(F.explode("keys").alias("key"), "id", "n")
     led = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1"), "leaders")
     members = join_groups(buckets, led, ["key"], "c", "id", inner=True).filter(F.col("lead.id") != F.col("id")).select("key", "id", "n", "lead")
@@ -396,6 +400,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = members.select("id").unionByName(members.select("lead.id")).distinct().join(classes.select("id", "place.file", "place.row"), "id")
     folder = f"{scratch.folder}/places-0"
     wanted.repartition("file").write.partitionBy("file").parquet(folder)
+    classes = scratch.keep(classes.drop("keys", "place"), "named_classes")
+    scratch.drop("classes", "leaders")
     sets = _class_sets(docs, folder, k)
     repeated = scratch.keep(known.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1"), "repeated")
     sets = scratch.keep(sets, "sets")
