@@ -133,8 +133,6 @@ def test_propagation_chain(spark):
     assert got == {**dict.fromkeys(range(6), 7), **dict.fromkeys(range(10, 16), 3)}
     whole = {r.id: r for r in propagation.propagate_labels(points.filter("id < 20"), gamma=1.0, k=None, max_iter=30).collect()}
     assert whole[0].label == 7 and whole[15].label == 3 and whole[0].score == 1.0
-    with pytest.raises(ValueError):
-        propagation.affinity_graph(points, 1.0, None, dense_limit=5)
 
 
 def test_closest_rows_at_their_exact_distances(spark):
