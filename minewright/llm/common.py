@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from minewright.functions.storage import Scratch, materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "Scratch", "fresh", "join_groups", "materialize", "new_path", "table", "with_copy_number", "with_row_identity"]
+__all__ = ["ALIKE", "SPACE", "WORD", "Scratch", "fresh", "join_groups", "materialize", "new_path", "table", "with_copy_number", "with_row_identity"]
 
 #: ASCII white space as every contract of this subpackage counts it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -49,23 +49,31 @@ def _is_scan(docs: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and plan.simpleString(100).endswith(" parquet")
 
 
-def with_copy_number(docs: DataFrame, name: str, *same: Column, each: int = 1_000) -> DataFrame:
-    """docs plus the number of each row among those that are alike in `same`, counted from 0; all others have 0.
+#: Rows alike up to this number may share a bucket or a task.
+ALIKE = 1_000
 
-    The rows of a group get the numbers 0 .. n - 1 however they are dealt; which of them gets which is open. They are numbered in
-    parts of about `each` rows and the parts one after the other, so a group of any size is spread. docs is written to the shared folder.
+
+def with_copy_number(docs: DataFrame, name: str, *same: Column, each: int = ALIKE, floor: int = ALIKE) -> DataFrame:
+    """docs plus the number of each row among those that are alike in `same`, from 0, if they are more than `floor`; all others have 0.
+
+    The rows of such a group get the numbers 0 .. n - 1 however they are dealt; which of them gets which is open. They are numbered in
+    parts of about `each` rows and the parts one after the other, so a group of any size is spread. docs is written to the shared
+    folder; only rows of such groups are joined with their numbers.
     """
-    docs = materialize(docs.withColumns({"_k1": F.xxhash64(*same), "_k2": F.xxhash64(F.lit(1), *same), "_row": F.monotonically_increasing_id()}), "rows")
     keys = ["_k1", "_k2"]
     parts = [*keys, "_part"]
-    groups = materialize(docs.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1"), "groups")
-    rows = join_groups(docs.select(*keys, "_row"), groups, keys, "_n", "_row", inner=True)
+    docs = materialize(docs.withColumns({"_k1": F.xxhash64(*same), "_k2": F.xxhash64(F.lit(1), *same), "_row": F.monotonically_increasing_id()}), "rows")
+    groups = materialize(docs.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > floor), "groups")
+    few = groups.limit(20_001).count() <= 20_000
+    docs = docs.join(F.broadcast(groups) if few else groups, keys, "left")
+    rows = docs.filter("_n IS NOT NULL").select(*keys, "_n", "_row")
     rows = materialize(rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / each))), "repeats")
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     start = rows.groupBy(*parts).agg(F.count("*").alias("_size")).withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     number = F.row_number().over(W.partitionBy(*parts).orderBy("_row")) - 1
     numbers = rows.withColumn("_at", number).join(start, parts).select("_row", (F.col("_start") + F.col("_at")).alias(name))
-    return docs.drop(*keys).join(numbers, "_row", "left").drop("_row").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    often = docs.filter("_n IS NOT NULL").drop(*keys, "_n").join(numbers, "_row").drop("_row")
+    return docs.filter("_n IS NULL").drop(*keys, "_n", "_row").withColumn(name, F.lit(0).cast("long")).unionByName(often)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minewright.llm.common import WORD, materialize, new_path, with_copy_number
+from minewright.llm.common import ALIKE, WORD, materialize, new_path, with_copy_number
 
 NAMES = ("size", "source_size", "target", "taken", "draws")
 
@@ -120,8 +120,8 @@ def mix(
     Places in a stream are running sums in two levels (hash buckets, then within a bucket), so a source
     that holds most rows is spread. Without `buckets` there are so many that one holds about 32 MB of text,
     64 at least. Nulls: a null source is a source, ordered last; null ids and texts are allowed. Repeated rows are
-    documents of their own: rows that are alike in id and text are numbered among themselves (see with_copy_number()), and the number
-    is part of their hash, so that they are spread and the result is the same however rows are dealt: which of the alike
+    documents of their own: rows that are alike in id and text share a bucket, in which they tie. If they are many, they are numbered among
+    themselves (see with_copy_number()), and the number is part of their hash, so that they are spread and the result is the same however rows are dealt: which of the alike
     rows gets which share is open, but nothing else. Very long texts: a text must fit into a row. Input columns with the names that are
     added are replaced, others kept, whatever their names. Empty tables and empty sources give targets of 0.
     """
@@ -131,7 +131,7 @@ def mix(
     hashed = F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")))
     same = docs.groupBy(hashed.alias("h")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("bytes"), F.count("*").alias("n"))
     total, most = same.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if most > 1:
+    if most > ALIKE:
         docs = with_copy_number(docs, "copy", F.col(key), F.col(text))
         hashed = F.when(F.col("copy") == 0, hashed).otherwise(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")), F.col("copy")))
     buckets = buckets or max(64, total >> 25)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minewright.llm.common import materialize, new_path, with_copy_number
+from minewright.llm.common import ALIKE, materialize, new_path, with_copy_number
 
 
 def offsets(counts: DataFrame, group: int = 1024) -> DataFrame:
@@ -35,9 +35,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     slots have no gaps, and a bucket lies in one shard or at a border, where it can be written at once.
     Equal texts aren't kept together: they are spread like all others.
 
-    Nulls: a null id or text is hashed as such. Records that are alike in both are numbered among themselves (see with_copy_number())
-    and scattered by their number as well, so repeats of one row don't fill a bucket and the order is the same however rows are
-    dealt. Which of the alike ones stands at which of their places is open. Very long texts: a record must fit into a row, and a bucket holds at least one.
+    Nulls: a null id or text is hashed as such. Records that are alike in both share a bucket; where they are many, they are
+    numbered among themselves (see with_copy_number()) and scattered by their number as well, so repeats of one row don't fill a
+    bucket. Either way the order is the same however rows are dealt. Which of the alike ones stands at which of their places is open. Very long texts: a record must fit into a row, and a bucket holds at least one.
     Columns named shard or slot in the input are replaced, others kept, whatever their names. Empty tables
     give no rows.
     """
@@ -48,7 +48,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     tie = F.xxhash64(F.lit(seed), key, F.crc32(text.cast("binary")))
     same = docs.groupBy(tie.alias("tie")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
     total, rows, most = same.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if most > 1:
+    if most > ALIKE:
         docs = with_copy_number(docs, "copy", key, text)
         tie = F.when(F.col("copy") == 0, tie).otherwise(F.xxhash64(F.lit(seed), key, F.crc32(text.cast("binary")), F.col("copy")))
     each, more = divmod(rows, shards)

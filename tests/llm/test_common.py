@@ -58,11 +58,12 @@ def test_rows_have_places_of_their_own_however_a_table_is_made(spark, tmp_path):
         assert first == again and len(first) == placed.count(), name
 
 
-def test_rows_that_are_alike_are_numbered_without_gaps(spark):
+@pytest.mark.parametrize("floor", [1, 60])
+def test_rows_that_are_alike_are_numbered_without_gaps(spark, floor):
     rows = [(i % 3 if i % 2 else None, "x" if i % 5 else None) for i in range(500)] + [(1000 + i, "one") for i in range(50)]
-    got = with_copy_number(spark.createDataFrame(rows, "id long, text string").repartition(4), "copy", F.col("id"), F.col("text"), each=20)
+    got = with_copy_number(spark.createDataFrame(rows, "id long, text string").repartition(4), "copy", F.col("id"), F.col("text"), each=20, floor=floor)
     assert got.columns == ["id", "text", "copy"]
     found = {}
     for r in got.collect():
         found.setdefault((r.id, r.text), []).append(r.copy)
-    assert sum(map(len, found.values())) == 550 and all(sorted(x) == list(range(len(x))) for x in found.values())
+    assert sum(map(len, found.values())) == 550 and all(sorted(x) == (list(range(len(x))) if len(x) > floor else [0] * len(x)) for x in found.values())
