@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minewright.functions.storage import materialize
+
 
 def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """slope, intercept, r2 and n of the line through (x, y), for each group or for all rows."""
@@ -43,6 +46,51 @@ def ols_multi(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(t, float(w)) for t, w in zip(["(intercept)", *xs], weights, strict=True)], "term string, weight double")
 
 
+def _stacked_r(parts: Iterator[np.ndarray], width: int) -> np.ndarray:
+    """The triangular factor R of all rows of some matrices, one of which is held at a time."""
+    r = np.zeros((0, width))
+    for rows in parts:
+        r = np.linalg.qr(np.concatenate([r, rows]), mode="r")
+    return r
+
+
+def triangular_factor(df: DataFrame, xs: Sequence[str], y: str, fan_in: int = 16) -> np.ndarray:
+    """R of the QR decomposition of the rows (1, xs, y), for complete rows, by a tree: a factor per task, merged `fan_in` at a time.
+
+    A factor has at most p + 2 rows, so what rounds shuffle shrinks to one small matrix whatever the number of rows.
+    """
+    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in [*xs, y]]]
+    width = len(columns)
+    rows = df.dropna(subset=[*xs, y]).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def factor(batches):
+        parts = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows)
+        r = _stacked_r(parts, width)
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in r.T], names)
+
+    names = [f"c{i}" for i in range(width)]
+    schema = ", ".join(f"{c} double" for c in names)
+    found = materialize(rows.mapInArrow(factor, schema), "factors")
+    parts = -(-found.count() // width)
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        found = materialize(found.repartition(parts).mapInArrow(factor, schema), "factors")
+    return _stacked_r(iter([np.array(found.collect(), np.float64).reshape(-1, width)]), width)  # p + 2 rows at most
+
+
+def ols_qr(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
+    """term, weight: least squares on several columns from the triangular factor, right where columns nearly depend on each other.
+
+    The Gram matrix that ols_multi() uses squares the condition number and loses twice as many digits. Columns that
+    depend on others exactly, and fewer rows than columns, get the solution of least norm.
+    """
+    r = triangular_factor(df, xs, y)
+    p = len(xs) + 1
+    weights = np.linalg.lstsq(r[:, :p], r[:, p], rcond=None)[0] if len(r) else np.zeros(p)
+    return df.sparkSession.createDataFrame([(t, float(w)) for t, w in zip(["(intercept)", *xs], weights, strict=True)], "term string, weight double")
+
+
 def predict_line(df: DataFrame, coefs: DataFrame, x: str, by: Sequence[str] = (), name: str = "predicted") -> DataFrame:
     """df plus intercept + slope * x; coefs as ols() gives them, one row or one per group."""
     lines = coefs.select(*by, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))

@@ -212,6 +212,38 @@ def ols_multi(spark: SparkSession, d: str) -> DataFrame:
     return regression.ols_multi(_table(spark, d, "lineitem"), _XS, "l_extendedprice").withColumn("weight", F.round("weight", 2))
 
 
+@query(
+    """WITH c AS (SELECT l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y FROM lineitem),
+f AS (SELECT regr_slope(x2, x1) AS s2, regr_intercept(x2, x1) AS i2, regr_slope(x3, x1) AS s3, regr_intercept(x3, x1) AS i3, regr_slope(y, x1) AS sy, regr_intercept(y, x1) AS iy, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM c),
+r AS (SELECT x2 - i2 - s2 * x1 AS x2, x3 - i3 - s3 * x1 AS x3, y - iy - sy * x1 AS y FROM c, f),
+g AS (SELECT regr_slope(x3, x2) AS t3, regr_slope(y, x2) AS ty FROM r),
+b3 AS (SELECT regr_slope(y - ty * x2, x3 - t3 * x2) AS b3 FROM r, g),
+b AS (SELECT *, sy - s2 * b2 - s3 * b3 AS b1 FROM (SELECT f.*, b3, ty - t3 * b3 AS b2 FROM f, g, b3))
+SELECT '(intercept)' AS term, round(my - b1 * m1 - b2 * m2 - b3 * m3, 2) AS weight FROM b
+UNION ALL SELECT 'l_quantity', round(b1, 2) FROM b UNION ALL SELECT 'l_discount', round(b2, 2) FROM b UNION ALL SELECT 'l_tax', round(b3, 2) FROM b"""
+)
+def ols_multi(spark: SparkSession, d: str) -> DataFrame:
+    return regression.ols_multi(_table(spark, d, "lineitem"), _XS, "l_extendedprice").withColumn("weight", F.round("weight", 2))
+
+
+#: The third column is the first but for a ten-millionth of the discount, so its weight is that of 1e7 times the discount.
+_NEARLY = "SELECT '(intercept)' AS term, round(iy + 0.0, 2) AS weight FROM f UNION ALL SELECT 'x1', round((a - 1e7 * b) / 1e7, 4) FROM f UNION ALL SELECT 'x2', round(1e7 * b / 1e7, 4) FROM f"
+
+
+@query(
+    """WITH c AS (SELECT l_quantity AS x, l_discount AS z, l_extendedprice AS y FROM lineitem),
+f AS (SELECT regr_slope(z, x) AS s, regr_intercept(z, x) AS i, regr_slope(y, x) AS sy, regr_intercept(y, x) AS iy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM c),
+g AS (SELECT regr_slope(y - iy - sy * x, z - i - s * x) AS b FROM c, f),
+w AS (SELECT sy - s * b AS a, b, my - (sy - s * b) * mx - b * mz AS k FROM f, g)
+SELECT '(intercept)' AS term, round(k, 3) AS weight FROM w UNION ALL SELECT 'x1', round((a - b * 1e4) / 1e4, 1) FROM w UNION ALL SELECT 'x2', round(b, 1) FROM w"""
+)
+def ols_nearly_dependent(spark: SparkSession, d: str) -> DataFrame:
+    """The price by the quantity and by the quantity plus a ten-thousandth of the discount, two columns of a condition of some 1e7; their weights in ten thousands."""
+    x1, x2 = F.col("l_quantity"), F.col("l_quantity") + F.col("l_discount") * 1e-4
+    found = regression.ols_qr(_table(spark, d, "lineitem").select(x1.alias("x1"), x2.alias("x2"), F.col("l_extendedprice").alias("y")), ["x1", "x2"], "y")
+    return found.withColumn("weight", F.when(F.col("term") == "(intercept)", F.round("weight", 3)).otherwise(F.round(F.col("weight") / 1e4, 1)))
+
+
 @query(
     f"""WITH s AS (SELECT o_orderkey, o_totalprice, o_custkey, row_number() OVER (ORDER BY {_hash("o_orderkey")}, o_orderkey) <= (SELECT ceil(0.2 * count(*)) FROM orders) AS is_test FROM orders),
 f AS (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS b FROM s WHERE NOT is_test)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,13 +60,27 @@ def read_vectors(spark: SparkSession, path: str, width: int, scale: float = 1.0)
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """All images of a folder as image_id, y, x, r, g, b: one row per pixel, made by the executors.
 
-    Spark decodes to interleaved bytes, blue first; grey images give equal channels, alpha is left out. Images are cut
-    into lines before they are cut into pixels, so a pixel's row carries one line.
+    Spark decodes to interleaved bytes, blue first; grey images give equal channels, alpha is left out. Each image is cut into
+    an array of its lines at once, so a line's row carries its own bytes only, and lines are decoded to columns in Arrow batches.
     """
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    line = image.select("origin", "width", "nChannels", "data", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))
-    line = line.select("origin", "nChannels", "y", "width", F.expr("substring(data, y * width * nChannels + 1, width * nChannels)").alias("line"))
-    pixel = line.select("origin", "nChannels", "y", "line", F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
-    byte = lambda k: F.expr(f"cast(conv(hex(substring(line, x * nChannels + {k} + 1, 1)), 16, 10) as int)")
-    channel = lambda k: F.when(F.col("nChannels") == 1, byte(0)).otherwise(byte(k))
-    return pixel.select(F.col("origin").alias("image_id"), "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").filter("height > 0 AND width > 0")
+    cut = F.expr("transform(sequence(0, height - 1), y -> named_struct('y', y, 'bytes', substring(data, y * width * nChannels + 1, width * nChannels)))")
+    lines = image.select("origin", "width", "nChannels", F.explode(cut).alias("line")).select("origin", "width", "nChannels", "line.y", "line.bytes")
+    return lines.mapInArrow(_pixels, "image_id string, y int, x int, r int, g int, b int")
+
+
+def _pixels(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Lines (origin, width, nChannels, y, bytes) to pixels; lines of one form are decoded together, about `at_once` pixels a batch."""
+    for batch in batches:
+        width, channels = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (width[1:] != width[:-1]) | (channels[1:] != channels[:-1])])) if batch.num_rows else []
+        for first, behind in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+            w, c = int(width[first]), int(channels[first])
+            for at in range(int(first), int(behind), max(1, at_once // w)):
+                some = batch.slice(at, min(max(1, at_once // w), int(behind) - at))
+                data = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(-1, c)
+                n = some.num_rows
+                line = pa.array(np.repeat(np.arange(n), w))
+                blue, green, red = (data[:, k if c > 1 else 0].astype(np.int32) for k in range(3))
+                x = np.tile(np.arange(w, dtype=np.int32), n)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(line), some.column(3).take(line), *[pa.array(v) for v in (x, red, green, blue)]], ["image_id", "y", "x", "r", "g", "b"])

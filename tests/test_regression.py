@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,25 @@ def test_metrics(spark):
     report = {r.label: (r.n, r.n_classes, r.n_total) for r in metrics.class_report(df).collect()}
     assert report == {1: (2, 2, 4), 2: (1, 2, 4), None: (1, 2, 4)}
     assert metrics.class_head(df, "id", 1).count() == 3
+
+
+def test_qr_is_right_where_the_gram_matrix_is_not(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=2000)
+    b = a + rng.normal(size=2000) * 1e-6
+    c = rng.normal(size=2000) * 1e3
+    y = 3.0 + 2.0 * a - 5.0 * b + 0.25 * c
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), c.tolist(), y.tolist(), strict=True)), "a double, b double, c double, y double").repartition(7)
+    df = df.unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, None)], df.schema))
+    want = {"(intercept)": 3.0, "a": 2.0, "b": -5.0, "c": 0.25}
+    off = lambda df_: max(abs(r.weight - want[r.term]) for r in df_.collect())
+    assert off(regression.ols_qr(df, ["a", "b", "c"], "y")) < 1e-7 < 1e-3 < off(regression.ols_multi(df, ["a", "b", "c"], "y"))
+    r = regression.triangular_factor(df, ["a", "b", "c"], "y", fan_in=2)
+    x = np.column_stack([np.ones(2000), a, b, c, y])
+    assert np.allclose(r.T @ r, x.T @ x)
+
+
+def test_qr_of_few_rows_and_none(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    assert sum(r.weight for r in regression.ols_qr(df, ["x"], "y").collect()) == pytest.approx(2.0)
+    assert [r.weight for r in regression.ols_qr(df.filter("x > 5"), ["x"], "y").collect()] == [0.0, 0.0]
