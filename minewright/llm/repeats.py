@@ -238,7 +238,7 @@ def _counted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     the seed meet those of others by hash; each string that stands twice gets the fingerprint of the set of
     contexts that hold it. Those of a context with one fingerprint are one repeat: the same members hold all
     its strings and what lies between them, and the next byte to either side has other members, so it is
-    left-diverse and maximal. Strings, contexts and rows are joined by key, the largest groups
+    left-diverse and maximal. A longer repeat of fewer members whose every string has more members isn't found this way. Strings, contexts and rows are joined by key, the largest groups
     spread, so the work is in proportion to the contexts and no task gathers the suffixes of a seed.
     """
     width = length - seed
@@ -306,7 +306,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the UTF-8 text; strings of `length` bytes that start twice lie in repeats, and all occurrences of a
     repeat carry its number. The maximal repeats around a seed come from the scan of its suffix array; an
     array of more than `hot` suffixes is too much for a task, and its repeats come from hashed strings
-    (see _counted()), which gives the same spans.
+    (see _counted()). Together they cover the same bytes and each given repeat is maximal, but a maximal repeat all of whose
+    strings of `length` bytes stand in further contexts as well gets no number of its own there.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sampled = materialize(_sampled(docs, length, seed).withColumn("rid", F.monotonically_increasing_id()), "sampled")
