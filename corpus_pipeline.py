@@ -16,7 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, fitted on the labelled ones among them, scores below 0.5.
 
     Rows are judged by their text alone: null and empty texts score as texts without words and stay if those do;
-    very long texts are scored whole; repeated rows and ids fare alike. Without labels nothing is dropped.
+    very long texts are scored whole; repeated rows and ids fare alike; columns of any other name are kept. Without labels nothing
+    is dropped, an empty table stays empty.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score, toxic = fresh(docs, "_score"), fresh(docs, "_toxic")
@@ -27,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest doc_id.
 
     Rows are told apart by their place in the files, so rows that repeat an id, or have none, are judged by their
-    texts like all others; of equal ids one row stays, null ids come last. Null and blank texts are copies of
-    nothing and stay.
+    texts like all others; of equal ids one row stays, null ids come last. Null, empty and blank texts are copies of
+    nothing and stay. Very long texts are compared whole; a set of shingles must fit into a row. Columns of any other name are kept.
     """
     row = fresh(docs, "_row")
     rows = with_row_identity(docs, row)
@@ -43,7 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; null and empty texts have none. Rows are judged one by one, whatever their ids."""
+    """Documents without a passage of the benchmark; null and empty texts have none. Rows are judged one by one, whatever their ids,
+    very long texts whole; columns of any other name are kept."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: a row per draw, shard after shard in their shuffled order, n_chars as drawn.
 
     A draw has the columns of its document; one of part of a text has that part. Documents without words (null, empty or
-    blank texts) have nothing to draw and go. A null source is a source; rows that repeat are documents of their own.
+    blank texts) have nothing to draw and go. A null source is a source; rows that repeat are documents of their own. A text must fit
+    into a row, however long it is; columns of any other name are kept.
     """
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     mixed = mixing.mix(docs.toDF(*inner.values()), inner["doc_id"], inner["text"], inner["source"])
@@ -60,7 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in random order with their shard and slot, written as shards and read back; null, empty and repeated ones too."""
+    """All rows in random order with their shard and slot, written as shards and read back; null, empty, very long
+    and repeated ones too. Columns named shard or slot are replaced, all others kept."""
     return sharding.shard_files(docs)
 
 
