@@ -50,6 +50,7 @@ def _sides(query: DataFrame, base: DataFrame, key: str, vector: str, extra: tupl
 
 
 def _exact(q: DataFrame, b: DataFrame, k: int, extra: tuple[str, ...], query_block: int, self_join: bool) -> DataFrame:
+    q = materialize(q, "queries")
     n = q.count()
     if n > query_block:
         return cell_join(q, b, k, extra, query_block, self_join=self_join)[0]
@@ -58,7 +59,7 @@ def _exact(q: DataFrame, b: DataFrame, k: int, extra: tuple[str, ...], query_blo
     schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
     if not n:
         return nearest_rows(q.sparkSession.createDataFrame([], schema), k)
-    files = tuple(sorted(materialize(q.coalesce(1), "queries").inputFiles()))  # one block
+    files = tuple(sorted(materialize(q.repartition(1), "block").inputFiles()))
 
     def search(batches):
         ids, vectors = _queries(files)
