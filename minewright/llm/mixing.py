@@ -67,40 +67,76 @@ def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
         p -> element_at(transform(transform(array({mode}), m -> named_struct('m', cast(m as double), 'p0', {p0})), q -> {walk}), 1)), 1)"""
 
 
-def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Split block quotas (_src, rank, _q) among shards: _src, _bounds.
-
-    A node holds the quotas of all sources for a range of shards, and hands its left half of the
-    shards a multivariate-hypergeometric draw of them (source by source, each conditioned on the
-    draws before); the rest goes right. So every shard gets its share of all blocks, the sources in it
-    as a random draw without replacement would have them, and each source's quota is kept exactly.
-    _bounds[i] is the number of the source's blocks in shards 0..i. A node is one row with a number per
-    source.
+def split_tree(quotas: DataFrame, shards: int, seed: int, fan: int = 256) -> DataFrame:
+    """Split block quotas (_src, rank 1, 2, ..., _q) among shards: _src, _bounds.
+
+    A node holds the quotas of sources for a range of shards, and hands its left half of the shards a
+    multivariate-hypergeometric draw of them (source by source, each conditioned on the draws before);
+    the rest goes right. So every shard gets its share of all blocks, the sources in it as a random draw
+    without replacement would have them, and each source's quota is kept exactly. _bounds[i] is the
+    number of the source's blocks in shards 0..i.
+
+    A row holds at most `fan` sources. Where there are more, the tree first splits the sums of groups of
+    sources, and each group then draws what its sum was given, node by node; that is the same distribution.
     """
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "_src", "_q"))).alias("_all")).select(
-        F.transform("_all", lambda x: x["_src"]).alias("_srcs"), F.transform("_all", lambda x: x["_q"]).alias("_qs"), F.lit(0).alias("_first"), F.lit(shards).alias("_count")
-    )
-    uniform = f"(cast(shiftrightunsigned(xxhash64({seed}L, _first, _count, i), 11) as double) / 9007199254740992D)"
+    grouped = quotas.withColumn("_group", F.expr(f"cast((rank - 1) div {fan} as long)"))
+    node = grouped.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("rank", "_src", "_q"))).alias("_all"))
+    node = node.select("_group", F.transform("_all", lambda x: x["_src"]).alias("_srcs"), F.transform("_all", lambda x: x["_q"]).alias("_qs"))
+    if quotas.count() > fan:
+        sums = grouped.groupBy("_group").agg(F.sum("_q").alias("_q")).select(F.col("_group").alias("_src"), (F.col("_group") + 1).alias("rank"), "_q")
+        given = split_tree(sums, shards, seed + 1, fan).select(F.col("_src").alias("_group"), F.col("_bounds").alias("_given"))
+        node = materialize(node.join(given, "_group"), "groups")
+        # The blocks that the left half of a node's shards was given, from the bounds of the group.
+        left_sum = "element_at(_given, cast(_first + _count div 2 as int)) - if(_first = 0, 0L, element_at(_given, greatest(_first, 1)))"
+    else:
+        node = node.withColumn("_given", F.expr("cast(NULL as array<bigint>)"))
+        left_sum = "cast(floor(_sum * (_count div 2) / _count) as bigint)"
+    node = node.withColumns({"_first": F.lit(0), "_count": F.lit(shards)})
+    uniform = f"(cast(shiftrightunsigned(xxhash64({seed}L, _group, _first, _count, i), 11) as double) / 9007199254740992D)"
     draw = f"""aggregate(sequence(0, size(_qs) - 1),
-        named_struct('left', cast(floor(_sum * (_count div 2) / _count) as bigint), 'rest', _sum, 'out', cast(array() as array<bigint>)),
+        named_struct('left', {left_sum}, 'rest', _sum, 'out', cast(array() as array<bigint>)),
         (a, i) -> element_at(transform(array({hypergeometric('a.rest', '_qs[i]', 'a.left', uniform)}),
                    x -> named_struct('left', a.left - x, 'rest', a.rest - _qs[i], 'out', array_append(a.out, x))), 1),
         a -> a.out)"""
-    depth = (shards - 1).bit_length()
-    node = node.filter("size(_qs) > 0")
-    for _ in range(depth):
+    for _ in range((shards - 1).bit_length()):
         summed = node.withColumn("_sum", F.expr("aggregate(_qs, 0L, (a, x) -> a + x)"))
         drawn = summed.withColumn("_left", F.expr(f"CASE WHEN _count > 1 THEN {draw} ELSE _qs END"))
         half = "named_struct('qs', {}, 'first', {}, 'count', {})"
         left = half.format("_left", "_first", "greatest(1, _count div 2)")
         right = half.format("zip_with(_qs, _left, (x, y) -> x - y)", "_first + _count div 2", "_count - _count div 2")
-        node = drawn.select("_srcs", F.explode(F.expr(f"CASE WHEN _count > 1 THEN array({left}, {right}) ELSE array({left}) END")).alias("_n"))
-        node = node.select("_srcs", F.col("_n.qs").alias("_qs"), F.col("_n.first").alias("_first"), F.col("_n.count").alias("_count"))
+        node = drawn.select("_group", "_given", "_srcs", F.explode(F.expr(f"CASE WHEN _count > 1 THEN array({left}, {right}) ELSE array({left}) END")).alias("_n"))
+        node = node.select("_group", "_given", "_srcs", F.col("_n.qs").alias("_qs"), F.expr("cast(_n.first as int)").alias("_first"), F.expr("cast(_n.count as int)").alias("_count"))
     leaf = node.select("_first", F.explode(F.arrays_zip("_srcs", "_qs")).alias("_x")).select("_first", F.col("_x._srcs").alias("_src"), F.col("_x._qs").alias("_q"))
     running = "transform(sequence(1, size(_shares)), n -> aggregate(slice(_shares, 1, n), 0L, (a, x) -> a + x._q))"
     return leaf.groupBy("_src").agg(F.sort_array(F.collect_list(F.struct("_first", "_q"))).alias("_shares")).select("_src", F.expr(running).alias("_bounds"))
 
 
+def permuted(x: str, n: str, key: str, rounds: int = 32) -> str:
+    """SQL for the place of x in a keyed random order of 0 .. n - 1, n at least 1.
+
+    Swap-or-not rounds: each pairs x with a keyed partner, and a keyed bit of the pair decides whether they
+    swap. So it is a permutation of any n, found for one x without a table of the others.
+    """
+    partner = f"pmod(pmod(xxhash64({key}, r), {n}) - x, {n})"
+    return f"""aggregate(sequence(1, {rounds}), {x}, (x, r) -> element_at(transform(array({partner}),
+        y -> CASE WHEN xxhash64({key}, r, greatest(x, y)) % 2 = 0 THEN x ELSE y END), 1))"""
+
+
+def _draws(block: int, seed: int) -> str:
+    """SQL for the draws of a document of `size` words from word _start of its source's stream."""
+    place = f"CASE WHEN b < source_size div {block} THEN {permuted('b', f'(source_size div {block})', f'{seed}L, _src, p')} ELSE _blocks - 1 END"
+    begin, end = f"greatest(0L, b * {block} - _start)", f"least(size, (b + 1) * {block} - _start)"
+    given = f"CASE WHEN p < _full THEN {end} ELSE least({end}, b * {block} + _more - at * {block} - _start) END"  # a pass that isn't full ends within a block
+    piece = f"transform(array({place}), at -> named_struct('start', {begin}, 'words', {given} - {begin}, 'shard', size(filter(_bounds, x -> x <= p * _blocks + at))))[0]"
+    pieces = f"filter(transform(sequence(_start div {block}, (_start + size - 1) div {block}), b -> {piece}), x -> x.words > 0)"
+    whole = "CASE WHEN size(x) > 0 THEN array(named_struct('start', 0L, 'words', aggregate(x, 0L, (a, y) -> a + y.words), 'shard', x[0].shard)) ELSE x END"
+    drawn = f"transform(array({pieces}), x -> CASE WHEN size > {block} THEN x ELSE {whole} END)[0]"
+    entry = f"named_struct('pass', p, 'start', x.start, 'words', x.words, 'shard', x.shard, 'place', xxhash64({seed}L, _hash, p, x.start))"
+    every = f"flatten(transform(sequence(0L, _full), p -> transform({drawn}, x -> {entry})))"
+    none = "cast(array() as array<struct<pass:bigint,start:bigint,words:bigint,shard:int,place:bigint>>)"
+    return f"CASE WHEN size > 0 THEN {every} ELSE {none} END"
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
     ratio: float = 1.5, cap: float = 2.0, shards: int = 8, block_words: int = 1024, buckets: int | None = None, seed: int = 29,
@@ -108,14 +144,15 @@ def mix(
     """docs plus size, source_size, target, taken and draws.
 
     size: words of the text (null: 0). target: see targets(). The words of a source form a stream, its
-    documents in seeded random order. A source's quota is the number of blocks of block_words words that
-    its target fills; split_tree() deals the quotas to the output shards. With its share of the quota a
-    shard gets the same share of the stream, as whole documents and disjoint from other shards', and
-    takes its words from there, over and over: each document whole for each full pass, and its first
-    documents once more, the last of them in part. So the tree decides which documents are taken once
-    more; targets are met to the word and no document exceeds cap times its size.
-    draws: an array of (pass, words, shard, place), one entry per pass that takes words: those are the
-    first `words` words of the text; sorting a shard by place shuffles it, as in_shard_order() does.
+    documents in seeded random order, cut into blocks of block_words words. A pass draws the source's blocks in an order
+    of its own, a random permutation (see permuted(); only the last block of the stream, which may be shorter, stays last); there are as many
+    full passes as the target holds the source, and one more up to the target. split_tree() deals the numbers
+    of blocks to draw to the output shards, and a shard draws the next so many blocks of each source's order: so shards are disjoint
+    in every pass, the tree's quotas are kept exactly, targets are met to the word and no document exceeds cap times its size.
+    A document longer than a block goes block by block; one that isn't stays together in a pass: it takes its first words, as many as
+    the one or two blocks around it give it (all, if they are drawn), in the shard of the first of them that is drawn.
+    draws: an array of (pass, start, words, shard, place), one entry per part that is taken: `words` words of the
+    text from word `start` (from 0). Sorting a shard by place shuffles it, as in_shard_order() does.
 
     Places in a stream are running sums in two levels (hash buckets, then within a bucket), so a source
     that holds most rows is spread. Without `buckets` there are so many that one holds about 32 MB of text,
@@ -143,32 +180,21 @@ def mix(
     sums = materialize(d.groupBy(F.col(source).alias("source"), "_src", "_bucket").agg(F.sum("size").alias("_sum")), "sums")
     plan = targets(sums.groupBy("source", "_src").agg(F.sum("_sum").alias("source_size")).select("source", "source_size"), weights, ratio, cap)
     plan = plan.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    plan = materialize(plan.withColumn("_words", F.round("target").cast("long")).withColumn("_q", F.ceil(F.col("_words") / block_words)), "targets")
-    bounds = split_tree(plan.select("_src", "rank", "_q"), shards, seed)
-    share = "cast(cast({} as decimal(19,0)) * cast({} as decimal(19,0)) div {} as bigint)"
-    bounds = plan.select("_src", "source_size", "target", "_words", "_q").join(bounds, "_src")
-    bounds = bounds.withColumn("_cuts", F.expr(f"transform(_bounds, b -> {share.format('source_size', 'b', 'greatest(_q, 1)')})")).drop("_q", "_bounds")
+    plan = plan.withColumn("_words", F.round("target").cast("long")).withColumns({
+        "_full": F.expr("_words div greatest(source_size, 1)"), "_more": F.expr("_words % greatest(source_size, 1)"),
+        "_blocks": F.expr(f"(source_size + {block_words - 1}) div {block_words}"),
+    })
+    plan = materialize(plan.withColumn("_q", F.expr(f"_full * _blocks + (_more + {block_words - 1}) div {block_words}")), "targets")
+    bounds = plan.select("_src", "source_size", "target", "_full", "_more", "_blocks").join(split_tree(plan.select("_src", "rank", "_q"), shards, seed), "_src")
     before = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(bounds, "_src")
-    placed = materialize(placed.drop("source"), "places")
+    placed = sums.drop("source").withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").join(bounds, "_src")
+    placed = materialize(placed, "places")
     within = W.partitionBy("_src", "_bucket").orderBy("_hash", F.col(key), "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("_offset")
-    # Shards end with the documents that the cuts fall in; only these documents' buckets are looked through.
-    cut = placed.withColumn("_cuts", F.expr("filter(_cuts, c -> c > _offset AND c <= _offset + _sum)")).filter("size(_cuts) > 0").select("_src", "_bucket", "_offset", "_cuts")
-    cut = d.select("_src", "_bucket", "_hash", F.col(key), "size").join(cut, ["_src", "_bucket"]).withColumn("_start", start)
-    cut = cut.select("_src", (F.col("_start") + F.col("size")).alias("_end"), F.explode(F.array_distinct(F.expr("filter(_cuts, c -> c > _start AND c <= _start + size)"))).alias("_cut"))
-    ends = materialize(cut.groupBy("_src").agg(F.map_from_entries(F.collect_list(F.struct("_cut", "_end"))).alias("_end_of")), "ends")
-    placed = placed.drop("_sum").join(ends, "_src", "left").withColumn("_ends", F.expr("concat(array(0L), transform(_cuts, c -> coalesce(_end_of[c], 0L)))")).drop("_end_of")
     # A task takes some 16 MB of text, more only where that would make too many tasks.
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(total >> 24, 50_000))
     d = d.repartition(parts, "_src", "_bucket").join(placed, ["_src", "_bucket"]).withColumn("_start", start)
-    d = d.withColumn("_shard", F.expr(f"least(size(filter(_cuts, c -> c <= _start)), {shards - 1})"))
-    d = d.withColumns({"_first": F.expr("_ends[_shard]"), "_behind": F.expr("_ends[_shard + 1]"), "_full": F.expr("_words div greatest(source_size, 1)"), "_more": F.expr("_words % greatest(source_size, 1)")})
-    d = d.withColumn("_more", F.expr(f"{share.format('_more', '_behind', 'greatest(source_size, 1)')} - {share.format('_more', '_first', 'greatest(source_size, 1)')}"))
-    words = "CASE WHEN p < _full THEN size ELSE greatest(0L, least(size, _more - (_start - _first))) END"
-    draw = f"""filter(transform(sequence(0, cast(_full as int)), p -> named_struct('pass', p, 'words', {words},
-        'shard', _shard, 'place', xxhash64({seed}L, _hash, p))), x -> x.words > 0)"""
-    d = d.withColumn("draws", F.expr(draw))
+    d = d.withColumn("draws", F.expr(_draws(block_words, seed)))
     taken = F.expr("aggregate(draws, 0L, (a, x) -> a + x.words)")
     return d.select(*[F.col(i).alias(c) for i, c in zip(inner, names, strict=True)], "size", "source_size", "target", taken.alias("taken"), "draws")
 
@@ -176,14 +202,17 @@ def mix(
 def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: mix()'s input columns, one row per draw, plus shard and place.
 
-    A draw of all words keeps the text as it is; one of fewer words is cut after its last word. Input columns
+    A draw of all words keeps the text as it is; one of fewer has its words with single spaces between. Input columns
     named shard or place are replaced.
     """
     names = [c for c in mixed.columns if c not in NAMES and c.lower() not in ("shard", "place")]
-    rows = mixed.select(*names, "size", F.explode("draws").alias("_draw"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    text = F.when(F.col("_draw.words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_draw.words").cast("int")), " "))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], "_draw.shard", "_draw.place")
+    words = F.when(F.exists("draws", lambda x: x["words"] < F.col("size")), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
+    cut = lambda w, x: F.array_join(F.slice(w, (x["start"] + 1).cast("int"), x["words"].cast("int")), " ")
+    text = lambda w, x: F.when(x["words"] == F.col("size"), F.col(text_col)).otherwise(cut(w, x))
+    # A text is taken apart once, before its draws become rows.
+    draws = F.transform(F.array(words), lambda w: F.transform("draws", lambda x: F.struct(text(w, x).alias("text"), x["shard"].alias("shard"), x["place"].alias("place"))))[0]
+    rows = mixed.select(*[c for c in names if c != text_col], F.explode(draws).alias("_draw"))
+    return rows.select(*[F.col("_draw.text").alias(c) if c == text_col else F.col(c) for c in names], "_draw.shard", "_draw.place")
 
 
 def in_shard_order(mixed: DataFrame, text_col: str = "text", shards: int = 8) -> DataFrame:

@@ -56,32 +56,66 @@ def test_targets_and_takes(spark):
 
 def test_the_tree_decides_what_is_taken(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(i, words(int(rng.integers(0, 40)), i), f"s{i % 3}") for i in range(600)]
+    rows = [(i, words(int(rng.integers(0, 40)), i), f"s{i % 3}") for i in range(600)] + [(1000, words(700), "s1")]
     trees = []
     tree = mixing.split_tree
     monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: trees.append(tree(q, n, seed).collect()) or tree(q, n, seed))
     got = mixing.mix(docs(spark, rows), shards=4, block_words=16, buckets=8).collect()
     bounds = {r["_src"][1:]: list(r["_bounds"]) for r in trees[0]}
-    drawn, sources, shards = {}, {}, {}
+    drawn, sources = {}, {}
     for r in got:
         sources[r.source] = sources.get(r.source, 0) + r.taken
         for x in r.draws:
             drawn[r.source, x["shard"]] = drawn.get((r.source, x["shard"]), 0) + x["words"]
-            shards.setdefault(r.doc_id, set()).add(x["shard"])
-    assert all(len(x) == 1 for x in shards.values())  # disjoint shares
+        for p in {x["pass"] for x in r.draws}:  # parts are disjoint in every pass, and go by the block where a document is longer
+            parts = sorted((x["start"], x["words"]) for x in r.draws if x["pass"] == p)
+            assert all(a + n <= b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and all(n <= 16 for _, n in parts)
+            assert len(parts) == 1 or r.size > 16
     for s, b in bounds.items():
         for i in range(4):
-            quota = (b[i] - (b[i - 1] if i else 0)) / b[-1] * sources[s]
-            assert abs(drawn.get((s, i), 0) - quota) <= 2 * 2 * 40
+            quota = (b[i] - (b[i - 1] if i else 0)) * 16
+            # documents of up to a block stay together, so some words of each block lie in its neighbours' shards
+            assert abs(drawn.get((s, i), 0) - quota) <= 16 * 3 + 0.1 * quota
+    assert {x["shard"] for r in got if r.doc_id == 1000 for x in r.draws} == {0, 1, 2, 3}
     other = [[q // 2 if i < 3 else q for i in range(4)] for q in (b[-1] for b in bounds.values())]
     other = spark.createDataFrame([("=" + s, b) for s, b in zip(bounds, other, strict=True)], "_src string, _bounds array<long>")
     monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: other)
     again = mixing.mix(docs(spark, rows), shards=4, block_words=16, buckets=8).collect()
-    assert {r.doc_id: r.taken for r in again} != {r.doc_id: r.taken for r in got}
+    assert {r.doc_id: str(r.draws) for r in again} != {r.doc_id: str(r.draws) for r in got}
     for s in sources:
         assert sum(r.taken for r in again if r.source == s) == sources[s] and not any(x["shard"] in (1, 2) for r in again for x in r.draws)
 
 
+def test_draws_are_permuted_blocks(spark):
+    """One document that is a whole source: its draws are the blocks of the stream in the order that permuted() gives."""
+    rows = [(1, words(1000), "a"), (2, words(4000, 2), "b")]
+    got = {r.source: r for r in mixing.mix(docs(spark, rows), shards=3, block_words=64, weights=(3, 1)).collect()}
+    for r, full in zip((got["a"], got["b"]), (2, 1), strict=True):
+        n, whole = -(-r.size // 64), r.size // 64
+        for p in range(full + 1):
+            sql = mixing.permuted("id", str(whole), f"29L, '={r.source}', {p}L")
+            at = {x.id: x.at for x in spark.range(whole).selectExpr("id", f"{sql} AS at").collect()} | ({whole: n - 1} if n > whole else {})
+            want, more = {}, r.size if p < full else r.taken - full * r.size
+            for b in range(n):
+                k = min(64, r.size - b * 64, max(0, more - at[b] * 64)) if p == full else min(64, r.size - b * 64)
+                want |= {b * 64: k} if k > 0 else {}
+            assert {x["start"]: x["words"] for x in r.draws if x["pass"] == p} == want
+    assert got["a"].taken == 2000 and got["b"].taken == 5500
+    for r in got.values():  # a shard's draws follow one another in the order, and shards follow one another
+        order = sorted((x["pass"], x["shard"]) for x in r.draws)
+        assert {x for _, x in order} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 256, 1000])
+def test_places_are_a_permutation(spark, n):
+    got = spark.range(n).selectExpr(*(f"{mixing.permuted('id', str(n), f'{k}L')} AS p{k}" for k in range(3))).toPandas()
+    for c in got:
+        assert sorted(got[c]) == list(range(n))
+    if n >= 256:
+        assert (got.p0 == got.p1).sum() < 10 and (got.p0 == range(n)).sum() < 10
+        assert abs(np.corrcoef(got.p0, np.arange(n))[0, 1]) < 0.2
+
+
 def test_shards_are_written_in_order_of_place(spark):
     rows = [(i, words(i % 30, i), f"s{i % 3}") for i in range(300)]
     mixed = mixing.mix(docs(spark, rows), shards=3, block_words=16)
@@ -116,9 +150,10 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
-def test_quotas_are_exact(spark, shards):
-    quotas = [("a", 1, 0), ("b", 2, 7), ("c", 3, 5000), ("d", 4, 123)]
-    got = {r["_src"]: list(r["_bounds"]) for r in mixing.split_tree(spark.createDataFrame(quotas, "_src string, rank int, _q long"), shards, 3).collect()}
+@pytest.mark.parametrize("fan", [256, 2])
+def test_quotas_are_exact(spark, shards, fan):
+    quotas = [("a", 1, 0), ("b", 2, 7), ("c", 3, 5000), ("d", 4, 123), ("e", 5, 41)]
+    got = {r["_src"]: list(r["_bounds"]) for r in mixing.split_tree(spark.createDataFrame(quotas, "_src string, rank int, _q long"), shards, 3, fan).collect()}
     for s, _, q in quotas:
         assert len(got[s]) == shards and got[s][-1] == q and got[s] == sorted(got[s])
     per_shard = [sum(b[i] - (b[i - 1] if i else 0) for b in got.values()) for i in range(shards)]
@@ -145,7 +180,7 @@ def test_texts_of_the_mix(spark):
     by = {}
     for r in drawn.collect():
         by[r.doc_id] = by.get(r.doc_id, 0) + len(r.text.split())
-        assert r.text == rows[r.doc_id][1] or rows[r.doc_id][1].split()[: len(r.text.split())] == r.text.split()
+        assert r.text == rows[r.doc_id][1] or " ".join(r.text.split()) == r.text and f" {r.text} " in f" {' '.join(rows[r.doc_id][1].split())} "
         assert r.shard in (0, 1)
     assert by == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
 
