@@ -1,37 +1,34 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, rare ones first, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minewright.functions.storage import read_block, stored_blocks
 from minewright.llm import textnum as tn
+from minewright.llm.common import Scratch, fresh, join_groups, with_row_identity
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Items of a block, the bits of the filter of seeds (2^27: 16 MB), hits of a seed that one task joins, rows of a file that are looked up together.
+BLOCK, FILTER_BITS, EACH, TOGETHER = 2_500, 27, 100_000, 1 << 20
 
 
-@dataclass
 class Items:
-    """A block of test items: words as hashes, and the sorted seeds that point to them."""
+    """Some test items: their numbers in ascending order, own ids and words as hashes."""
 
-    ids: list[int | None]
-    words: list[np.ndarray]
-    seeds: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-
-    def __post_init__(self):
-        self.unique = np.unique(self.seeds)
-        self.length = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, number: np.ndarray, ids: list[int | None], words: list[np.ndarray]):
+        self.at, self.ids, self.words = number, ids, words
+        self.length = np.array([len(w) for w in words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.length)])
-        self.vocabulary, self.number = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
+        self.vocabulary, self.number = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -41,38 +38,85 @@ def tokens(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.
         yield tn.span_hashes(tn.prefix_sums(chunk.data), w.start, w.end), w.first
 
 
-def build_items(ids: list[int], texts: list[str | None], n: int) -> Items:
-    words, seeds, item, place = [], [], [], []
-    for hashes, first in tokens(pa.array(texts, pa.string())):
-        for i in range(len(first) - 1):
-            own = hashes[first[i] : first[i + 1]]
-            size = min(n, len(own))  # a shorter item is one seed
-            grams = tn.ngram_hashes(own, np.array([0, len(own)]), n)[0] if len(own) >= n else _whole(own)
-            seeds.append(grams if size else np.zeros(0, np.uint64))
-            item.append(np.full(len(seeds[-1]), len(words)))
-            place.append(np.arange(len(seeds[-1])))
-            words.append(own)
-    seeds, item, place = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((seeds, np.uint64), (item, np.int64), (place, np.int64)))
-    order = np.lexsort((place, item, seeds))
-    return Items(ids, words, seeds[order], item[order], place[order])
-
-
-def _whole(own: np.ndarray) -> np.ndarray:
-    return tn.ngram_hashes(own, np.array([0, len(own)]), len(own))[0] if len(own) else own
-
-
-def seed_hits(hashes: np.ndarray, first: np.ndarray, seeds: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, seed hash) of all places where one of the sorted seeds stands."""
-    text, word, seed = [], [], []
-    for n in sizes:
-        grams, starts = tn.ngram_hashes(hashes, first, n)
-        at = np.searchsorted(seeds, grams)
-        hit = np.flatnonzero(seeds[np.minimum(at, len(seeds) - 1)] == grams) if len(seeds) and len(grams) else np.zeros(0, np.int64)
-        row = np.searchsorted(starts, hit, "right") - 1
-        text.append(row)
-        word.append(hit - starts[row] + first[row])
-        seed.append(grams[hit])
-    return np.concatenate(text), np.concatenate(word), np.concatenate(seed)
+def _tokenised(benchmark: DataFrame) -> DataFrame:
+    """id and text to id and words."""
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                own = [hashes[x:y] for hashes, first in tokens(part.column(1)) for x, y in zip(first[:-1], first[1:], strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(w) for w in own])]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), words], ["id", "words"])
+
+    return benchmark.mapInArrow(work, "id long, words array<long>")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all rows, and each row's first word."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]).astype(np.int64)
+
+
+def _seeds(items: DataFrame, n: int) -> DataFrame:
+    """item and words to the items' seeds: all n-word runs with their places; a shorter item is one seed."""
+
+    def work(batches):
+        for batch in batches:
+            item = batch.column(0).to_numpy()
+            words, first = _lists(batch.column(1))
+            length = np.diff(first)
+            seeds, starts = tn.ngram_hashes(words, first, n)
+            row = np.repeat(np.arange(len(item)), np.diff(starts))
+            found = [(seeds, row, np.arange(len(row)) - starts[row], np.full(len(row), n))]
+            for size in range(1, n):
+                short = np.flatnonzero(length == size)
+                own = words[(first[short][:, None] + np.arange(size)).ravel()]
+                seeds = tn.ngram_hashes(own, np.arange(len(short) + 1) * size, size)[0]
+                found.append((seeds, short, np.zeros(len(short), np.int64), np.full(len(short), size)))
+            seed, row, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(item[row]), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int64))], ["seed", "item", "place", "size"])
+
+    return items.mapInArrow(work, "seed long, item long, place long, size long")
+
+
+def _stored(folder: str, columns: list[str]) -> pa.Table | None:
+    """The rows of a folder of Parquet files, in a task; None if there are none."""
+    store, base = fs.FileSystem.from_uri(folder)
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    parts = [pq.read_table(x.path, filesystem=store, columns=columns, partitioning=None) for x in found if x.base_name.endswith(".parquet")]
+    return pa.concat_tables(parts).combine_chunks() if parts else None
+
+
+@lru_cache(maxsize=2)
+def _filter(folder: str) -> np.ndarray:
+    """The bits of the seeds' filter, read once per Python process."""
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    rows = _stored(folder, ["part", "bits"])
+    for part, own in zip(rows["part"].to_pylist(), rows["bits"].to_pylist(), strict=True) if rows else ():
+        bits[part * len(own) : (part + 1) * len(own)] = np.frombuffer(own, np.uint8)
+    return bits
+
+
+def _hits(docs: DataFrame, folder: str, sizes: list[int]) -> DataFrame:
+    """file, row, seed, word: the runs of the documents (text, place) that the filter lets through."""
+
+    def work(batches):
+        bits = _filter(folder)
+        for batch in batches:
+            file, row = (batch.column(1).field(i).to_numpy() for i in (0, 1))
+            base = 0
+            for hashes, first in tokens(batch.column(0)):
+                for n in sizes:
+                    grams, starts = tn.ngram_hashes(hashes, first, n)
+                    bit = (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    hit = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    text = np.searchsorted(starts, hit, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(file[base + text]), pa.array(row[base + text]), pa.array(grams[hit].view(np.int64)), pa.array(hit - starts[text])], ["file", "row", "seed", "word"])
+                base += len(first) - 1
+
+    return docs.select("text", "place").mapInArrow(work, "file long, row long, seed long, word long")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -118,41 +162,40 @@ def ceilings(items: Items, hashes: np.ndarray, item: np.ndarray, a: np.ndarray,
     return np.maximum.reduceat(run - np.minimum.accumulate(run - gain), begin)
 
 
-def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, sizes: list[int], least_score: float, block: int = 20_000, at_once: int = 500_000) -> Iterator[tuple[int, int, float, int, int]]:
-    text, word, seed = seed_hits(hashes, first, items.unique, sizes)
-    lo, hi = np.searchsorted(items.seeds, seed, "left"), np.searchsorted(items.seeds, seed, "right")
-    order = np.argsort(text, kind="stable")
-    total = np.cumsum((hi - lo)[order])
-    # Texts with many common seeds are taken apart, so that a part has about `at_once` pairs of a hit and an item.
-    ends = np.unique(np.append(np.searchsorted(text[order], text[order][np.searchsorted(total, np.arange(at_once, total[-1], at_once))], "right"), len(order))) if len(order) else []
-    begin = 0
-    for end in ends:
-        some = order[begin:end]
-        yield from _regions(items, hashes, first, text[some], word[some], lo[some], hi[some], least_score, block)
-        begin = end
-
-
-def _regions(items: Items, hashes: np.ndarray, first: np.ndarray, text: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, least_score: float, block: int) -> Iterator[tuple[int, int, float, int, int]]:
-    reps = hi - lo
-    post = np.repeat(lo - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    text, word = np.repeat(text, reps), np.repeat(word, reps)
-    item, place = items.item[post], items.place[post]
-    # Hits of an item in a text fall into regions: new one where the next implied start is an item's length on.
-    order = np.lexsort((word - place, item, text))
-    text, item, begin = text[order], item[order], (word - place)[order]
-    if not len(text):
-        return
-    fresh = np.ones(len(text), bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > items.length[item[1:]])
-    at = np.flatnonzero(fresh)
-    last = np.maximum.reduceat(begin, at)
-    text, item, begin = text[at], item[at], begin[at]
+def regions(text: np.ndarray, item: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, first, last implied start) of the regions that hits open; hits are sorted by text and item, then rare ones first.
+
+    A hit opens a region unless it implies a start within an item's length of one that a rarer hit has opened; such hits
+    join the nearest region and widen it.
+    """
+    edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]])) if len(text) else np.zeros(1, np.int64)
+    at, low, high = [], [], []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own, reach, opened = begin[a:b], int(length[item[a]]), []
+        for x in own.tolist():
+            i = bisect_left(opened, x)
+            if all(abs(x - y) > reach for y in opened[max(0, i - 1) : i + 1]):
+                opened.insert(i, x)
+        least, most = np.array(opened), np.array(opened)
+        home = np.searchsorted((least[1:] + least[:-1]) / 2, own)
+        np.minimum.at(least, home, own)
+        np.maximum.at(most, home, own)
+        at += [a] * len(opened)
+        low.append(least)
+        high.append(most)
+    at, low, high = np.array(at, np.int64), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (low, high))
+    return text[at], item[at], low, high
+
+
+def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, begin: np.ndarray, least_score: float, block: int = 20_000) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item, score, first and last word) of the regions that reach the least score; see regions() for the order of hits."""
+    text, item, low, high = regions(text, item, begin, items.length)
     least = least_score * MATCH * items.length[item]
     # An alignment that reaches the least score has no room for more gaps than this, so it doesn't leave a..b.
     margin = ((MATCH * items.length[item] - least) / -GAP).astype(np.int64)
-    a = np.maximum(first[text], begin - margin)
-    b = np.minimum(first[text + 1], last + items.length[item] + margin)
-    for x in range(0, len(at), block):
+    a = np.maximum(first[text], first[text] + low - margin)
+    b = np.minimum(first[text + 1], first[text] + high + items.length[item] + margin)
+    for x in range(0, len(text), block):
         some = slice(x, x + block)
         for r in x + np.flatnonzero(ceilings(items, hashes, item[some], a[some], b[some]) >= least[some]):
             t, i = int(text[r]), int(item[r])
@@ -162,93 +205,157 @@ def _regions(items: Items, hashes: np.ndarray, first: np.ndarray, text: np.ndarr
                 yield t, i, score / (MATCH * int(items.length[i])), shift + y, shift + z
 
 
-def stored_items(benchmark: DataFrame, item_col: str, item_text_col: str, block_items: int) -> list[tuple[str, ...]]:
-    """Write the items to the shared folder, for tasks to read: the files of each block of about `block_items` items."""
-    return stored_blocks(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL"), block_items, "items")
+@lru_cache(maxsize=16)
+def _block(folder: str, block: int) -> tuple[np.ndarray, list[int | None], np.ndarray, np.ndarray]:
+    """A block of items, by number: numbers, ids, words of all, each one's first word."""
+    rows = _stored(f"{folder}/block={block}", ["item", "id", "words"]).sort_by("item").combine_chunks()
+    words = rows["words"].combine_chunks()
+    return rows["item"].to_numpy(), rows["id"].to_pylist(), *_lists(words.chunk(0) if isinstance(words, pa.ChunkedArray) else words)
+
+
+def load_items(folder: str, wanted: np.ndarray) -> Items:
+    """The items of these numbers (sorted, unique), in a task."""
+    ids, words = [], []
+    for block in np.unique(wanted >> 33).tolist():
+        number, own, flat, first = _block(folder, block)
+        for i in np.searchsorted(number, wanted[wanted >> 33 == block]).tolist():
+            ids.append(own[i])
+            words.append(flat[first[i] : first[i + 1]])
+    return Items(wanted, ids, words)
 
 
 @lru_cache(maxsize=2)
-def load_items(files: tuple[str, ...], n: int) -> Items:
-    """A block of items, read once per Python process."""
-    rows = read_block(files).sort_by([("id", "ascending"), ("text", "ascending")])
-    return build_items(rows["id"].to_pylist(), rows["text"].to_pylist(), n)
-
-
-def _found(column: pa.Array, items: Items, n: int, least_score: float) -> Iterator[tuple[int, int, list, int]]:
-    """(text, item, best hit, copies) of the items found in texts."""
-    sizes, base = sorted({min(n, len(w)) for w in items.words if len(w)}), 0
-    for hashes, first in tokens(column):
-        best: dict[tuple[int, int], list] = {}
-        for t, i, *hit in _matches(items, hashes, first, sizes, least_score):
-            old = best.setdefault((t, i), [hit, 0, 0])
-            old[1] += hit[1] >= old[2]  # regions side by side can show one copy
-            old[2] = max(old[2], hit[2])
-            if hit[0] > old[0][0]:
-                old[0] = hit
-        yield from ((base + t, i, hit, copies) for (t, i), (hit, copies, _) in best.items())
-        base += len(first) - 1
+def _openings(folder: str, file: int, part: int) -> tuple[np.ndarray, ...]:
+    """row, item, begin of the hits in some rows of a file, sorted by row and item, then rare seeds first."""
+    rows = _stored(f"{folder}/file={file}/part={part}", ["row", "item", "begin", "n"])
+    if rows is None:
+        return (np.zeros(0, np.int64),) * 3
+    row, item, begin, n = (rows[c].to_numpy() for c in ("row", "item", "begin", "n"))
+    order = np.lexsort((begin, n, item, row))
+    return row[order], item[order], begin[order]
+
+
+class Seeded:
+    """What the join of documents and items on seeds leaves in the shared folder, for tasks to align."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, n: int):
+        """docs: text and place; benchmark: id and text."""
+        scratch = Scratch(docs.sparkSession, "leaks")
+        blocks, self.together = max(1, -(-benchmark.count() // BLOCK)), TOGETHER
+        self.items, self.openings, bits = f"{scratch.folder}/items", f"{scratch.folder}/openings", f"{scratch.folder}/filter"
+        items = _tokenised(benchmark.repartition(blocks)).withColumn("item", F.monotonically_increasing_id())
+        items.withColumn("block", F.shiftright("item", 33)).write.partitionBy("block").parquet(self.items)
+        items = docs.sparkSession.read.schema("id long, words array<long>, item long").parquet(self.items)
+        seeds = scratch.keep(_seeds(items.select("item", "words"), n), "seeds")
+        bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+        pages = seeds.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(1 << 15))).alias("bits"))
+        pages.coalesce(1).write.parquet(bits)
+        sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
+        hits = scratch.keep(_hits(docs, bits, sizes), "hits")
+        often = hits.groupBy("seed").agg(F.count("*").alias("n"))
+        often = scratch.keep(often.join(seeds.select("seed"), "seed", "left_semi"), "often")
+        parts = F.ceil(F.col("n") / EACH)
+        known = join_groups(hits, often, ["seed"], "n", "row", inner=True).withColumn("part", F.pmod(F.xxhash64("file", "row"), parts))
+        postings = seeds.join(often, "seed").select("seed", "item", "place", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        pairs = known.join(postings, ["seed", "part"]).groupBy("file", "row", "item", (F.col("word") - F.col("place")).alias("begin")).agg(F.min("n").alias("n"))
+        pairs = pairs.withColumn("part", F.floor(F.col("row") / self.together))
+        pairs.repartition("file", "part").write.partitionBy("file", "part").parquet(self.openings)
+        scratch.drop("seeds", "filter", "hits", "often")
+
+    def leaks(self, text: pa.Array, file: np.ndarray, row: np.ndarray, least_score: float) -> Iterator[tuple[int, int | None, list, int]]:
+        """(row of the batch, item's id, best hit, copies) of the items found in a batch of documents."""
+        part = row // self.together
+        edges = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (part[1:] != part[:-1])])) if len(row) else []
+        for a, b in zip(edges, [*edges[1:], len(row)], strict=True):
+            rows, item, begin = _openings(self.openings, int(file[a]), int(part[a]))
+            lo, hi = np.searchsorted(rows, row[a:b], "left"), np.searchsorted(rows, row[a:b], "right")
+            held = np.flatnonzero(hi > lo)
+            for x in range(0, len(held), 500):
+                some = held[x : x + 500]
+                yield from self._found(text.take(pa.array(a + some)), a + some, lo[some], hi[some], item, begin, least_score)
+
+    def _found(self, texts: pa.Array, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, begin: np.ndarray, least_score: float) -> Iterator[tuple[int, int | None, list, int]]:
+        base = 0
+        for hashes, first in tokens(texts):
+            own = range(base, base + len(first) - 1)
+            hit = np.concatenate([np.arange(lo[t], hi[t]) for t in own])
+            text = np.repeat(np.arange(len(own)), hi[own] - lo[own])
+            wanted, number = np.unique(item[hit], return_inverse=True)
+            items = load_items(self.items, wanted)
+            best: dict[tuple[int, int], list] = {}
+            for t, i, *found in sorted(_matches(items, hashes, first, text, number, begin[hit], least_score), key=lambda m: (m[0], m[1], m[3], m[4])):
+                old = best.setdefault((t, i), [found, 0, 0])
+                old[1] += found[1] >= old[2]  # regions side by side can show one copy
+                old[2] = max(old[2], found[2])
+                if found[0] > old[0][0]:
+                    old[0] = found
+            yield from ((int(at[base + t]), items.ids[i], found, copies) for (t, i), (found, copies, _) in best.items())
+            base += len(own)
+
+
+def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int) -> tuple[DataFrame, str, Seeded]:
+    """docs with the place of each row in a new column, that column's name, and the seeds' join."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    place = fresh(docs, "_place")
+    docs = with_row_identity(docs, place)
+    return docs, place, Seeded(docs.select(F.col(text_col).cast("string").alias("text"), F.col(place).alias("place")), items, n)
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    n: int = 3, least_score: float = 0.5, block_items: int = 20_000,
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5
+) -> DataFrame:
     """Leaks: id_col, item_col, score, start_word, end_word, n_copies; one row per document and item.
 
-    The n-word runs of test items are seeds, and every document's runs are looked up among them. Hits of
-    an item form regions of about an item's length; Smith-Waterman aligns item and region word by word
-    (match 2, mismatch and gap -1). One seed is enough, however many documents hold it and however many
-    there are; a region is left out only if ceilings() shows that no alignment there can reach
+    The n-word runs of test items are seeds, in a table. One pass over the documents gives their runs that a filter of all
+    seeds' hashes lets through (16 MB, whatever their number), and these hits join the seeds; counts of hits over all documents are the
+    seeds' rarity. In each document the hits of an item open regions, those of the rarest seed first: a hit that lies
+    within an item's length of a region joins it. A second pass, in which each task looks up the hits of its own rows, aligns item
+    and region word by word (Smith-Waterman: match 2, mismatch and gap -1). Rarity is an order and no threshold: one seed is
+    enough, however many documents hold it; a region is left out only if ceilings() shows that no alignment there can reach
     `least_score` of the item's own score. One that reaches it is a leak: exact, cut, edited or
     paraphrased copies with one n-word run intact. score is 1 for an exact copy; n_copies counts the
-    regions whose alignments don't overlap, of which the row shows the best (ties: the first).
+    alignments of regions that don't overlap, of which the row shows the best (ties: the first).
 
-    The pass only maps; text isn't shuffled and no key gathers rows. The items are a query set: Spark writes
-    them to the shared folder in files, and the tasks read blocks of about `block_items` of them, one scan of the
-    documents per block. So a task's memory is bounded for any number of items (whose texts are items, not
-    corpora), and none passes through the driver.
+    Neither texts nor items are shuffled, only hits; a seed's hits are dealt to tasks by the hundred thousand. Tasks hold the
+    hits of a million rows of a file, and items in blocks, so their memory is bounded for any number of items (whose texts are items,
+    not corpora), and none passes through the driver.
 
     Words are runs of letters and digits, lower-cased. Null, empty or wordless texts and items give no
     leak, an empty table gives no rows. Very long texts are searched whole, one at a time. Items shorter than n
     words are one seed. Repeated documents give their rows again; repeated items their own rows per row; null ids
     are kept as null. Other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"`{id_col}` long, `{item_col}` long, score double, start_word long, end_word long, n_copies long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for files in stored_items(benchmark, item_col, item_text_col, block_items):
-
-        def match(batches, files=files):
-            items = load_items(files, n)
-            for batch in batches:
-                ids = batch.column(0)
-                out = [(ids[t].as_py(), items.ids[i], *hit, copies) for t, i, hit, copies in _found(batch.column(1), items, n, least_score)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "c", "d", "e", "f"])
-
-        found = found.unionByName(docs.mapInArrow(match, schema))
-    return found
-
-
-def drop_leaks(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block_items: int = 20_000
-) -> DataFrame:
-    """docs without the rows in which find_leaks() finds a test item, in the pass that finds them.
+    docs, place, seeded = _seeded(docs, benchmark, text_col, item_col, item_text_col, n)
+
+    def match(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            out = [(ids[t].as_py(), item, *hit, copies) for t, item, hit, copies in seeded.leaks(batch.column(1), *_place(batch.column(2)), least_score)]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "c", "d", "e", "f"])
+
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(place).alias("place"))
+    return docs.mapInArrow(match, f"`{id_col}` long, `{item_col}` long, score double, start_word long, end_word long, n_copies long")
+
+
+def _place(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.field(0).to_numpy(), column.field(1).to_numpy()
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5) -> DataFrame:
+    """docs without the rows in which find_leaks() finds a test item, in the pass that aligns.
 
     Rows are judged one by one, so null and repeated ids are as good as others; null and empty texts stay.
     All columns are kept.
     """
-    at = docs.columns.index(text_col)
-    kept = docs
-    for files in stored_items(benchmark, item_col, item_text_col, block_items):
-
-        def clean(batches, files=files):
-            items = load_items(files, n)
-            for batch in batches:
-                stays = np.ones(batch.num_rows, bool)
-                stays[[t for t, *_ in _found(batch.column(at), items, n, least_score)]] = False
-                yield batch.filter(pa.array(stays))
-
-        kept = kept.mapInArrow(clean, docs.schema)
-    return kept
+    kind, at, width = docs.schema, docs.columns.index(text_col), len(docs.columns)
+    placed, _, seeded = _seeded(docs, benchmark, text_col, item_col, item_text_col, n)
+
+    def clean(batches):
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            stays[[t for t, *_ in seeded.leaks(batch.column(at), *_place(batch.column(width)), least_score)]] = False
+            yield batch.select(range(width)).filter(pa.array(stays))
+
+    return placed.mapInArrow(clean, kind)

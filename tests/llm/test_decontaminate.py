@@ -72,7 +72,7 @@ def test_a_hot_edited_passage_is_found_at_any_corpus_size(spark, n):
 @pytest.mark.parametrize("seed", range(10))
 def test_regions_left_out_hold_no_leak(seed):
     rng = np.random.default_rng(seed)
-    items = dc.Items(np.arange(5), [rng.integers(0, 30, int(rng.integers(1, 20))).astype(np.uint64) for _ in range(5)], *[np.zeros(0, np.int64)] * 3)
+    items = dc.Items(np.arange(5), list(range(5)), [rng.integers(0, 30, int(rng.integers(1, 20))).astype(np.uint64) for _ in range(5)])
     text = rng.integers(0, 60, 200).astype(np.uint64)
     item, a = rng.integers(0, 5, 50), rng.integers(0, 200, 50)
     b = np.minimum(200, a + rng.integers(1, 60, 50))
@@ -89,9 +89,54 @@ def test_one_seed_is_enough_and_a_copy_counts_once(spark):
     assert {(r.doc_id, r.score, r.n_copies) for r in got.collect()} == {(1, 0.5, 1), (2, 1.0, 1)}
 
 
-def test_blocks_of_items_short_and_repeated_items(spark):
+@pytest.mark.parametrize("rate", [0.2, 0.27, 0.33])
+def test_recall_over_a_table_against_aligning_everything(spark, rate):
+    rng = np.random.default_rng(int(rate * 100))
+    words = [f"v{i}" for i in range(400)]
+    draw = lambda n: list(rng.choice(words, n, p=1 / np.arange(1, 401) / (1 / np.arange(1, 401)).sum()))  # noqa: E731  # few common words, many rare ones
+    wanted = [(i, draw((12, 20, 40)[i % 3])) for i in range(12)]
+    texts = []
+    for d in range(180):
+        copy = []
+        for w in wanted[d % 12][1]:
+            r = rng.random()
+            copy += [] if r < rate / 3 else [draw(1)[0], w] if r < 2 * rate / 3 else draw(1) if r < rate else [w]
+        texts.append((d, draw(30) + (copy if d % 5 else draw(20)) + draw(30)))
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs(spark, [(i, " ".join(t)) for i, t in texts]), items(spark, [(i, " ".join(t)) for i, t in wanted])).collect()}
+    number = {w: i for i, w in enumerate(words)}
+    coded = lambda t: np.array([number[w] for w in t], np.uint64)
+    every = {(d, i) for d, t in texts for i, own in wanted if dc.align(coded(own), coded(t))[0] >= 0.5 * dc.MATCH * len(own)}
+    assert got <= every and len(got) >= 0.9 * len(every) and len(every) > 100
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_every_hit_lies_in_a_region_that_a_rarer_or_equal_one_opened(seed):
+    rng = np.random.default_rng(seed)
+    text, item, begin = np.sort(rng.integers(0, 3, 80)), np.zeros(80, np.int64), rng.integers(-20, 300, 80)
+    text_, item_, low, high = dc.regions(text, item, begin, np.array([15]))
+    for t in range(3):
+        opened = []
+        for x in begin[text == t].tolist():  # in the order of rarity
+            if all(abs(x - y) > 15 for y in opened):
+                opened.append(x)
+        spans = list(zip(low[text_ == t], high[text_ == t], strict=True))
+        assert len(spans) == len(opened) and all(a <= x <= b for x, (a, b) in zip(sorted(opened), spans, strict=True))
+        assert all(any(a <= x <= b for a, b in spans) for x in begin[text == t]) and all(b - a <= 30 for a, b in spans)
+
+
+@pytest.mark.parametrize("each", [1, 7])
+def test_hits_of_a_seed_are_dealt_to_tasks(spark, monkeypatch, each):
+    monkeypatch.setattr(dc, "EACH", each)
+    monkeypatch.setattr(dc, "TOGETHER", 9)
+    texts = [(i, f"n{i} alpha beta gamma delta m{i}") for i in range(60)] + [(100, "alpha beta gamma"), (101, "nothing here at all")]
+    found = dc.find_leaks(docs(spark, texts), items(spark, [(1, "alpha beta gamma delta"), (2, "alpha beta gamma epsilon zeta")])).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted([(i, k) for i in [*range(60), 100] for k in (1, 2)])
+
+
+def test_blocks_of_items_short_and_repeated_items(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK", 1)
     texts = [(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, "omega")]
-    found = dc.find_leaks(docs(spark, texts), items(spark, [(1, "alpha beta"), (2, "omega"), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta")]), block_items=1)
+    found = dc.find_leaks(docs(spark, texts), items(spark, [(1, "alpha beta"), (2, "omega"), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta")]))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 1), (1, 3), (1, 3), (2, 1), (3, 2)]
 
 
