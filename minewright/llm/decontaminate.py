@@ -125,17 +125,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     Row by row with numpy; a row's gaps in the text are a running maximum. Starts are carried along.
     """
     n = len(text)
-    ramp = np.arange(n + 1) * -GAP
-    score, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
+    place = np.arange(n + 1)
+    ramp, score, start = place * -GAP, np.zeros(n + 1, np.int64), place
     best = (0, 0, 0)
     for x in item:
         diagonal = score[:-1] + np.where(text == x, MATCH, MISMATCH)
         up = score[1:] + GAP
         now = np.concatenate([[0], np.maximum(np.maximum(diagonal, up), 0)])
-        begin = np.concatenate([[0], np.where(now[1:] == 0, np.arange(1, n + 1), np.where(diagonal >= up, start[:-1], start[1:]))])
+        begin = np.concatenate([[0], np.where(now[1:] == 0, place[1:], np.where(diagonal >= up, start[:-1], start[1:]))])
         run = now + ramp
         lead = np.maximum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == lead, np.arange(n + 1), 0))
+        source = np.maximum.accumulate(np.where(run == lead, place, 0))
         start, score = begin[source], lead - ramp
         j = int(score.argmax())
         if score[j] > best[0]:
@@ -150,9 +150,10 @@ def ceilings(items: Items, hashes: np.ndarray, item: np.ndarray, a: np.ndarray,
     gap if not; an alignment covers a run of the item's words, so the best run of these sums is a bound.
     """
     n, size = len(hashes) + 1, items.length[item]
-    at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
-    known = np.flatnonzero(items.vocabulary[at] == hashes)
-    stands = np.append(np.sort(at[known] * n + known), np.iinfo(np.int64).max)  # by word, then by place
+    near = np.flatnonzero(np.cumsum(np.bincount(a, minlength=n) - np.bincount(b, minlength=n)) > 0)  # words of any region
+    at = np.minimum(np.searchsorted(items.vocabulary, hashes[near]), len(items.vocabulary) - 1)
+    known = items.vocabulary[at] == hashes[near]
+    stands = np.append(np.sort(at[known] * n + near[known]), np.iinfo(np.int64).max)  # by word, then by place
     begin = np.cumsum(size) - size
     row = np.repeat(np.arange(len(item)), size)
     word = items.number[np.arange(len(row)) + (items.first[item] - begin)[row]] * n
@@ -169,8 +170,10 @@ def regions(text: np.ndarray, item: np.ndarray, begin: np.ndarray, length: np.nd
     join the nearest region and widen it.
     """
     edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]])) if len(text) else np.zeros(1, np.int64)
-    at, low, high = [], [], []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+    lone = edge[:-1][np.diff(edge) == 1]
+    at, low, high = lone.tolist(), [begin[lone]], [begin[lone]]
+    more = np.flatnonzero(np.diff(edge) > 1)
+    for a, b in zip(edge[more].tolist(), edge[more + 1].tolist(), strict=True):
         own, reach, opened = begin[a:b], int(length[item[a]]), []
         for x in own.tolist():
             i = bisect_left(opened, x)
@@ -183,8 +186,8 @@ def regions(text: np.ndarray, item: np.ndarray, begin: np.ndarray, length: np.nd
         at += [a] * len(opened)
         low.append(least)
         high.append(most)
-    at, low, high = np.array(at, np.int64), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (low, high))
-    return text[at], item[at], low, high
+    at = np.array(at, np.int64)
+    return text[at], item[at], np.concatenate(low), np.concatenate(high)
 
 
 def _matches(items: Items, hashes: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, begin: np.ndarray, least_score: float, block: int = 20_000) -> Iterator[tuple[int, int, float, int, int]]:
