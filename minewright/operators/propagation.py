@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from minewright.functions.expressions import doubles, rbf
 from minewright.functions.storage import Scratch
+from minewright.operators.fields import propagate_field
 from minewright.operators.neighbors import knn_join
 
 
@@ -100,6 +101,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_iter: int = 1000, tol: flo
 
 
 def propagate_labels(points: DataFrame, label: str = "seed_label", gamma: float = 20.0, k: int | None = 10, max_iter: int = 1000, tol: float = 1e-3, key: str = "id", vector: str = "features", **graph) -> DataFrame:
-    """id, label, score for all points; label is null where no seed can be reached."""
-    found = propagate(affinity_graph(points, gamma, k, key, vector, **graph), points.select(F.col(key).alias("id"), F.col(label).alias("label")), max_iter, tol)
+    """id, label, score for all points; label is null where no seed can be reached.
+
+    k None: over all pairs, without forming them where a field on a grid serves (see propagate_field()), by the graph otherwise.
+    """
+    found = propagate_field(points, label, gamma, max_iter, tol, key, vector) if k is None and max_iter > 0 and not graph else None
+    if found is None:
+        found = propagate(affinity_graph(points, gamma, k, key, vector, **graph), points.select(F.col(key).alias("id"), F.col(label).alias("label")), max_iter, tol)
     return points.select(F.col(key).alias("id")).join(found, "id", "left")
