@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,44 @@ def nearest(x: np.ndarray, centers: np.ndarray, at_once: int = 1 << 21) -> tuple
     return at, best
 
 
+def member_sums(batches: Iterable[pa.RecordBatch], models: dict[int, np.ndarray], at_once: int = 1 << 20) -> dict[int, np.ndarray]:
+    """For each model's centers the weighted sums of the rows (_x, _w) that are nearest to them, with the weight as last column.
+
+    The centers of all models meet a block of rows in one matrix product, and another one adds the rows up; rows go in blocks of
+    about `at_once` products. Only rows with several centers within rounding error or a tie are looked at again, by nearest().
+    """
+    every = np.concatenate(list(models.values()))
+    ends = np.cumsum([0, *map(len, models.values())])
+    squares, total = (every * every).sum(1), np.zeros((every.shape[0], every.shape[1] + 1))
+    step = max(1, at_once // len(every))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+        wide = np.column_stack([x, np.ones(len(x))]) * w[:, None]
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            d = squares[:, None] - 2 * (every @ part.T)
+            border = 4e-9 + 1e-12 * ((part * part).sum(1) + squares.max())
+            member = np.empty(d.shape)
+            for c, a, b in zip(models.values(), ends[:-1], ends[1:], strict=True):
+                near = d[a:b] <= d[a:b].min(0) + border
+                several = np.flatnonzero(near.sum(0) > 1)
+                if len(several):
+                    near[:, several] = np.arange(len(c))[:, None] == nearest(part[several], c)[0][None, :]
+                member[a:b] = near
+            total += member @ wide[i : i + step]
+    return dict(zip(models, np.split(total, ends[1:-1]), strict=True))
+
+
+def _rows_of(sums: dict[int, np.ndarray], cost: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """model, k, i, s: the cells of the sums of centers with members, and the cost as cell -1, -1."""
+    for m, s in sums.items():
+        k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
+        k, i, s = np.append(k, -1), np.append(i, -1), np.append(s[k, i], cost.get(m, 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m, np.int32)), pa.array(k.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(s)], ["model", "k", "i", "s"])
+
+
 def assign(points: DataFrame, centroids: DataFrame, vector: str = "features") -> DataFrame:
     """points plus cluster, the nearest centroid (ties to nine decimals: the smaller number), and distance.
 
@@ -101,22 +139,7 @@ def _moved(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     A cluster without members keeps its center.
     """
 
-    def work(batches):
-        sums = {m: np.zeros((len(c), c.shape[1] + 1)) for m, (_, c) in models.items()}
-        for batch in batches:
-            if batch.num_rows:
-                x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-                rows = np.column_stack([x, np.ones(len(x))]) * w[:, None]
-                for m, (_, centers) in models.items():
-                    np.add.at(sums[m], nearest(x, centers)[0], rows)
-        for m, s in sums.items():
-            k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m, np.int32)), pa.array(k.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(s[k, i])], ["model", "k", "i", "s"])
-
-    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s"))
-    total = {m: np.zeros((len(c), c.shape[1] + 1)) for m, (_, c) in models.items()}
-    for r in found.collect():  # the size of the models
-        total[r.model][r.k, r.i] = r.s
+    total = {m: t for m, (t, _) in _sums(rows, {m: c for m, (_, c) in models.items()}, False).items()}
     return {m: np.where(t[:, -1:] > 0, t[:, :-1] / np.where(t[:, -1:] > 0, t[:, -1:], 1), models[m][1]) for m, t in total.items()}
 
 
@@ -209,7 +232,7 @@ def _starts(rows: DataFrame, ks: dict[int, int], seed: int, rounds: int = 3) ->
         more = _drawn(rows, held, {m: 2 * ks[m] for m in held}, seed + i)
         held = {m: np.unique(np.concatenate([c, *([more[m]] if len(more[m]) else [])]), axis=0) for m, c in held.items()}
     out = {}
-    for m, (sums, _) in _sums(rows, held).items():
+    for m, (sums, _) in _sums(rows, held, False).items():
         c, w, rng = held[m], sums[:, -1], np.random.default_rng((seed, m))
         chosen = [int(rng.choice(len(c), p=w / w.sum()))]
         while len(chosen) < min(ks[m], len(c)):
@@ -221,33 +244,33 @@ def _starts(rows: DataFrame, ks: dict[int, int], seed: int, rounds: int = 3) ->
     return out
 
 
-def _sums(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
-    """For each model's centers the weighted sums of their rows' vectors, with the weight as last column, and the cost; one pass for all."""
+def _sums(rows: DataFrame, models: dict[int, np.ndarray], costs: bool = True) -> dict[int, tuple[np.ndarray, float]]:
+    """For each model's centers the weighted sums of their rows' vectors, with the weight as last column, and the cost, if asked for; one pass for all."""
+    if not models:
+        return {}
 
     def work(batches):
-        sums = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}
-        cost = dict.fromkeys(models, 0.0)
+        if not costs:
+            yield from _rows_of(member_sums(batches, models), {})
+            return
+        sums, cost = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}, dict.fromkeys(models, 0.0)
         for batch in batches:
+            for m, s in member_sums([batch], models).items():
+                sums[m] += s
             if batch.num_rows:
                 x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-                wide = np.column_stack([x, np.ones(len(x))]) * w[:, None]
                 for m, c in models.items():
-                    at, d = nearest(x, c)
-                    np.add.at(sums[m], at, wide)
-                    cost[m] += float(w @ d)
-        for m, s in sums.items():
-            k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
-            cells = np.append(k, -1), np.append(i, -1), np.append(s[k, i], cost[m])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells[0]), m, np.int32)), pa.array(cells[0].astype(np.int32)), pa.array(cells[1].astype(np.int32)), pa.array(cells[2])], ["model", "k", "i", "s"])
-
-    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s"))
-    total, cost = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}, dict.fromkeys(models, 0.0)
-    for r in found.collect():  # the size of the models
-        if r.k < 0:
-            cost[r.model] = r.s
-        else:
-            total[r.model][r.k, r.i] = r.s
-    return {m: (total[m], cost[m]) for m in models}
+                    cost[m] += float(w @ nearest(x, c)[1])
+        yield from _rows_of(sums, cost)
+
+    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s")).toArrow()  # the size of the models
+    model, k, i, s = (found[c].to_numpy() for c in ("model", "k", "i", "s"))
+    out = {}
+    for m, c in models.items():
+        total, cell, own = np.zeros((len(c), c.shape[1] + 1)), (model == m) & (k >= 0), (model == m) & (k < 0)
+        total[k[cell], i[cell]] = s[cell]
+        out[m] = total, float(s[own].sum())
+    return out
 
 
 def kmeans_best(points: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = 1, vector: str = "features", weight: str | None = None, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
@@ -264,7 +287,7 @@ def kmeans_best(points: DataFrame, ks: Sequence[int], restarts: int = 10, seed:
     for _ in range(max_iter):
         if not moving:
             break
-        for m, (sums, _) in _sums(rows, moving).items():
+        for m, (sums, _) in _sums(rows, moving, False).items():
             w = sums[:, -1:]
             now = np.where(w > 0, sums[:, :-1] / np.where(w > 0, w, 1), moving[m])
             shift = ((now - moving[m]) ** 2).sum(1).max()
