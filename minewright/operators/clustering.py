@@ -56,6 +56,38 @@ def nearest(x: np.ndarray, centers: np.ndarray, at_once: int = 1 << 21) -> tuple
     return at, best
 
 
+def _blocks(rows: DataFrame, at_once: int = 2048) -> DataFrame:
+    """rows (_x, _w) as blocks of up to `at_once` of them, dealt evenly over the cores: the bytes of their vectors, of their weights, and the vectors' length.
+
+    What goes over the rows again and again hands such bytes on as they are, instead of every number of every vector. Numbers
+    that four bytes hold exactly take four.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                x, w = matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                bytes_ = [(short if np.array_equal(short, x, equal_nan=True) else x).tobytes(), w.tobytes()]
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.binary()) for v in bytes_], pa.array([x.shape[1]], pa.int32())], ["_x", "_w", "_d"])
+
+    return rows.mapInArrow(work, "_x binary, _w binary, _d int").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors as a matrix, their weights) of batches of rows (_x, _w), or of blocks of them (see _blocks())."""
+    for batch in batches:
+        if not pa.types.is_binary(batch.schema.types[0]):
+            if batch.num_rows:
+                yield matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            continue
+        for x, w, d in zip(*batch.columns, strict=True):
+            w, x, d = np.frombuffer(w.as_buffer(), np.float64), x.as_buffer(), d.as_py()
+            yield np.frombuffer(x, np.float32 if x.size == 4 * d * len(w) else np.float64).reshape(len(w), d).astype(np.float64, copy=False), w
+
+
 def member_sums(batches: Iterable[pa.RecordBatch], models: dict[int, np.ndarray], at_once: int = 1 << 20) -> dict[int, np.ndarray]:
     """For each model's centers the weighted sums of the rows (_x, _w) that are nearest to them, with the weight as last column.
 
@@ -66,10 +98,7 @@ def member_sums(batches: Iterable[pa.RecordBatch], models: dict[int, np.ndarray]
     ends = np.cumsum([0, *map(len, models.values())])
     squares, total = (every * every).sum(1), np.zeros((every.shape[0], every.shape[1] + 1))
     step = max(1, at_once // len(every))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+    for x, w in _parts(batches):
         wide = np.column_stack([x, np.ones(len(x))]) * w[:, None]
         for i in range(0, len(x), step):
             part = x[i : i + step]
@@ -86,14 +115,6 @@ def member_sums(batches: Iterable[pa.RecordBatch], models: dict[int, np.ndarray]
     return dict(zip(models, np.split(total, ends[1:-1]), strict=True))
 
 
-def _rows_of(sums: dict[int, np.ndarray], cost: dict[int, float]) -> Iterator[pa.RecordBatch]:
-    """model, k, i, s: the cells of the sums of centers with members, and the cost as cell -1, -1."""
-    for m, s in sums.items():
-        k, i = np.nonzero(np.broadcast_to(s[:, -1:] > 0, s.shape))
-        k, i, s = np.append(k, -1), np.append(i, -1), np.append(s[k, i], cost.get(m, 0.0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m, np.int32)), pa.array(k.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(s)], ["model", "k", "i", "s"])
-
-
 def assign(points: DataFrame, centroids: DataFrame, vector: str = "features") -> DataFrame:
     """points plus cluster, the nearest centroid (ties to nine decimals: the smaller number), and distance.
 
@@ -133,9 +154,8 @@ def centroid_means(assigned: DataFrame, vector: str = "features", weight: str |
 
 
 def _moved(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-    """One Lloyd iteration for several models in one pass over rows (_x, _w): their new centers.
+    """One Lloyd iteration for several models in one pass over blocks of rows (see _blocks()): their new centers.
 
-    Tasks add up weights and vectors by model and cluster; a row per task, model, cluster and coordinate is shuffled.
     A cluster without members keeps its center.
     """
 
@@ -144,7 +164,8 @@ def _moved(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) ->
 
 
 def _fit(points: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]], iterations: int, tol: float, vector: str, weight: str | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    rows = points.dropna(subset=[vector]).select(doubles(F.col(vector)).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).persist()
+    rows = points.dropna(subset=[vector]).select(doubles(F.col(vector)).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    rows = _blocks(rows).persist()
     moving = {m: x for m, x in models.items() if len(x[0])}
     fitted = dict(models)
     for _ in range(iterations if moving else 0):
@@ -175,10 +196,10 @@ def lloyd(points: DataFrame, centroids: DataFrame, iterations: int = 10, tol: fl
 
 
 def weighted_rows(points: DataFrame, vector: str = "features", weight: str | None = None) -> DataFrame:
-    """_x, _w: the vectors with their weights, written to the shared folder; summed up by vector if they repeat so much that it halves them."""
+    """The vectors with their weights in blocks (see _blocks()), written to the shared folder; summed up by vector if they repeat so much that it halves them."""
     rows = points.dropna(subset=[vector]).select(doubles(F.col(vector)).alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
     n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("_x"))).first()
-    return materialize(rows.groupBy("_x").agg(F.sum("_w").alias("_w")) if 2 * distinct < n else rows, "weighted")
+    return materialize(_blocks(rows.groupBy("_x").agg(F.sum("_w").alias("_w")) if 2 * distinct < n else rows), "weighted")
 
 
 def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
@@ -199,10 +220,7 @@ def _drawn(rows: DataFrame, held: dict[int, np.ndarray | None], wanted: dict[int
 
     def work(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+        for x, w in _parts(batches):
             for m, c in held.items():
                 chance = w * (1.0 if c is None else nearest(x, c)[1])
                 some = np.flatnonzero(chance > 0)
@@ -245,31 +263,33 @@ def _starts(rows: DataFrame, ks: dict[int, int], seed: int, rounds: int = 3) ->
 
 
 def _sums(rows: DataFrame, models: dict[int, np.ndarray], costs: bool = True) -> dict[int, tuple[np.ndarray, float]]:
-    """For each model's centers the weighted sums of their rows' vectors, with the weight as last column, and the cost, if asked for; one pass for all."""
+    """For each model's centers the weighted sums of their rows' vectors, with the weight as last column, and the cost, if asked for; one pass for all.
+
+    There are as many tasks as cores, whatever the size of the input. A row per task and model, of the size of the model, comes to the
+    driver; nothing is shuffled.
+    """
     if not models:
         return {}
 
     def work(batches):
-        if not costs:
-            yield from _rows_of(member_sums(batches, models), {})
-            return
-        sums, cost = {m: np.zeros((len(c), c.shape[1] + 1)) for m, c in models.items()}, dict.fromkeys(models, 0.0)
-        for batch in batches:
-            for m, s in member_sums([batch], models).items():
-                sums[m] += s
-            if batch.num_rows:
-                x, w = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-                for m, c in models.items():
-                    cost[m] += float(w @ nearest(x, c)[1])
-        yield from _rows_of(sums, cost)
-
-    found = rows.mapInArrow(work, "model int, k int, i int, s double").groupBy("model", "k", "i").agg(F.sum("s").alias("s")).toArrow()  # the size of the models
-    model, k, i, s = (found[c].to_numpy() for c in ("model", "k", "i", "s"))
-    out = {}
-    for m, c in models.items():
-        total, cell, own = np.zeros((len(c), c.shape[1] + 1)), (model == m) & (k >= 0), (model == m) & (k < 0)
-        total[k[cell], i[cell]] = s[cell]
-        out[m] = total, float(s[own].sum())
+        cost = dict.fromkeys(models, 0.0)
+
+        def costed():
+            for batch in batches:
+                for x, w in _parts([batch]) if costs else ():
+                    for m, c in models.items():
+                        cost[m] += float(w @ nearest(x, c)[1])
+                yield batch
+
+        sums = member_sums(costed(), models)
+        yield pa.RecordBatch.from_arrays([pa.array(list(models), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array(list(cost.values()))], ["model", "sums", "cost"])
+
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    found = rows.coalesce(tasks).mapInArrow(work, "model int, sums binary, cost double").toArrow()  # the size of the models
+    out = {m: (np.zeros((len(c), c.shape[1] + 1)), 0.0) for m, c in models.items()}
+    for m, s, own in zip(*(found[c].to_pylist() for c in ("model", "sums", "cost")), strict=True):
+        total, cost = out[m]
+        out[m] = total + np.frombuffer(s, np.float64).reshape(total.shape), cost + own
     return out
 
 
@@ -280,7 +300,7 @@ def kmeans_best(points: DataFrame, ks: Sequence[int], restarts: int = 10, seed:
     which tasks add up what every fit needs; fits that move by no more than tol drop out. Clusters are numbered in order of
     their centers. Fewer distinct vectors than k give so many clusters; a cluster that loses its members keeps its center.
     """
-    rows = weighted_rows(points, vector, weight)
+    rows = weighted_rows(points, vector, weight).persist()
     names = [(k, r) for k in ks for r in range(restarts)]
     fitted = _starts(rows, {m: k for m, (k, _) in enumerate(names)}, seed)
     moving = dict(fitted)
@@ -295,6 +315,7 @@ def kmeans_best(points: DataFrame, ks: Sequence[int], restarts: int = 10, seed:
             if shift <= tol * tol:
                 del moving[m]
     cost = {m: c for m, (_, c) in _sums(rows, fitted).items()} if fitted else {}
+    rows.unpersist()
     out = []
     for k in ks:
         own = [m for m in fitted if names[m][0] == k]
