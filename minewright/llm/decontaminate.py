@@ -90,8 +90,8 @@ def _stored(folder: str, columns: list[str]) -> pa.Table | None:
 
 
 @lru_cache(maxsize=2)
-def _filter(folder: str) -> np.ndarray:
-    """The bits of the seeds' filter, read once per Python process."""
+def stored_filter(folder: str) -> np.ndarray:
+    """The bits that write_filter() has written, read once per Python process."""
     bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     rows = _stored(folder, ["part", "bits"])
     for part, own in zip(rows["part"].to_pylist(), rows["bits"].to_pylist(), strict=True) if rows else ():
@@ -99,19 +99,31 @@ def _filter(folder: str) -> np.ndarray:
     return bits
 
 
+def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter lets through."""
+    bit = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+
+
+def write_filter(rows: DataFrame, column: str, folder: str) -> None:
+    """A filter of 2^FILTER_BITS bits that lets all hashes of the column through, and of others about as many as it has bits set."""
+    bit = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+    pages = rows.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(1 << 15))).alias("bits"))
+    pages.coalesce(1).write.parquet(folder)
+
+
 def _hits(docs: DataFrame, folder: str, sizes: list[int]) -> DataFrame:
     """file, row, seed, word: the runs of the documents (text, place) that the filter lets through."""
 
     def work(batches):
-        bits = _filter(folder)
+        bits = stored_filter(folder)
         for batch in batches:
             file, row = (batch.column(1).field(i).to_numpy() for i in (0, 1))
             base = 0
             for hashes, first in tokens(batch.column(0)):
                 for n in sizes:
                     grams, starts = tn.ngram_hashes(hashes, first, n)
-                    bit = (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    hit = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    hit = passing(bits, grams)
                     text = np.searchsorted(starts, hit, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(file[base + text]), pa.array(row[base + text]), pa.array(grams[hit].view(np.int64)), pa.array(hit - starts[text])], ["file", "row", "seed", "word"])
                 base += len(first) - 1
@@ -250,9 +262,7 @@ class Seeded:
         items.withColumn("block", F.shiftright("item", 33)).write.partitionBy("block").parquet(self.items)
         items = docs.sparkSession.read.schema("id long, words array<long>, item long").parquet(self.items)
         seeds = scratch.keep(_seeds(items.select("item", "words"), n), "seeds")
-        bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-        pages = seeds.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(1 << 15))).alias("bits"))
-        pages.coalesce(1).write.parquet(bits)
+        write_filter(seeds, "seed", bits)
         sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
         hits = scratch.keep(_hits(docs, bits, sizes), "hits")
         often = hits.groupBy("seed").agg(F.count("*").alias("n"))

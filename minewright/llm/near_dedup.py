@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from minewright.llm import textnum as tn
 from minewright.llm.common import Scratch, fresh, join_groups, with_row_identity
+from minewright.llm.decontaminate import passing, stored_filter, write_filter
 from minewright.llm.graph import connected_components
 
 U64 = np.uint64
@@ -93,6 +94,24 @@ def _sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(work, T.StructType([docs.schema["id"], docs.schema["place"], *[T.StructField(c, T.LongType()) for c in ("n", "ha", "hb")], T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
+def _shared_keys(classes: DataFrame, folder: str) -> DataFrame:
+    """key, id, n of the classes' keys that the filter of shared keys in the folder lets through: all that are shared, few others.
+
+    Most keys belong to one class alone, so a join of keys needs to shuffle only these.
+    """
+
+    def work(batches):
+        bits = stored_filter(folder)
+        for batch in batches:
+            keys = _arrays(batch.column(2))
+            hit = passing(bits, np.concatenate([np.zeros(0, np.uint64), *keys]))
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys])[hit])
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys])[hit].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(row), batch.column(1).take(row)], ["key", "id", "n"])
+
+    return classes.select("id", "n", "keys").mapInArrow(work, "key long, id long, n long")
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """id and text to id and shingles, the hashes of the text's set."""
 
@@ -159,12 +178,14 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent / 100 at least.
 
-    A leader in very many pairs is copied once per `per_task` of them, so its pairs are spread.
+    A leader in very many pairs is copied once per `per_task` of them, so its pairs are spread. Sets get other names
+    only behind their exchange, so leaders and members read the same one.
     """
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("copies"))
     pairs = pairs.join(copies, "a").select("a", "b", F.pmod(F.hash("b"), "copies").alias("copy"))
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    left = sets.withColumnRenamed("id", "a").join(copies, "a").select("a", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    sets = sets.select("id", "shingles")
+    right = pairs.join(sets, F.col("b") == F.col("id")).select("a", "b", "copy", F.col("shingles").alias("sb"))
+    left = sets.join(copies, F.col("a") == F.col("id")).select("a", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = right.join(left, ["a", "copy"]).select("a", "b", both.cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
     return joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
@@ -394,14 +415,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("sketches")
     buckets = classes.select(F.explode("keys").alias("key"), "id", "n")
     led = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1"), "leaders")
-    members = join_groups(buckets, led, ["key"], "c", "id", inner=True).filter(F.col("lead.id") != F.col("id")).select("key", "id", "n", "lead")
+    write_filter(led, "key", f"{scratch.folder}/filter-0")
+    shared = scratch.keep(_shared_keys(classes, f"{scratch.folder}/filter-0"), "shared")
+    members = join_groups(shared, led, ["key"], "c", "id", inner=True).filter(F.col("lead.id") != F.col("id")).select("key", "id", "n", "lead")
     members = scratch.keep(members, "members")
     scratch.release()
     wanted = members.select("id").unionByName(members.select("lead.id")).distinct().join(classes.select("id", "place.file", "place.row"), "id")
     folder = f"{scratch.folder}/places-0"
     wanted.repartition("file").write.partitionBy("file").parquet(folder)
     classes = scratch.keep(classes.drop("keys", "place"), "named_classes")
-    scratch.drop("classes", "leaders")
+    scratch.drop("classes", "leaders", "shared", "filter")
     sets = _class_sets(docs, folder, k)
     repeated = scratch.keep(known.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1"), "repeated")
     sets = scratch.keep(sets, "sets")
@@ -416,15 +439,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = scratch.keep(links, "links")
     scratch.release()
     found = connected_components(links, scratch=scratch)
-    plain = members.select("key", "id")
-    spanning = lambda: scratch.keep(_spanning(plain.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), scratch), "spanning")
-    rest = spanning()
+    # Components only grow, so a bucket that lies in one needs no further look.
+    spanning = lambda rows: scratch.keep(_spanning(rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), scratch), "spanning")
+    rest = spanning(members.select("key", "id"))
     if not rest.filter(F.col("c") > merge).isEmpty():
         late = _bucket_links(_merged(rest.filter(F.col("c") > merge), scratch), sets, percent, block, scratch)
         links = links.unionByName(scratch.keep(late, "late"))
         found = connected_components(links, scratch=scratch)
-        rest = spanning()
-    late = scratch.keep(_small_links(rest.filter(F.col("c") <= merge), sets, percent), "late")
+        rest = spanning(rest.filter(F.col("c") <= merge).select("key", "id"))
+    late = scratch.keep(_small_links(rest, sets, percent), "late")
     scratch.release()
     if not late.isEmpty():
         found = connected_components(links.unionByName(late), scratch=scratch)

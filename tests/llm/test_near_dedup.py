@@ -109,6 +109,52 @@ def test_what_large_buckets_make_grows_with_their_members(spark):
     assert made[1] < 6 * made[0]
 
 
+def test_large_buckets_are_joined_once(spark, monkeypatch):
+    """Before, buckets that had been resolved around their centres were joined with their members again."""
+    seen, plain = [], nd._spanning
+
+    def spanning(members, scratch):
+        seen.append(max((r["count"] for r in members.groupBy("key").count().collect()), default=0))
+        return plain(members, scratch)
+
+    monkeypatch.setattr(nd, "_spanning", spanning)
+    rng = np.random.default_rng(4)
+    base = [f"b{x}" for x in range(150)]
+    rows = [(i, " ".join(mutated(base, 0.05, rng)), "", "") for i in range(150)]
+    got = nd.near_dedup(spark.createDataFrame(rows, SCHEMA), k=2, block=16, merge=8)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2)
+    assert seen[0] > 8 >= seen[-1]
+
+
+def test_leaders_and_members_read_one_exchange_of_sets(spark):
+    sets = Scratch(spark, "test").keep(spark.createDataFrame([(i, list(range(i // 2, 40))) for i in range(8)], "id long, shingles array<long>"), "sets")
+    pairs = spark.createDataFrame([(a, b) for a in (0, 4) for b in range(a + 1, 8)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = nd._star_links(pairs, sets, 95)
+        found = sorted(tuple(r) for r in links.collect())
+        plan = links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [(a, b) for a in (0, 4) for b in range(a + 1, 8) if (40 - b // 2) * 100 >= (40 - a // 2) * 95]
+    assert any("ReusedExchange" in line and "shingles" in line for line in plan.splitlines())
+
+
+def test_the_filter_lets_all_shared_keys_through_and_few_others(spark):
+    rng = np.random.default_rng(1)
+    keys = [rng.integers(-(1 << 63), 1 << 63, 40).tolist() for _ in range(300)]
+    keys[5][:3], keys[7], keys[9] = keys[4][:3], [], [*keys[4][:1], -1, (1 << 63) - 1]
+    classes = spark.createDataFrame([(i, 9, k) for i, k in enumerate(keys)], "id long, n long, keys array<long>").repartition(3)
+    scratch = Scratch(spark, "test")
+    often = classes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1 OR key = -1")
+    nd.write_filter(often, "key", f"{scratch.folder}/filter-0")
+    got = [(r.key, r.id, r.n) for r in nd._shared_keys(classes, f"{scratch.folder}/filter-0").collect()]
+    wanted = {(k, i, 9) for i in (4, 5) for k in keys[4][:3]} | {(keys[4][0], 9, 9), (-1, 9, 9)}
+    assert wanted <= set(got) and len(got) == len(set(got)) <= len(wanted) + 5
+    assert set(got) <= {(k, i, 9) for i, own in enumerate(keys) for k in own}
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
     rows = [(1, texts[0], "", ""), (5, texts[0], "", ""), (5, texts[1], "", ""), (6, texts[1], "", ""), (7, texts[2], "", ""), (5, None, "", "")]
